@@ -4,41 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 KEYS = ["repo_id", "path"]
+EVENTS = ST.StructType(
+    [ST.StructField(n, ST.StringType()) for n in (*KEYS, "sha256", "status")]
+    + [ST.StructField("batch", ST.LongType())]
+)
 
 
 class ManifestStream:
-    """Diffs each micro-batch against the manifest and then merges it.
+    """Diffs each micro-batch against the manifest and appends what changed.
 
-    Batch ``n`` writes the events to ``changes/batch=n`` and the merged manifest
-    to ``manifest/version=n``, both by overwriting, so a repeated batch gives the
-    same tables. Batch ``n`` reads version ``n - 1`` only.
+    The manifest is a log: ``events/batch=n`` holds the hashes that batch ``n``
+    brought, batch -1 the start. A batch reads the earlier entries of its own
+    files only and writes in proportion to itself. Its folder is overwritten, so
+    a repeated batch gives the same log.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, start: DataFrame):
-        self.folder = folder
-        start.select(*KEYS, "sha256").write.mode("overwrite").parquet(self._version(-1))
+    def __init__(self, folder: str, start: DataFrame):
+        self.folder = f"{folder}/events"
+        self._write(start.select(*KEYS, "sha256").withColumn("status", F.lit("U")), -1)
 
-    def _version(self, batch_id: int) -> str:
-        return f"{self.folder}/manifest/version={batch_id}"
+    def _write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+
+    def events(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(EVENTS).parquet(self.folder)
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        """The manifest: the latest hash of each file."""
+        return self.events(spark).groupBy(*KEYS).agg(F.max_by("sha256", "batch").alias("sha256"))
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(self._version(batch_id - 1))
         # The same file may come twice in a batch; the greatest mtime is current.
-        fresh = batch.groupBy(*KEYS).agg(F.max_by("sha256", F.struct("mtime", "sha256")).alias("new_hash"))
-        joined = before.join(fresh, KEYS, "full")
-        events = joined.filter("new_hash is not null").select(
-            *KEYS,
-            F.when(F.col("sha256").isNull(), "A")
-            .when(F.col("sha256") != F.col("new_hash"), "M")
+        fresh = batch.groupBy(*KEYS).agg(F.max_by("sha256", F.struct("mtime", "sha256")).alias("sha256"))
+        known = (
+            self.events(batch.sparkSession)
+            .filter(F.col("batch") < batch_id)
+            .join(fresh.select(*KEYS), KEYS, "left_semi")
+            .groupBy(*KEYS)
+            .agg(F.max_by("sha256", "batch").alias("old_hash"))
+        )
+        state = (
+            F.when(F.col("old_hash").isNull(), "A")
+            .when(F.col("old_hash") != F.col("sha256"), "M")
             .otherwise("U")
-            .alias("status"),
         )
-        events.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
-        joined.select(*KEYS, F.coalesce("new_hash", "sha256").alias("sha256")).write.mode("overwrite").parquet(
-            self._version(batch_id)
+        self._write(
+            fresh.join(known, KEYS, "left").select(*KEYS, "sha256", state.alias("status")), batch_id
         )
 
     def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
@@ -50,6 +64,4 @@ class ManifestStream:
             .start()
         )
         query.awaitTermination()
-        return stream.sparkSession.read.parquet(f"{self.folder}/changes")
-
-
+        return self.events(stream.sparkSession).filter("batch >= 0")
