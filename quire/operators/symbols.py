@@ -1,14 +1,16 @@
 """Definitions in source files as a symbol table, and summaries made from it.
 
-A file is one row and stays one: its lines are an array, rules are tested on
-array elements inside the row, and only symbols leave it. Nothing is shuffled.
-A small Arrow helper links lines (nesting, statement ends, comments) in one pass
-over integers. It is a line scan, not a parser: definitions inside multi-line
+A file is one row until its lines are linked, then each line that can start a
+definition is a row and the rules are tested on it. Nothing is shuffled for the
+symbol table. A small Arrow helper links lines (nesting, statement ends,
+comments) in one pass over integers. It is a line scan, not a parser: definitions inside multi-line
 strings or comments may show up.
 """
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,14 @@ from pyspark.sql.functions import pandas_udf
 
 from quire.functions import paths as P
 from quire.functions import text as T
-from quire.operators.symbol_rules import CONTAINERS, DEFAULT_RULES, INDENTED, MODIFIERS, SymbolRule, supported_languages
+from quire.operators.symbol_rules import (
+    CONTAINERS,
+    DEFAULT_RULES,
+    INDENTED,
+    MODIFIERS,
+    SymbolRule,
+    supported_languages,
+)
 
 INTS = ST.ArrayType(ST.IntegerType())
 LINKS = ST.StructType([ST.StructField(n, INTS) for n in ("depth", "parent", "stop", "next", "comment")])
@@ -69,199 +78,217 @@ def _links(levels: pd.Series, deltas: pd.Series, parens: pd.Series, marks: pd.Se
     return pd.DataFrame(rows, columns=LINKS.names)
 
 
-def _is(lang: str) -> Column:
-    return F.col("code_lang") == lang
-
-
-def _rule_test(rule: SymbolRule, head: Column, depth: Column, parent_kind: Column) -> Column:
-    hit = F.rlike(head, F.lit(rule.regex))
-    member = parent_kind.isin(*rule.parents) if rule.parents else None
-    outside = depth == 0 if rule.top else None
-    place = member if outside is None else outside if member is None else (member | outside)
-    return hit if place is None else place & hit
-
-
 def _by_language(rules: tuple[SymbolRule, ...], pick) -> Column:
     """CASE on the language around the CASE of its own rules."""
     out = None
     for lang in supported_languages(rules):
         own = pick([r for r in rules if r.lang == lang])
-        out = F.when(_is(lang), own) if out is None else out.when(_is(lang), own)
-    return out
+        if own is not None:
+            test = F.col("code_lang") == lang
+            out = F.when(test, own) if out is None else out.when(test, own)
+    return out if out is not None else F.lit(None).cast("int")
 
 
-def _first_rule(rules: tuple[SymbolRule, ...], head: Column, depth: Column, parent_kind: Column) -> Column:
-    """Index of the first rule that applies, null if none."""
+def _first_rule(rules: tuple[SymbolRule, ...], own_test) -> Column:
+    """Index of the first rule whose test holds, null if none."""
     number = {r: i for i, r in enumerate(rules)}
 
-    def pick(own: list[SymbolRule]) -> Column:
+    def pick(own: list[SymbolRule]) -> Column | None:
         out = None
         for r in own:
-            test, index = _rule_test(r, head, depth, parent_kind), F.lit(number[r])
-            out = F.when(test, index) if out is None else out.when(test, index)
+            test = own_test(r)
+            if test is not None:
+                index = F.lit(number[r])
+                out = F.when(test, index) if out is None else out.when(test, index)
         return out
 
     return _by_language(rules, pick)
 
 
-def _container(rules: tuple[SymbolRule, ...], head: Column) -> Column:
-    """Kind and name of a line that opens a block with members."""
+def _rule_test(rule: SymbolRule) -> Column:
+    """The head matches and the statement is where the rule wants it."""
+    hit = F.rlike("head", F.lit(rule.regex))
+    places = []
+    if rule.parents:
+        places.append(F.col("parent_kind").isin(*rule.parents))
+    if rule.top:
+        places.append(F.col("depth") == 0)
+    return hit if not places else (places[0] if len(places) == 1 else places[0] | places[1]) & hit
 
-    def pick(own: list[SymbolRule]) -> Column:
-        out = None
-        for r in own:
-            if r.kind not in CONTAINERS:
-                continue
-            test = F.rlike(head, F.lit(r.regex))
-            value = F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract(head, r.regex, 1).alias("name"))
-            out = F.when(test, value) if out is None else out.when(test, value)
-        return out if out is not None else F.lit(None).cast("struct<kind:string,name:string>")
 
-    return _by_language(rules, pick)
+def _container_test(rule: SymbolRule) -> Column | None:
+    """The line opens a block with members."""
+    return F.rlike("parent_text", F.lit(rule.regex)) if rule.kind in CONTAINERS else None
+
+
+RULE_ROW = "array<struct<kind:string,regex:string,member:boolean,rank:int>>"
+
 
+def _rule_table(rules: tuple[SymbolRule, ...]) -> Column:
+    """The rules as one constant array, so that a row can look up its own."""
+    rows = [
+        {"kind": r.kind, "regex": r.regex, "member": bool(r.parents), "rank": -1 if r.rank is None else r.rank}
+        for r in rules
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), RULE_ROW)
 
-def _by_rule(rules: tuple[SymbolRule, ...], index: Column, value) -> Column:
-    """A fixed property of a rule, looked up by its index."""
-    return F.get(F.array(*[F.lit(value(r)) for r in rules]), index)
 
+def _once(value: Column, keep_null: bool = False) -> Column:
+    return F.explode(F.filter(F.array(value), lambda x: F.lit(True) if keep_null else x.isNotNull()))
 
-def _signature(head: Column, kind: Column) -> Column:
+
+def _signature() -> Column:
     """The statement head without the opener of its body."""
-    one = F.trim(F.regexp_replace(head, r"\s+", " "))
-    python = F.regexp_replace(F.regexp_extract(one, r"^((?:async )?(?:def|class) .*?(?:\(.*\))?(?: ?-> ?.+?)?) ?:(?: .*)?$", 1), r" +$", "")
-    python = F.when(kind.isin("class", "function", "method") & (python != ""), python).otherwise(one)
-    braces = F.regexp_replace(one, r"\s*\{.*$", "")
-    # What follows "=" is a value of a constant, and a body only for definitions.
-    braces = F.when(kind.isin("constant", "property", "global", "field", "static", "import"), one).otherwise(braces)
+    one = F.trim(F.regexp_replace("head", r"\s+", " "))
+    named = F.regexp_extract(one, r"^((?:async )?(?:def|class) .*?(?:\(.*\))?(?: ?-> ?.+?)?) ?:(?: .*)?$", 1)
+    python = F.when(F.col("kind").isin("class", "function", "method") & (named != ""), F.rtrim(named)).otherwise(one)
+    # What follows a brace is a body, except in the value of a variable.
+    valued = F.col("kind").isin("constant", "property", "global", "field", "static", "import")
+    braces = F.when(valued, one).otherwise(F.regexp_replace(one, r"\s*\{.*$", ""))
     return F.when(F.col("code_lang").isin(*INDENTED), python).otherwise(F.regexp_replace(braces, r"\s*;\s*$", ""))
 
 
-def with_symbols(
-    files: DataFrame, rules: tuple[SymbolRule, ...] = DEFAULT_RULES, content: str = "content"
-) -> DataFrame:
-    """Files in a language with rules, plus an array column ``symbols`` in line order."""
-    source = files.withColumn("code_lang", P.code_language(F.col("path"), F.col(content))).filter(
-        F.col("code_lang").isin(*supported_languages(rules))
-    )
+# Strings and comments open no block. A quote must be closed on its line.
+LITERAL = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+BRACE_NOISE = rf"(?m){LITERAL}|`[^`\n]*`|//.*$|/\*.*?\*/|/\*.*$|^\s*\*.*$"
+INDENT_NOISE = rf"(?m){LITERAL}|#.*$"
+STATEMENT = r"^\s*[\w#@~$*]"
+COMMENT_LINE = r"^\s*(?://|/\*|#(?![\[!]|\s*(?:include|define|if|endif|else|pragma)))"
+COMMENT_MORE = r"^\s*\*|^[^\"']*\*/\s*$"
+
+
+def statements(files: DataFrame, languages: list[str], content: str = "content") -> DataFrame:
+    """One row per line that can start a definition, with what surrounds it.
+
+    ``repo_id, path, code_lang, i, head, depth, parent_i, parent_text, doc_text,
+    comment_text``. A file is one row until its lines are linked, so nothing is
+    shuffled and the other columns of a file are not repeated.
+    """
     indented = F.col("code_lang").isin(*INDENTED)
-    lined = source.withColumn("_lines", T.lines(F.col(content)))
-    # Strings and line comments do not open blocks. The patterns refuse an
-    # apostrophe that is no string (a lifetime, a possessive) by asking for its end.
-    literal = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`"
-    code = lambda x: F.regexp_replace(
-        F.regexp_replace(x, literal, ""), r"//.*$|/\*.*?\*/|/\*.*$|^\s*\*.*$", ""
-    )
-    script = lambda x: F.regexp_replace(F.regexp_replace(x, r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", ""), r"#.*$", "")
-    balance = lambda x, a, b: (
-        (F.length(F.replace(x, F.lit(b), F.lit(""))) - F.length(F.replace(x, F.lit(a), F.lit("")))).cast("int")
-    )
-    bare = lined.withColumn(
-        "_code", F.when(indented, F.transform("_lines", script)).otherwise(F.transform("_lines", code))
+    text = F.regexp_replace(F.col(content), r"\r\n?", "\n")
+    source = files.select(
+        "repo_id", "path", P.code_language(F.col("path"), F.col(content)).alias("code_lang"), text.alias("_text")
+    ).filter(F.col("code_lang").isin(*languages))
+    lined = source.select(
+        "repo_id",
+        "path",
+        "code_lang",
+        F.split("_text", "\n", -1).alias("_lines"),
+        F.split(
+            F.when(indented, F.regexp_replace("_text", INDENT_NOISE, "")).otherwise(
+                F.regexp_replace("_text", BRACE_NOISE, "")
+            ),
+            "\n",
+            -1,
+        ).alias("_code"),
     )
+
+    def balance(opened: str, closed: str) -> Column:
+        # Lines without either are the rule; they cost two searches.
+        return F.transform(
+            "_code",
+            lambda x: F.when(
+                F.contains(x, F.lit(opened)) | F.contains(x, F.lit(closed)),
+                F.length(F.replace(x, F.lit(closed), F.lit(""))) - F.length(F.replace(x, F.lit(opened), F.lit(""))),
+            ).otherwise(0),
+        )
+
     # A brace alone on its line belongs to the statement above it.
     level = F.when(
         indented,
         F.transform(
             "_lines",
-            lambda x: F.when(F.rlike(x, F.lit(r"^\s*(?:#.*)?$")), BLANK).otherwise(
-                F.length(F.regexp_extract(x, r"^(\s*)", 1))
-            ),
+            lambda x: F.when(F.ltrim(x) == "", BLANK)
+            .when(F.startswith(F.ltrim(x), F.lit("#")), BLANK)
+            .otherwise(F.length(F.regexp_extract(x, r"^(\s*)", 1))),
         ),
-    ).otherwise(
-        F.transform("_code", lambda x: F.when(F.rlike(x, F.lit(r"^\s*\{?\s*$")), BLANK).otherwise(0))
-    )
+    ).otherwise(F.transform("_code", lambda x: F.when(F.trim(x).isin("", "{"), BLANK).otherwise(0)))
     mark = F.transform(
         "_lines",
-        lambda x: F.when(F.rlike(x, F.lit(r"^\s*(?://|#(?![\[!]|\s*(?:include|define|if|endif|else|pragma)))")), 1)
-        .when(F.rlike(x, F.lit(r"^\s*/\*")), 1)
-        .when(F.rlike(x, F.lit(r"^\s*\*|^[^\"']*\*/\s*$")), 2)
-        .otherwise(0)
-        .cast("int"),
-    )
-    linked = bare.withColumn(
-        "_links",
-        _links(
-            level,
-            F.when(~indented, F.transform("_code", lambda x: balance(x, "{", "}"))),
-            F.transform("_code", lambda x: balance(x, "(", ")")),
-            mark,
-        ),
+        lambda x: F.when(F.rlike(x, F.lit(COMMENT_LINE)), 1).when(F.rlike(x, F.lit(COMMENT_MORE)), 2).otherwise(0),
     )
+    linked = lined.withColumn("_links", _links(level, F.when(~indented, balance("{", "}")), balance("(", ")"), mark))
     line = lambda i: F.get("_lines", i)
     at = lambda name, i: F.get(F.col("_links")[name], i)
 
-    def head_of(i: Column) -> Column:
+    def statement(i: Column) -> Column:
         stop = at("stop", i)
-        return F.when(stop == i, line(i)).otherwise(
-            F.concat(line(i), F.lit(" "), F.array_join(F.transform(F.slice("_lines", i + 2, stop - i), F.trim), " "))
-        )
-
-    numbered = F.when(F.size("_lines") > 0, F.sequence(F.lit(0), F.size("_lines") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    # One cheap test per line before anything is put together for it.
-    started = F.filter(numbered, lambda i: F.rlike(F.get("_code", i), F.lit(r"^\s*[\w#@~$*]")))
-    heads = F.transform(
-        started,
-        lambda i: F.struct(
+        rest = F.array_join(F.transform(F.slice("_lines", i + 2, stop - i), F.trim), " ")
+        return F.struct(
             i.alias("i"),
-            head_of(i).alias("head"),
+            F.when(stop == i, line(i)).otherwise(F.concat(line(i), F.lit(" "), rest)).alias("head"),
             at("depth", i).alias("depth"),
             at("parent", i).alias("parent_i"),
-            _container(rules, line(at("parent", i))).alias("parent"),
-        ),
-    )
-    ruled = F.filter(
-        F.transform(
-            heads,
-            lambda h: F.struct(h.alias("h"), _first_rule(rules, h["head"], h["depth"], h["parent"]["kind"]).alias("rule")),
-        ),
-        lambda s: s["rule"].isNotNull(),
-    )
-
-    def symbol(s: Column) -> Column:
-        h, rule = s["h"], s["rule"]
-        i, head = h["i"], h["head"]
-        kind = _by_rule(rules, rule, lambda r: r.kind)
-        nxt = at("next", at("stop", i))
-        opens_doc = F.rlike(line(nxt), F.lit("^\\s*[rRbBuU]{0,2}(?:\"|')"))
-        doc_text = F.concat_ws("\n", F.regexp_replace(F.trim(line(nxt)), r"^[rRbBuU]{1,2}(?=[\"'])", ""), F.when(
-            ~F.rlike(F.trim(line(nxt)), F.lit("^[rRbBuU]{0,2}(\"\"\"|'''|\"|').*\\1$")) | F.trim(line(nxt)).isin('"""', "'''"), line(nxt + 1)))
-        above = at("comment", i)
-        return F.struct(
-            (i + 1).alias("line_no"),
-            kind.alias("kind"),
-            F.call_function("regexp_extract", head, _by_rule(rules, rule, lambda r: r.regex), F.lit(1)).alias("name"),
-            _signature(head, kind).alias("signature"),
-            F.when(_by_rule(rules, rule, lambda r: bool(r.parents)), h["parent"]["name"]).alias("parent"),
-            F.when(_by_rule(rules, rule, lambda r: bool(r.parents)), h["parent_i"] + 1).alias("parent_line"),
-            F.filter(
-                F.split(F.regexp_extract(F.trim(head), r"^((?:(?:" + "|".join(MODIFIERS) + r")(?:\([^)]*\))?\s+)+)", 1), r"\s+"),
-                lambda m: m != "",
-            ).alias("modifiers"),
-            F.when(indented & kind.isin("class", "function", "method") & opens_doc, T.clean_docstring(doc_text)).alias("doc"),
+            line(at("parent", i)).alias("parent_text"),
+            F.when(
+                indented,
+                F.concat_ws("\n", line(at("next", stop)), line(at("next", stop) + 1)),
+            ).alias("doc_text"),
             F.when(
-                above >= 0, T.clean_comment(F.array_join(F.slice("_lines", above + 1, i - above), "\n"))
-            ).alias("comment"),
-            _by_rule(rules, rule, lambda r: -1 if r.rank is None else r.rank).alias("rank"),
+                at("comment", i) >= 0, F.array_join(F.slice("_lines", at("comment", i) + 1, i - at("comment", i)), "\n")
+            ).alias("comment_text"),
         )
 
-    return linked.withColumn("symbols", F.transform(ruled, symbol)).drop("_lines", "_code", "_links")
+    numbered = F.sequence(F.lit(0), F.size("_lines") - 1)
+    started = F.filter(numbered, lambda i: F.rlike(F.get("_code", i), F.lit(STATEMENT)))
+    return linked.select("repo_id", "path", "code_lang", F.inline(F.transform(started, statement)))
+
+
+def _doc() -> Column:
+    """The string that opens a Python body: its first line, and the second if it is open."""
+    rows = F.split("doc_text", "\n", 2)
+    first = F.regexp_replace(F.trim(F.get(rows, F.lit(0))), r"^[rRbBuU]{1,2}(?=[\"'])", "")
+    closed = F.rlike(first, F.lit("^(?:\"\"\".+\"\"\"|'''.+'''|\"[^\"].*\"|'[^'].*')\\s*(?:#.*)?$"))
+    whole = F.when(closed, first).otherwise(F.concat_ws("\n", first, F.get(rows, F.lit(1))))
+    return F.when(F.rlike(first, F.lit("^[\"']")), T.clean_docstring(whole))
 
 
 SYMBOL_COLUMNS = ["line_no", "kind", "name", "signature", "parent", "modifiers", "doc", "comment"]
 
 
-def symbols(files: DataFrame, rules: tuple[SymbolRule, ...] = DEFAULT_RULES, language: str | None = None) -> DataFrame:
-    """``repo_id, path, lang`` and the columns of each symbol."""
-    rows = with_symbols(files, rules)
-    if language:
-        rows = rows.filter(F.col("code_lang") == language)
-    return rows.select("repo_id", "path", F.col("code_lang").alias("lang"), F.inline("symbols")).select(
-        "repo_id", "path", "lang", *SYMBOL_COLUMNS
+def _symbol_rows(files: DataFrame, rules: tuple[SymbolRule, ...], content: str = "content") -> DataFrame:
+    rows = statements(files, supported_languages(rules), content)
+    # Exploding an array of at most one element tests the rules once per row and
+    # drops the rows without one; a filter on a column would test them twice.
+    placed = rows.select("*", _once(_first_rule(rules, _container_test), keep_null=True).alias("_container"))
+    table = _rule_table(rules)
+    of = lambda index, name: F.get(table, F.col(index))[name]
+    placed = placed.withColumn("parent_kind", of("_container", "kind"))
+    hit = placed.select("*", _once(_first_rule(rules, _rule_test)).alias("_rule"))
+    is_member = of("_rule", "member") & F.col("_container").isNotNull()
+    named = lambda text, index: F.call_function(
+        "regexp_extract", F.col(text), of(index, "regex"), F.lit(1)
+    )
+    words = "|".join(MODIFIERS)
+    lead = F.regexp_extract(F.ltrim("head"), rf"^((?:(?:{words})(?:\([^)]*\))?\s+)+)", 1)
+    documented = F.col("code_lang").isin(*INDENTED) & F.col("kind").isin("class", "function", "method")
+    return (
+        hit.withColumn("kind", of("_rule", "kind"))
+        .withColumn("_member", is_member)
+        .select(
+            "repo_id",
+            "path",
+            F.col("code_lang").alias("lang"),
+            (F.col("i") + 1).alias("line_no"),
+            "kind",
+            named("head", "_rule").alias("name"),
+            _signature().alias("signature"),
+            F.when(F.col("_member"), named("parent_text", "_container")).alias("parent"),
+            F.when(F.col("_member"), F.col("parent_i") + 1).alias("parent_line"),
+            F.filter(F.split(lead, r"\s+"), lambda m: m != "").alias("modifiers"),
+            F.when(documented, _doc()).alias("doc"),
+            T.clean_comment(F.col("comment_text")).alias("comment"),
+            of("_rule", "rank").alias("rank"),
+        )
     )
 
 
+def symbols(files: DataFrame, rules: tuple[SymbolRule, ...] = DEFAULT_RULES, language: str | None = None) -> DataFrame:
+    """``repo_id, path, lang`` and the columns of each symbol; of one language if named."""
+    own = rules if language is None else tuple(r for r in rules if r.lang == language)
+    return _symbol_rows(files, own).select("repo_id", "path", "lang", *SYMBOL_COLUMNS)
+
+
 # --- fixed values: languages whose block entries are closed by a brace -------
 BRACED = ("javascript", "typescript", "java", "cpp", "c")
 BLOCK_KINDS = ("class", "interface", "enum", "struct", "trait", "impl", "namespace", "mod")
@@ -273,22 +300,28 @@ def summaries(
     """``repo_id, path, summary``: header, then sections in the order of the language.
 
     Members follow their class. Without ``all_kinds`` only the kinds with a rank
-    are printed.
+    are printed. Symbols of a file are gathered by file, which its size bounds;
+    every file in a language with rules has a summary.
     """
-    rows = with_symbols(files, rules)
-    entries = F.transform(
-        "symbols",
-        lambda s: F.struct(
-            F.when(s["rank"] >= 0, s["rank"]).otherwise(F.lit(99)).alias("rank"),
-            F.coalesce(s["parent_line"], s["line_no"]).alias("owner"),
-            s["line_no"].alias("line_no"),
-            s["kind"].alias("kind"),
-            s["parent_line"].isNotNull().alias("member"),
-            s["signature"].alias("signature"),
-            s["doc"].alias("doc"),
-        ),
+    coded = files.select("repo_id", "path", P.code_language(F.col("path"), F.col("content")).alias("code_lang")).filter(
+        F.col("code_lang").isin(*supported_languages(rules))
+    )
+    gathered = _symbol_rows(files, rules).groupBy("repo_id", "path").agg(
+        F.collect_list(
+            F.struct(
+                F.when(F.col("rank") >= 0, F.col("rank")).otherwise(F.lit(99)).alias("rank"),
+                F.coalesce("parent_line", "line_no").alias("owner"),
+                "line_no",
+                "kind",
+                F.col("parent_line").isNotNull().alias("member"),
+                "signature",
+                "doc",
+            )
+        ).alias("_entries")
     )
-    with_entries = rows.withColumn("_entries", entries).withColumn(
+    with_entries = coded.join(gathered, ["repo_id", "path"], "left").withColumn(
+        "_entries", F.coalesce(F.col("_entries"), F.from_json(F.lit("[]"), gathered.schema["_entries"].dataType))
+    ).withColumn(
         "_ranks",
         F.map_from_entries(
             F.transform(F.filter("_entries", lambda e: ~e["member"]), lambda e: F.struct(e["line_no"], e["rank"]))

@@ -21,23 +21,22 @@ KEYS = ("repo_id", "path")
 FILES = I.FILES_SQL
 
 
-def on_files(name, column, sql):
+def on_files(name, make, sql):
     """A query that adds one column to the files."""
 
     @query(name, f"select repo_id, path, {sql} as {name} from {FILES}")
     def run(spark, sf_dir):
-        return I.files(spark, sf_dir).select(*KEYS, column.alias(name))
+        return I.files(spark, sf_dir).select(*KEYS, make().alias(name))
 
 
-path, content = F.col("path"), F.col("content")
-on_files("rel_path", P.relative_to(path, "docs/en"), "case when starts_with(path, 'docs/en/') then substr(path, 9) else path end")
-on_files("path_ext", P.ext(path), Q.ext("path"))
-on_files("fence_lang", P.fence_language(path), Q.fence_lang("path"))
-on_files("line_count", T.line_count(content), Q.lines("content"))
-on_files("word_count", T.word_count(content), Q.words("content"))
-on_files("content_sha256", T.sha256(content.cast("binary")), "sha256(content)")
-on_files("head_lines", T.head_lines(content, 3), Q.head_lines("content", 3))
-on_files("rstrip_newlines", T.rstrip_newlines(F.concat(content, F.lit("\n\n"))), f"{Q.rstrip_newlines('content')}")
+on_files("rel_path", lambda: P.relative_to(F.col("path"), "docs/en"), "case when starts_with(path, 'docs/en/') then substr(path, 9) else path end")
+on_files("path_ext", lambda: P.ext(F.col("path")), Q.ext("path"))
+on_files("fence_lang", lambda: P.fence_language(F.col("path")), Q.fence_lang("path"))
+on_files("line_count", lambda: T.line_count(F.col("content")), Q.lines("content"))
+on_files("word_count", lambda: T.word_count(F.col("content")), Q.words("content"))
+on_files("content_sha256", lambda: T.sha256(F.col("content").cast("binary")), "sha256(content)")
+on_files("head_lines", lambda: T.head_lines(F.col("content"), 3), Q.head_lines("content", 3))
+on_files("rstrip_newlines", lambda: T.rstrip_newlines(F.concat(F.col("content"), F.lit("\n\n"))), f"{Q.rstrip_newlines('content')}")
 
 SHEBANG = """case doc_id % 5 when 0 then '#!/usr/bin/env python3' when 1 then '#! /usr/bin/node' when 2 then '#!/bin/sh' else '' end"""
 
@@ -49,27 +48,27 @@ SHEBANG = """case doc_id % 5 when 0 then '#!/usr/bin/env python3' when 1 then '#
 )
 def code_lang(spark, sf_dir):
     files = I.files(spark, sf_dir).withColumn("content", F.concat(F.expr(SHEBANG), F.lit("\n"), "content"))
-    return files.select(*KEYS, P.code_language(path, content).alias("code_lang"))
+    return files.select(*KEYS, P.code_language(F.col("path"), F.col("content")).alias("code_lang"))
 
 
 @query("decode_text", f"select repo_id, path, content as text from {FILES}")
 def decode_text(spark, sf_dir):
     """Texts that fit Latin-1 are stored so; what is not UTF-8 must be decoded by it."""
-    latin = F.rlike(content, F.lit(r"\A[\x00-\xFF]*\z"))
-    stored = F.when(latin, F.encode(content, "ISO-8859-1")).otherwise(F.encode(content, "UTF-8"))
+    latin = F.rlike(F.col("content"), F.lit(r"\A[\x00-\xFF]*\z"))
+    stored = F.when(latin, F.encode(F.col("content"), "ISO-8859-1")).otherwise(F.encode(F.col("content"), "UTF-8"))
     return I.files(spark, sf_dir).select(*KEYS, T.decode(stored).alias("text"))
 
 
 @query("normalize_newlines", f"select repo_id, path, {Q.normalized('content')} as text from {FILES}")
 def normalize_newlines(spark, sf_dir):
     """Breaks are turned into CRLF or CR first."""
-    mixed = F.when(F.col("doc_id") % 2 == 0, F.replace(content, F.lit("\n"), F.lit("\r\n"))).otherwise(
-        F.replace(content, F.lit("\n"), F.lit("\r"))
+    mixed = F.when(F.col("doc_id") % 2 == 0, F.replace(F.col("content"), F.lit("\n"), F.lit("\r\n"))).otherwise(
+        F.replace(F.col("content"), F.lit("\n"), F.lit("\r"))
     )
     # Texts with breaks of their own kind stay as they are.
-    own = F.contains(content, F.lit("\r"))
+    own = F.contains(F.col("content"), F.lit("\r"))
     return I.files(spark, sf_dir).select(
-        *KEYS, T.normalize_newlines(F.when(own, content).otherwise(mixed)).alias("text")
+        *KEYS, T.normalize_newlines(F.when(own, F.col("content")).otherwise(mixed)).alias("text")
     )
 
 
@@ -83,7 +82,7 @@ def normalize_newlines(spark, sf_dir):
         group by repo_id, path""",
 )
 def head_bytes(spark, sf_dir):
-    return I.files(spark, sf_dir).select(*KEYS, T.head_bytes(content, 500).alias("head"))
+    return I.files(spark, sf_dir).select(*KEYS, T.head_bytes(F.col("content"), 500).alias("head"))
 
 
 NUMBERED = r"""array_to_string(list_transform(range(1, {n} + 1), lambda i: lpad(cast(i as varchar), cast(greatest(4, len(cast(i as varchar))) as integer), ' ') || ' | ' || l[i]), chr(10))"""
@@ -94,7 +93,7 @@ SPLIT = (
 
 @query("number_lines", f"select repo_id, path, {NUMBERED.format(n='len(l)')} as numbered from (select repo_id, path, {SPLIT} as l from {FILES}) f")
 def number_lines(spark, sf_dir):
-    return I.files(spark, sf_dir).select(*KEYS, T.number_lines(content).alias("numbered"))
+    return I.files(spark, sf_dir).select(*KEYS, T.number_lines(F.col("content")).alias("numbered"))
 
 
 @query(
@@ -139,8 +138,8 @@ def truncation_note(spark, sf_dir):
 def content_mode(spark, sf_dir):
     """Python files have a summary here; it is used unless the file was cut."""
     files = I.files(spark, sf_dir)
-    made = files.filter(F.endswith(F.lower(path), F.lit(".py"))).select(
-        *KEYS, F.concat(F.lit("# "), path).alias("summary")
+    made = files.filter(F.endswith(F.lower(F.col("path")), F.lit(".py"))).select(
+        *KEYS, F.concat(F.lit("# "), F.col("path")).alias("summary")
     )
     options = PackOptions(file_max_lines=4, compress=True)
     return M.processed_files(files, options, made).select(*KEYS, "mode")
@@ -150,7 +149,7 @@ def content_mode(spark, sf_dir):
 def token_count(spark, sf_dir):
     """Pre-tokens of the public byte-pair pattern, and words."""
     return I.files(spark, sf_dir).select(
-        *KEYS, K.token_count(content, "pretokens").alias("pretokens"), K.token_count(content, "words").alias("words")
+        *KEYS, K.token_count(F.col("content"), "pretokens").alias("pretokens"), K.token_count(F.col("content"), "words").alias("words")
     )
 
 
@@ -242,7 +241,7 @@ def block_sql(body: str) -> str:
 
 
 def with_ticks(spark, sf_dir):
-    return I.files(spark, sf_dir).withColumn("content", F.expr(TICKS)).withColumn("lang", P.fence_language(path))
+    return I.files(spark, sf_dir).withColumn("content", F.expr(TICKS)).withColumn("lang", P.fence_language(F.col("path")))
 
 
 @query(
@@ -250,7 +249,7 @@ def with_ticks(spark, sf_dir):
     block_sql("'Relative File Path: ' || path || chr(10) || chr(10) || '```' || lang || chr(10) || content || chr(10) || '```' || chr(10)"),
 )
 def render_default(spark, sf_dir):
-    return with_ticks(spark, sf_dir).select(*KEYS, R.default_block(path, F.col("lang"), content).alias("text"))
+    return with_ticks(spark, sf_dir).select(*KEYS, R.default_block(F.col("path"), F.col("lang"), F.col("content")).alias("text"))
 
 
 @query(
@@ -258,7 +257,7 @@ def render_default(spark, sf_dir):
     block_sql(f"'## ' || path || chr(10) || {Q.fence('content')} || lang || chr(10) || content || chr(10) || {Q.fence('content')} || chr(10)"),
 )
 def render_markdown(spark, sf_dir):
-    return with_ticks(spark, sf_dir).select(*KEYS, R.markdown_block(path, F.col("lang"), content).alias("text"))
+    return with_ticks(spark, sf_dir).select(*KEYS, R.markdown_block(F.col("path"), F.col("lang"), F.col("content")).alias("text"))
 
 
 @query(

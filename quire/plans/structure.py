@@ -100,7 +100,7 @@ def shown(symbols):
 def on_language(name: str, lang: str) -> None:
     @query(name, expected_sql(lang))
     def run(spark, sf_dir):
-        return shown(S.symbols(I.code_files(spark, sf_dir, lang)))
+        return shown(S.symbols(I.code_files(spark, sf_dir, lang), language=lang))
 
 
 on_language("symbols_python", "python")
