@@ -11,7 +11,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -28,43 +28,39 @@ VOID_ELEMENTS = frozenset(
     "menuitem meta nextid param source spacer track wbr".split()
 )
 TAG_RE = r"<[/!?a-zA-Z][^>]*>"
-COMMENT_RE = r"(?s)<!--.*?-->"
+# Text no tag is looked for in; the first opener wins.
+OPAQUE_RE = r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>|<!--.*?-->"
+BLOCKS = "|".join(C.DROPPED_ELEMENTS[2:])
+BLOCK_RE = rf"(?is)<({BLOCKS})(?:\s[^>]*)?>.*?</\1\s*>"
+BLOCK_TAG_RE = rf"(?i)<(/?(?:{BLOCKS}))(?=[\s/>])"
+PAIRED_RE = rf"(?i)\A(?:({BLOCKS}) /\1 )*\z"
 RARE_RE = (
     r"(?i)&(?!(?:amp|lt|gt|quot|apos|nbsp|copy|middot);)[#a-z]"  # other entities
     r"|=\s*\"[^\"<>]*>[^\"]*\"|=\s*'[^'<>]*>[^']*'"  # '>' in an attribute
-    r"|<!\[|<textarea|<title(?![^>]*>[^<]*</title)"
+    r"|<!\[|<!--|</?(?:script|style|textarea|plaintext|xmp|iframe|noembed|noframes)\b"
 )
 
 
-def _block(tag: str) -> str:
-    return rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"
+def _needs_parser(bare: Column) -> Column:
+    """True if the SQL form is not sure to agree with a parser.
 
+    ``bare`` is the page without scripts, styles and comments. The dropped
+    elements must be closed one by one, without nesting.
+    """
+    tags = F.regexp_extract_all(bare, F.lit(BLOCK_TAG_RE), F.lit(1))
+    sequence = F.array_join(F.transform(tags, lambda t: F.concat(F.lower(t), F.lit(" "))), "")
+    return F.rlike(bare, F.lit(RARE_RE)) | ~F.rlike(sequence, F.lit(PAIRED_RE))
 
-def needs_parser(html: Column) -> Column:
-    """True if the SQL form is not sure to agree with a parser."""
-    # Scripts first: their text is opaque, so tags inside it do not count.
-    bare = F.regexp_replace(F.regexp_replace(html, _block("script"), ""), _block("style"), "")
-    bare = F.regexp_replace(bare, COMMENT_RE, "")
-    odd = F.rlike(bare, F.lit(RARE_RE))
-    odd = odd | F.contains(bare, F.lit("<!--")) | F.rlike(bare, F.lit(r"(?i)</?(?:script|style)\b"))
-    for tag in C.DROPPED_ELEMENTS[2:]:
-        opened = F.regexp_count(bare, F.lit(rf"(?i)<{tag}[\s/>]"))
-        paired = F.regexp_count(bare, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(?:(?!</?{tag}[\s/>]).)*+</{tag}\s*>"))
-        odd = odd | (opened != paired)
-    return odd
 
-
-def _plain_text(html: Column) -> Column:
-    out = html
-    for tag in C.DROPPED_ELEMENTS:
-        out = F.regexp_replace(out, _block(tag), "<_>")
-    out = F.regexp_replace(out, COMMENT_RE, "<!>")
-    nodes = F.split(F.replace(out, F.lit("<_>"), F.lit("<!>")), TAG_RE, -1)
+def _plain_text(bare: Column) -> Column:
+    nodes = F.split(F.regexp_replace(bare, BLOCK_RE, "<!>"), TAG_RE, -1)
 
     def clean(node: Column) -> Column:
+        decoded = node
         for entity, char in ENTITIES.items():
-            node = F.replace(node, F.lit(entity), F.lit(char))
-        return F.regexp_replace(node, rf"\A[{C.SPACES}]+|[{C.SPACES}]+\z", "")
+            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        decoded = F.when(F.contains(node, F.lit("&")), decoded).otherwise(node)
+        return F.regexp_replace(decoded, rf"\A[{C.SPACES}]+|[{C.SPACES}]+\z", "")
 
     return F.array_join(F.filter(F.transform(nodes, clean), lambda x: x != ""), "\n")
 
@@ -106,10 +102,11 @@ def _parser_text(pages: pd.Series) -> pd.Series:
     return pages.map(parsed_text, na_action="ignore")
 
 
-def html_text(html: Column) -> Column:
-    """Text nodes, stripped, one per line."""
-    odd = needs_parser(html)
-    return F.coalesce(_parser_text(F.when(odd, html)), F.when(~odd, _plain_text(html)))
-
-
-__all__ = ["html_text", "needs_parser", "parsed_text"]
+def with_page_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
+    """Add the text nodes of a page, stripped, one per line."""
+    staged = pages.withColumn("_bare", F.regexp_replace(html, OPAQUE_RE, "<!>"))
+    staged = staged.withColumn("_odd", _needs_parser(F.col("_bare")))
+    # Plain pages reach Python as nulls.
+    staged = staged.withColumn("_parsed", _parser_text(F.when(F.col("_odd"), F.col(html))))
+    out = F.when(F.col("_odd"), F.col("_parsed")).otherwise(_plain_text(F.col("_bare")))
+    return staged.withColumn(text, out).drop("_bare", "_odd", "_parsed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,24 +20,59 @@ def decode(content: Column) -> Column:
 
 
 def normalize_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return _unix_breaks(text)
+
+
+def _contains_any(text: Column, chars: str) -> Column:
+    """Substring searches in the JVM; far cheaper than a character class."""
+    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in chars])
+
+
+# --- fixed values: breaks and white space that ordinary text does not have ----
+RARE_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+RARE_SPACES = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u3000\u205f"
+RARE_GENERAL_SPACES = "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f"
+
+
+def _unix_breaks(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def lines(text: Column) -> Column:
     """``str.splitlines()`` as an array; no line is kept with its break."""
-    broken = F.regexp_replace(text, rf"\r\n|[{C.BREAKS}]", "\n")
-    trimmed = F.regexp_replace(broken, r"\n\z", "")
+    plain = _unix_breaks(text)
+    broken = F.when(
+        _contains_any(text, RARE_BREAKS), F.regexp_replace(text, rf"\r\n|[{C.BREAKS}]", "\n")
+    ).otherwise(plain)
+    trimmed = F.when(F.endswith(broken, F.lit("\n")), F.left(broken, F.length(broken) - 1)).otherwise(broken)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "\n", -1))
 
 
 def line_count(text: Column) -> Column:
     """``len(str.splitlines())``."""
-    return F.regexp_count(text, F.lit(C.LINE_RE)).cast("bigint")
+    plain = _unix_breaks(text)
+    breaks = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit("\n"), F.lit("")))
+    open_end = F.when((text == "") | F.endswith(plain, F.lit("\n")), 0).otherwise(1)
+    return (
+        F.when(_contains_any(text, RARE_BREAKS), F.regexp_count(text, F.lit(C.LINE_RE)))
+        .otherwise(breaks + open_end)
+        .cast("bigint")
+    )
 
 
 def word_count(text: Column) -> Column:
     """``len(str.split())``."""
-    return F.regexp_count(text, F.lit(C.WORD_RE)).cast("bigint")
+    # The general spaces share two UTF-8 bytes; without those none is there.
+    general = F.contains(text.cast("binary"), F.lit(b"\xe2\x80")) & _contains_any(text, RARE_GENERAL_SPACES)
+    plain = text
+    for space in "\n\t\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    pieces = F.array_remove(F.split(plain, " ", -1), "")
+    return (
+        F.when(_contains_any(text, RARE_SPACES) | general, F.regexp_count(text, F.lit(C.WORD_RE)))
+        .otherwise(F.size(pieces))
+        .cast("bigint")
+    )
 
 
 def read_lines(text: Column) -> Column:

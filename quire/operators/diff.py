@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quire import constants as C
 from quire.functions import text as T
-from quire.operators.skew import in_segments
+from quire.operators.skew import BROADCAST_BYTES, in_segments, measured_bytes
+from quire.session import written
 
 KEYS = ["repo_id", "path"]
 DIFF_TYPE = "repo_id string, path string, diff string"
@@ -50,13 +51,19 @@ def modified(prev: DataFrame, curr: DataFrame) -> DataFrame:
 
 
 def text_pairs(prev: DataFrame, curr: DataFrame) -> DataFrame:
-    """``repo_id, path, old_is_text, new_is_text, old_available, old_text, new_text`` of modified files."""
-    changed = modified(prev, curr)
+    """``repo_id, path, old_is_text, new_is_text, old_available, old_text, new_text`` of modified files.
+
+    The modified keys are written down first. If their measured size allows it
+    they are broadcast, and unmodified contents never leave their map task.
+    """
+    changed = written(modified(prev, curr), "modified")
+    few = measured_bytes(changed) <= BROADCAST_BYTES
+    wanted = F.broadcast(changed) if few else changed
     old = prev.select(*KEYS, F.col("is_text").alias("old_is_text"), F.col("content").alias("_old"))
     new = curr.select(*KEYS, F.col("is_text").alias("new_is_text"), F.col("content").alias("new_text"))
     return (
-        changed.join(old, KEYS)
-        .join(new, KEYS)
+        old.join(wanted, KEYS, "left_semi")
+        .join(new.join(wanted, KEYS, "left_semi"), KEYS)
         .select(
             *KEYS,
             "old_is_text",

@@ -59,6 +59,9 @@ def positions(
     totals = totals or {}
     keys = [*group, *order]
     narrow = rows.select(*keys, *[F.expr(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in totals.items()])
+    # Range partitioning reads its input twice; the second read should not
+    # compute the keys and totals again.
+    narrow = written(narrow, "keys")
     place = F.monotonically_increasing_id()
     placed = written(
         narrow.repartitionByRange(*keys)

@@ -306,22 +306,24 @@ def summaries(
     coded = files.select("repo_id", "path", P.code_language(F.col("path"), F.col("content")).alias("code_lang")).filter(
         F.col("code_lang").isin(*supported_languages(rules))
     )
-    gathered = _symbol_rows(files, rules).groupBy("repo_id", "path").agg(
-        F.collect_list(
-            F.struct(
-                F.when(F.col("rank") >= 0, F.col("rank")).otherwise(F.lit(99)).alias("rank"),
-                F.coalesce("parent_line", "line_no").alias("owner"),
-                "line_no",
-                "kind",
-                F.col("parent_line").isNotNull().alias("member"),
-                "signature",
-                "doc",
-            )
-        ).alias("_entries")
+    found = _symbol_rows(files, rules).select(
+        "repo_id",
+        "path",
+        F.col("lang").alias("code_lang"),
+        F.struct(
+            F.when(F.col("rank") >= 0, F.col("rank")).otherwise(F.lit(99)).alias("rank"),
+            F.coalesce("parent_line", "line_no").alias("owner"),
+            "line_no",
+            "kind",
+            F.col("parent_line").isNotNull().alias("member"),
+            "signature",
+            "doc",
+        ).alias("entry"),
     )
-    with_entries = coded.join(gathered, ["repo_id", "path"], "left").withColumn(
-        "_entries", F.coalesce(F.col("_entries"), F.from_json(F.lit("[]"), gathered.schema["_entries"].dataType))
-    ).withColumn(
+    # A file without symbols still has its header.
+    all_files = found.unionByName(coded, allowMissingColumns=True)
+    with_entries = all_files.groupBy("repo_id", "path", "code_lang").agg(F.collect_list("entry").alias("_entries"))
+    with_entries = with_entries.withColumn(
         "_ranks",
         F.map_from_entries(
             F.transform(F.filter("_entries", lambda e: ~e["member"]), lambda e: F.struct(e["line_no"], e["rank"]))

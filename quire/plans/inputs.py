@@ -162,7 +162,8 @@ def code_files(spark: SparkSession, sf_dir: str, *languages: str) -> DataFrame:
             if not languages or lang in languages
         ]
     )
-    rows = part.select("*", F.inline(variants))
+    # The keys are small and the files made from them are not: spread them first.
+    rows = part.repartition(spark.sparkContext.defaultParallelism).select("*", F.inline(variants))
     return rows.select(
         "repo_id",
         F.concat(F.lit("src/C"), "k", "ext").alias("path"),

@@ -155,7 +155,7 @@ def token_count(spark, sf_dir):
 
 @query("html_to_text", f"select page_id, {Q.html_text('html')} as text from pages")
 def html_to_text(spark, sf_dir):
-    return I.table(spark, sf_dir, "pages").select("page_id", H.html_text(F.col("html")).alias("text"))
+    return H.with_page_text(I.table(spark, sf_dir, "pages").select("page_id", "html")).drop("html")
 
 
 # Links of every kind, made from the keys of the pages.

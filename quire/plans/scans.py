@@ -72,9 +72,8 @@ def repo_listing(spark, sf_dir):
 
 @query("pages_text", f"select url as source, {Q.html_text('html')} as content from pages")
 def pages_text(spark, sf_dir):
-    return I.table(spark, sf_dir, "pages").select(
-        F.col("url").alias("source"), H.html_text(F.col("html")).alias("content")
-    )
+    pages = I.table(spark, sf_dir, "pages").select(F.col("url").alias("source"), "html")
+    return H.with_page_text(pages, text="content").drop("html")
 
 
 ORDERED = """select conv_id, turn // 1024 as part, string_agg({text}, ' ' order by turn) as text
