@@ -66,34 +66,46 @@ def _plain_text(bare: Column) -> Column:
 
 
 class _TextNodes(HTMLParser):
-    """Collects the text nodes outside the dropped elements."""
+    """Collects the text nodes outside the dropped elements.
+
+    The parser hands over text in pieces; a node ends at the next tag or comment.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.pieces: list[str] = []
         self.nodes: list[str] = []
 
+    def end_node(self, *_) -> None:
+        node = "".join(self.pieces).strip()
+        self.pieces.clear()
+        if node:
+            self.nodes.append(node)
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = handle_startendtag = end_node
+
     def handle_starttag(self, tag, attrs):
+        self.end_node()
         if tag not in VOID_ELEMENTS:
             self.open.append(tag)
 
-    def handle_startendtag(self, tag, attrs):
-        pass
-
     def handle_endtag(self, tag):
+        self.end_node()
         if tag in self.open:
             while self.open.pop() != tag:
                 pass
 
     def handle_data(self, data):
-        if not any(tag in C.DROPPED_ELEMENTS for tag in self.open) and data.strip():
-            self.nodes.append(data.strip())
+        if not any(tag in C.DROPPED_ELEMENTS for tag in self.open):
+            self.pieces.append(data)
 
 
 def parsed_text(html: str) -> str:
     parser = _TextNodes()
     parser.feed(html)
     parser.close()
+    parser.end_node()
     return "\n".join(parser.nodes)
 
 

@@ -74,7 +74,7 @@ def over_token_limit(processed: DataFrame, max_tokens: int | None) -> DataFrame:
 def token_budget(processed: DataFrame, max_tokens: int) -> DataFrame:
     """Running tokens per repository in path order, and what fits the budget."""
     narrow = processed.select("repo_id", "path", "tokens", P.order_key(F.col("path")).alias("_key"))
-    placed = positions(narrow, ["repo_id"], ["_key"], {"running_tokens": "tokens"})
+    placed = positions(narrow, ["repo_id"], ["_key"], {"running_tokens": F.col("tokens")})
     return placed.select(
         "repo_id",
         F.replace("_key", F.lit("\0"), F.lit("/")).alias("path"),

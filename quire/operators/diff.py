@@ -209,7 +209,8 @@ def diff_texts(pairs: DataFrame) -> DataFrame:
 
 def report(lines: DataFrame, segment_bytes: int = 32 * 1024 * 1024) -> DataFrame:
     """Reports as strings of bounded size; see ``in_segments``."""
-    return in_segments(lines.withColumnRenamed("line", "text"), ["repo_id"], ["section", "key"], "text", segment_bytes)
+    texts = lines.withColumnRenamed("line", "text")
+    return in_segments(texts, ["repo_id"], ["section", "key"], "text", segment_bytes).drop("last_segment")
 
 
 def report_tokens(lines: DataFrame) -> DataFrame:

@@ -104,14 +104,12 @@ def assembled(parts: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame
     The end of a pack is stripped.
     """
     joined = in_segments(parts, ["repo_id"], PART_KEYS, "text", segment_bytes)
-    last = joined.groupBy("repo_id").agg(F.max("segment").alias("last_segment"))
-    return joined.join(last, "repo_id").select(
+    at_end = F.col("segment") == F.col("last_segment")
+    return joined.select(
         "repo_id",
         "segment",
         "n_parts",
-        F.when(
-            F.col("segment") == F.col("last_segment"), F.regexp_replace("text", rf"[{C.SPACES}]+\z", "")
-        ).otherwise(F.col("text")).alias("text"),
+        F.when(at_end, F.regexp_replace("text", rf"[{C.SPACES}]+\z", "")).otherwise(F.col("text")).alias("text"),
     )
 
 

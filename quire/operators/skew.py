@@ -42,13 +42,18 @@ def lookup_join(
 
 
 def positions(
-    rows: DataFrame, group: list[str], order: list[str], totals: dict[str, str | Column] | None = None
+    rows: DataFrame,
+    group: list[str],
+    order: list[str],
+    totals: dict[str, Column] | None = None,
+    carried: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Position of every row in its group, with running totals, for any group size.
 
     ``group + order`` must identify a row; pass narrow columns only. Gives
     ``group, order, position`` (from 1) and one running total per entry of
-    ``totals`` (name -> column), the row itself included.
+    ``totals`` (name -> column), the row itself included, and the columns of
+    ``carried`` as they are.
 
     A group is not gathered in one task. The rows are range-partitioned and
     sorted, and their place is written down; each (group, range) chunk is
@@ -56,9 +61,9 @@ def positions(
     hold. Only chunks that continue a group carry a shift, at most one per
     range, so that table is bounded by the number of partitions.
     """
-    totals = totals or {}
+    totals, carried = totals or {}, carried or {}
     keys = [*group, *order]
-    narrow = rows.select(*keys, *[F.expr(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in totals.items()])
+    narrow = rows.select(*keys, *[c.alias(n) for n, c in {**totals, **carried}.items()])
     # Range partitioning reads its input twice; the second read should not
     # compute the keys and totals again.
     narrow = written(narrow, "keys")
@@ -74,6 +79,7 @@ def positions(
     running = chunk.rowsBetween(W.unboundedPreceding, W.currentRow)
     local = placed.select(
         *keys,
+        *carried,
         "_chunk",
         F.row_number().over(chunk).cast("bigint").alias("position"),
         *[F.sum(n).over(running).alias(n) for n in totals],
@@ -94,6 +100,7 @@ def positions(
     shifted = local.join(F.broadcast(shifts), [*group, "_chunk"], "left")
     return shifted.select(
         *keys,
+        *carried,
         (F.col("position") + F.coalesce("_n", F.lit(0))).alias("position"),
         *[(F.col(n) + F.coalesce(f"_t_{n}", F.lit(0))).alias(n) for n in totals],
     )
@@ -104,17 +111,23 @@ def in_segments(
 ) -> DataFrame:
     """Ordered texts of a group joined into strings of bounded size.
 
-    ``group, segment, n_parts, text``: segments of one group, joined by ``sep``
-    in segment order, are the whole text. A segment ends at the part that
-    reaches ``segment_bytes``; small groups are one segment.
+    ``group, segment, last_segment, n_parts, text``: segments of one group,
+    joined by ``sep`` in segment order, are the whole text. A segment ends at the
+    part that reaches ``segment_bytes``; small groups are one segment.
     """
     size = (F.octet_length(text) + len(sep)).cast("bigint")
-    keys = [*group, *order]
-    placed = positions(parts, group, order, {"_end": size})
-    joined = parts.join(placed, keys).withColumn(
-        "segment", F.floor((F.col("_end") - size) / F.lit(segment_bytes)).cast("bigint")
+    placed = positions(parts, group, order, {"_end": size}, {"_size": size}).withColumn(
+        "segment", F.floor((F.col("_end") - F.col("_size")) / F.lit(segment_bytes)).cast("bigint")
     )
-    return joined.groupBy(*group, "segment").agg(
-        F.count(F.lit(1)).alias("n_parts"),
-        F.expr(f"listagg({text}, '{sep}') within group (order by position)").alias("text"),
+    # Narrow rows; the texts are not read for it.
+    last = placed.groupBy(*group).agg(F.max("segment").alias("last_segment"))
+    keys = [*group, *order]
+    joined = parts.join(placed.select(*keys, "position", "segment"), keys)
+    return (
+        joined.groupBy(*group, "segment")
+        .agg(
+            F.count(F.lit(1)).alias("n_parts"),
+            F.expr(f"listagg({text}, '{sep}') within group (order by position)").alias("text"),
+        )
+        .join(last, group)
     )

@@ -32,6 +32,8 @@ def _list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 infos = system.get_file_info(pafs.FileSelector(start))
             except OSError:
                 continue  # unreadable directories are skipped
+            if not infos:
+                continue
             yield pd.DataFrame(
                 {
                     "repo_id": repo_id,
