@@ -22,7 +22,8 @@ from quire.functions import text as T
 
 def pretoken_count(text: Column) -> Column:
     """Pieces the public cl100k_base pattern cuts a text into."""
-    return F.regexp_count(text, F.lit(C.PRETOKEN_RE)).cast("bigint")
+    # White space is that of Unicode in the public pattern.
+    return F.regexp_count(text, F.lit("(?U)" + C.PRETOKEN_RE)).cast("bigint")
 
 
 COUNTERS: dict[str, Callable[[Column], Column]] = {

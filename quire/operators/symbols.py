@@ -105,9 +105,14 @@ def _first_rule(rules: tuple[SymbolRule, ...], own_test) -> Column:
     return _by_language(rules, pick)
 
 
+def _matches(text: str, rule: SymbolRule) -> Column:
+    hit = F.rlike(text, F.lit(rule.regex))
+    return F.contains(text, F.lit(rule.word)) & hit if rule.word else hit
+
+
 def _rule_test(rule: SymbolRule) -> Column:
     """The head matches and the statement is where the rule wants it."""
-    hit = F.rlike("head", F.lit(rule.regex))
+    hit = _matches("head", rule)
     places = []
     if rule.parents:
         places.append(F.col("parent_kind").isin(*rule.parents))
@@ -118,7 +123,7 @@ def _rule_test(rule: SymbolRule) -> Column:
 
 def _container_test(rule: SymbolRule) -> Column | None:
     """The line opens a block with members."""
-    return F.rlike("parent_text", F.lit(rule.regex)) if rule.kind in CONTAINERS else None
+    return _matches("parent_text", rule) if rule.kind in CONTAINERS else None
 
 
 RULE_ROW = "array<struct<kind:string,regex:string,member:boolean,rank:int>>"

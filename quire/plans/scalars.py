@@ -145,7 +145,22 @@ def content_mode(spark, sf_dir):
     return M.processed_files(files, options, made).select(*KEYS, "mode")
 
 
-@query("token_count")
+# The pattern in a dialect without look-ahead: a mark is put before the last
+# blank of a run, which belongs to the word behind it.
+BLANK = r"\t\n\x0B\x0C\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+INLINE = BLANK.replace(r"\n", "").replace(r"\r", "")
+MARKED = rf"regexp_replace(content, '([{BLANK}])([{INLINE}][^{BLANK}])', '\1' || chr(1) || '\2', 'g')"
+PIECES = (
+    rf"''(?i:[sdmt]|ll|ve|re)|[^\r\n\p{{L}}\p{{N}}\x01]?\p{{L}}+|\p{{N}}{{1,3}}| ?[^{BLANK}\p{{L}}\p{{N}}\x01]+[\r\n]*"
+    rf"|[{BLANK}]*[\r\n]|[{BLANK}]+"
+)
+
+
+@query(
+    "token_count",
+    f"""select repo_id, path, cast(len(regexp_extract_all({MARKED}, '{PIECES}')) as bigint) as pretokens, {Q.words('content')} as words
+        from {FILES}""",
+)
 def token_count(spark, sf_dir):
     """Pre-tokens of the public byte-pair pattern, and words."""
     return I.files(spark, sf_dir).select(

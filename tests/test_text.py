@@ -140,7 +140,8 @@ def test_pretokens(spark):
     from quire.constants import PRETOKEN_RE
 
     pattern = regex.compile(PRETOKEN_RE)
-    texts = [t for t in random_texts() if not set(t) & set("\x85\xa0   　\x1c\x1e\x1f\x0b")]
+    # Control separators are white space for Python alone.
+    texts = [t for t in random_texts() if not set(t) & set("\x1c\x1e\x1f")]
     for r in rows_of(spark, texts, K.pretoken_count(F.col("t")).alias("n")):
         assert r.n == len(pattern.findall(r.t))
 
