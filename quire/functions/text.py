@@ -50,12 +50,15 @@ def lines(text: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """``len(str.splitlines())``."""
-    plain = _unix_breaks(text)
-    breaks = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit("\n"), F.lit("")))
-    open_end = F.when((text == "") | F.endswith(plain, F.lit("\n")), 0).otherwise(1)
+
+    def by_newline(t: Column) -> Column:
+        breaks = F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit("")))
+        return breaks + F.when((t == "") | F.endswith(t, F.lit("\n")), 0).otherwise(1)
+
     return (
         F.when(_contains_any(text, RARE_BREAKS), F.regexp_count(text, F.lit(C.LINE_RE)))
-        .otherwise(breaks + open_end)
+        .when(F.contains(text, F.lit("\r")), by_newline(_unix_breaks(text)))
+        .otherwise(by_newline(text))
         .cast("bigint")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import paths as P
+from quire.operators.skew import lookup_join
 
 KEYS = ["repo_id", "path"]
 
@@ -28,7 +29,8 @@ def select_subtree(files: DataFrame, selection: DataFrame) -> DataFrame:
         ).alias("_at"),
     ).select("repo_id", "file", "_at.path", "_at.is_dir")
     chosen = selection.select(*KEYS, "is_dir").distinct()
-    hit = reach.join(chosen, [*KEYS, "is_dir"], "left_semi")
+    # A full directory is a hot key here: broadcast by measured size, else salted.
+    hit = lookup_join(reach, chosen, [*KEYS, "is_dir"], ["file"], "left_semi")
     return hit.select("repo_id", F.col("file").alias("path")).distinct()
 
 

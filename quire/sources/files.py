@@ -19,6 +19,7 @@ from quire.session import written
 ENTRY = "repo_id string, root string, path string, size bigint, mtime timestamp, is_dir boolean"
 RAW = "repo_id string, path string, size bigint, mtime timestamp, content binary"
 BATCH_BYTES = 32 * 1024 * 1024
+TASK_BYTES = 128 * 1024 * 1024
 
 
 def _list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,12 +53,14 @@ def list_files(roots: DataFrame) -> DataFrame:
     One round per directory level; a round lists its directories in parallel and
     its entries are written, so no level is listed twice. Gives ``ENTRY``.
     """
+    # A named number of tasks: rows of directories are tiny, and adaptive
+    # execution would put them all into one task by their size.
+    tasks = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels: list[DataFrame] = []
     frontier = roots.select("repo_id", "root", F.lit("").alias("path"))
     while True:
-        entries = written(
-            frontier.repartition("repo_id", "path").mapInPandas(_list_dirs, ENTRY), "listing"
-        )
+        spread = frontier.repartition(tasks, "repo_id", "path")
+        entries = written(spread.mapInPandas(_list_dirs, ENTRY), "listing")
         levels.append(entries.filter("not is_dir"))
         frontier = entries.filter(F.col("is_dir") & ~P.skipped(P.parts(F.col("path")))).select(
             "repo_id", "root", "path"
@@ -95,7 +98,10 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_files(listing: DataFrame, max_bytes: int | None = C.MAX_TEXT_BYTES) -> DataFrame:
     """Contents of listed files as ``RAW``; larger files are never opened."""
     chosen = listing if max_bytes is None else listing.filter(F.col("size") <= max_bytes)
-    return chosen.repartition(F.xxhash64("repo_id", "path")).mapInPandas(_read, RAW)
+    # Tasks are sized by the bytes to be read, not by the small listing rows.
+    total = chosen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(total // TASK_BYTES, int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return chosen.repartition(tasks, "repo_id", "path").mapInPandas(_read, RAW)
 
 
 def scan_files(roots: DataFrame, max_bytes: int | None = C.MAX_TEXT_BYTES) -> DataFrame:
