@@ -248,6 +248,9 @@ def _doc() -> Column:
     return F.when(F.rlike(first, F.lit("^[\"']")), T.clean_docstring(whole))
 
 
+# --- fixed values: kind of the constants of an enum ---------------------------
+ENUM_MEMBERS = {"java": "enum_constant", "cpp": "enumerator", "c": "enumerator", "rust": "variant"}
+ENTRY_COLUMNS = ["kind", "name", "signature", "parent", "parent_line", "modifiers", "doc", "comment", "rank"]
 SYMBOL_COLUMNS = ["line_no", "kind", "name", "signature", "parent", "modifiers", "doc", "comment"]
 
 
@@ -267,7 +270,7 @@ def _symbol_rows(files: DataFrame, rules: tuple[SymbolRule, ...], content: str =
     words = "|".join(MODIFIERS)
     lead = F.regexp_extract(F.ltrim("head"), rf"^((?:(?:{words})(?:\([^)]*\))?\s+)+)", 1)
     documented = F.col("code_lang").isin(*INDENTED) & F.col("kind").isin("class", "function", "method")
-    return (
+    found = (
         hit.withColumn("kind", of("_rule", "kind"))
         .withColumn("_member", is_member)
         .select(
@@ -284,8 +287,35 @@ def _symbol_rows(files: DataFrame, rules: tuple[SymbolRule, ...], content: str =
             F.when(documented, _doc()).alias("doc"),
             T.clean_comment(F.col("comment_text")).alias("comment"),
             of("_rule", "rank").alias("rank"),
+            "head",
         )
     )
+    # A line of enum constants gives one symbol per constant, and so does the
+    # body of an enum that stands on the line of its head.
+    constants = F.when(F.col("kind").isin(*ENUM_MEMBERS.values()), F.col("head")).when(
+        F.col("kind") == "enum", F.regexp_extract("head", r"\{(.*)\}", 1)
+    )
+    bare = F.regexp_replace(constants, r"\([^)]*\)|\{[^}]*\}|=[^,]*", "")
+    names = F.regexp_extract_all(bare, F.lit(r"(?:^|,)\s*([A-Za-z_$][\w$]*)"), F.lit(1))
+    is_enum = F.col("kind") == "enum"
+    itself = [F.col(c).alias(c) for c in ENTRY_COLUMNS]
+    listed = F.transform(
+        names,
+        lambda n: F.struct(
+            F.when(is_enum, P.lookup(F.col("lang"), ENUM_MEMBERS)).otherwise(F.col("kind")).alias("kind"),
+            n.alias("name"),
+            F.when(is_enum, n).otherwise(F.col("signature")).alias("signature"),
+            F.when(is_enum, F.col("name")).otherwise(F.col("parent")).alias("parent"),
+            F.when(is_enum, F.col("line_no")).otherwise(F.col("parent_line")).alias("parent_line"),
+            F.when(is_enum, F.array().cast("array<string>")).otherwise(F.col("modifiers")).alias("modifiers"),
+            F.col("doc").alias("doc"),
+            F.when(~is_enum, F.col("comment")).alias("comment"),
+            F.when(is_enum, F.lit(-1)).otherwise(F.col("rank")).alias("rank"),
+        ),
+    )
+    own = F.array(F.struct(*itself))
+    entries = F.when(is_enum, F.concat(own, listed)).when(names.isNotNull(), listed).otherwise(own)
+    return found.select("repo_id", "path", "lang", "line_no", F.inline(entries))
 
 
 def symbols(files: DataFrame, rules: tuple[SymbolRule, ...] = DEFAULT_RULES, language: str | None = None) -> DataFrame:

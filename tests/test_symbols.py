@@ -22,7 +22,7 @@ SOURCES = {
         "package a.b;\nimport java.util.List;\n/** A doc.\n * more\n * @author me\n */\n"
         "public final class C extends Base implements I, J {\n    private static final int N = 3;\n    // make\n"
         "    public C(int a) throws E { this.a = a; }\n    public List<String> run(int x,\n        String y) throws E {\n"
-        "        foo(x);\n        return bar;\n    }\n}\ninterface I {\n    void m(int a);\n}\nenum D {\n    A, B,\n    C\n}\n"
+        "        foo(x);\n        return bar;\n    }\n}\ninterface I {\n    void m(int a);\n}\nenum D {\n    A, B(1, 2),\n    C\n}\nenum F { X, Y(3) }\n"
     ),
     "k.h": (
         "#include <stdio.h>\nstruct P\n{\n    double x;\n};\nenum E {\n    ONE = 1,\n    TWO\n};\ntypedef int T;\nint g = 3;\n"
@@ -50,7 +50,8 @@ WANT = {
         (1, "package", "a.b", None, None), (2, "import", "java.util.List", None, None), (7, "class", "C", None, None),
         (8, "field", "N", "C", None), (10, "constructor", "C", "C", None), (11, "method", "run", "C", None),
         (17, "interface", "I", None, None), (18, "method", "m", "I", None), (20, "enum", "D", None, None),
-        (21, "enum_constant", "A", "D", None), (22, "enum_constant", "C", "D", None),
+        (21, "enum_constant", "A", "D", None), (21, "enum_constant", "B", "D", None), (22, "enum_constant", "C", "D", None),
+        (24, "enum", "F", None, None), (24, "enum_constant", "X", "F", None), (24, "enum_constant", "Y", "F", None),
     ],
     "k.h": [
         (1, "include", "stdio.h", None, None), (2, "struct", "P", None, None), (4, "field", "x", "P", None),
