@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -31,7 +29,7 @@ def file_stream(spark, sf_dir):
 )
 def stream_by_extension(spark, sf_dir):
     counts = extension_counts(file_stream(spark, sf_dir))
-    return drain(counts, f"by_ext_{uuid.uuid4().hex}", new_folder(spark, "stream"))
+    return drain(counts, new_folder(spark, "by-extension"), new_folder(spark, "stream"))
 
 
 @query(

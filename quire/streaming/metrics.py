@@ -27,15 +27,22 @@ def extension_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return its result table."""
+def drain(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Run a stateful stream over what is there now; its result table in ``folder``.
+
+    Each batch replaces the table by the complete result, so a repeated batch
+    does no harm and nothing is held on the driver.
+    """
+
+    def replace(result: DataFrame, batch_id: int) -> None:
+        result.write.mode("overwrite").parquet(folder)
+
     query = (
-        stream.writeStream.outputMode(mode)
-        .format("memory")
-        .queryName(name)
+        stream.writeStream.outputMode("complete")
+        .foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(folder)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.streaming.manifest import ManifestStream
+from quire.streaming.metrics import drain, extension_counts
 
 SCHEMA = "repo_id string, path string, sha256 string, mtime double"
 
@@ -26,3 +27,12 @@ def test_manifest_over_several_batches(spark, tmp_path):
     before = sorted(map(tuple, manifest.events(spark).collect()))
     manifest.apply(spark.read.schema(SCHEMA).parquet(f"file://{tmp_path}/in/1"), events.agg(F.max("batch")).first()[0] + 1)
     assert len(manifest.events(spark).collect()) == len(before) + 2
+
+
+def test_running_extension_counts(spark, tmp_path):
+    schema = "repo_id string, path string, content string"
+    for i, rows in enumerate([[("r", "a.py", "x y\n"), ("r", "b.md", "z")], [("s", "c.py", "w")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    result = drain(extension_counts(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    assert {tuple(r) for r in result.collect()} == {(".py", 2, 3, 2), (".md", 1, 1, 1)}
