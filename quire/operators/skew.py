@@ -13,10 +13,15 @@ SALTS = 16
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of a table by its own count: string bytes plus 16 per field."""
+    """Size of a table by its own count: the bytes of texts, binaries and nested values plus 16 per field."""
     fixed = 16 * len(df.columns)
-    texts = [F.coalesce(F.octet_length(c).cast("bigint"), F.lit(0)) for c, t in df.dtypes if t == "string"]
-    row = sum(texts, F.lit(fixed).cast("bigint"))
+    sizes = []
+    for c, t in df.dtypes:
+        if t in ("string", "binary"):
+            sizes.append(F.octet_length(df[f"`{c}`"]))
+        elif t.startswith(("array", "struct", "map")):
+            sizes.append(F.octet_length(F.to_json(df[f"`{c}`"])))
+    row = sum((F.coalesce(s.cast("bigint"), F.lit(0)) for s in sizes), F.lit(fixed).cast("bigint"))
     return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
 
 
