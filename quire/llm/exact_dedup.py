@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import bounded, packed
 from quire.session import written
 
-FIRST_DIGIT = 32
+FIRST_DIGIT = 64
 GROWTH = 8
 
 
@@ -97,6 +97,8 @@ def _rounds(held: DataFrame, width: int, growth: int) -> DataFrame:
             )
             .filter("_size > 1")
         )
+        # Written, so that the join is free of the aggregate's partitions and hot groups can be split.
+        groups = bounded(written(groups, "groups"))
         done = written(split.join(groups, keys).select("_row", "doc_id", "_ended", "_size", "_keep", "_next", "_rest"), "round")
         closed.append(done.filter("_ended").select("_row", "_size", "_keep"))
         active = done.filter("not _ended").select("_row", "doc_id", F.col("_next").alias("_group"), "_rest")
