@@ -15,13 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The given columns, and whole rows as the struct ``_doc``.
+def packed(docs: DataFrame, *columns: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The given columns, and whole rows (or what to ``keep`` of them) as the struct ``_doc``.
 
     Columns that an operator adds cannot clash with those of the input; a row is
     unpacked with ``select("_doc.*")``. What is not used of it is not read.
     """
-    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc")
+    whole = F.struct(*[docs[f"`{c}`"] for c in keep or docs.columns]).alias("_doc")
     return docs.select(whole, *[docs[c] for c in columns])
 
 

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.chat import as_log, formatted, read_back
 from quire.llm.common import table
 from quire.llm.decontamination import contamination
 from quire.llm.exact_dedup import exact_groups
+from quire.llm.pii import KINDS, personal_data
+from quire.llm.simhash import near_groups
+from quire.llm.token_count import LIMIT, token_counts
+from quire.llm.url_filter import url_verdicts
 
 QUERIES = {}
 ORACLES = {}
@@ -39,6 +44,65 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op4_simhash_dedup")
+def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), keep=("doc_id",)).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+@query(
+    "op5_chat_format",
+    r"""
+    with own as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all
+        select -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'
+    ),
+    safe as (select *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') as body from own)
+    select conv_id,
+           count(*) as n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+           coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+           sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+           sum(length(role) + length(body) + length('<|im_start|><|im_end|>') + 2)::bigint as formatted_chars
+    from safe group by conv_id
+    """,
+)
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return read_back(formatted(as_log(given.unionByName(extra))))
+
+
+@query("op6_pii")
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_data(table(spark, sf_dir, "documents"), keep=("doc_id",))
+
+    def listed(spans: str):
+        names = F.array(*[F.lit(k) for k in KINDS])
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", names[s.kind], s.start.cast("string"), s.stop.cast("string"))), ","
+        )
+
+    counts = [
+        F.size(F.filter("base", lambda s, i=i: s.kind == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)
+    ]
+    return rows.select("_doc.doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query("op7_token_count")
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return rows.select("_doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
+@query("op8_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query(
     "op9_decontamination",
     r"""
