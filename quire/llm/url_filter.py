@@ -139,9 +139,9 @@ def _next_level(rows: DataFrame, fanout: int, smooth) -> DataFrame:
     both = children.join(bounded(parents), ["host", "template"])
     # Against the siblings: rejects of one child and of all others.
     ol, ob = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
-    pooled = F.col("pb") / F.col("pl")
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / ol))
-    differs = (F.col("l") > 0) & (ol > 0) & (error > 0) & (F.abs(F.col("b") / F.col("l") - ob / ol) > Z * error)
+    pooled = F.try_divide("pb", "pl")
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "l") + F.try_divide(F.lit(1), ol)))
+    differs = (error > 0) & (F.abs(F.try_divide("b", "l") - F.try_divide(ob, ol)) > Z * error)
     rare = (F.col("k") > fanout) & (F.col("n") * fanout < F.col("pn"))
     named = F.when(F.coalesce(differs, F.lit(False)) & ~rare, F.col("child")).otherwise(F.lit("*"))
     named = both.select("host", "template", "child", "l", "b", named.alias("name"))
