@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.skew import measured_bytes
 
 BROADCAST_BYTES = 32 * 1024 * 1024
+PIECE_BYTES = 4_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,3 +53,28 @@ def bounded(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def drawn(labels: DataFrame, sample: int, key: str = "doc_id") -> DataFrame:
+    """About ``sample`` rows of a table of labels, all if it has no more, drawn by a hash of their key.
+
+    The result is small enough to be broadcast whatever the size of the table.
+    """
+    n = labels.count()
+    if n <= sample:
+        return labels
+    return labels.filter(F.pmod(F.xxhash64(labels[key]), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of about ``size`` bytes of ``column``, whole rows each."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        groups = np.cumsum(lengths, dtype=np.int64) // size
+        cuts = np.flatnonzero(np.diff(groups, prepend=-1)).tolist() + [batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
+def rows_of(**columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

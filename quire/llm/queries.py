@@ -9,9 +9,12 @@ from quire.llm.chat import as_log, formatted, read_back
 from quire.llm.common import table
 from quire.llm.decontamination import contamination
 from quire.llm.exact_dedup import exact_groups
+from quire.llm.mixing import TARGETS, labelled_domains, mixed, repeats
 from quire.llm.pii import KINDS, personal_data
 from quire.llm.simhash import near_groups
+from quire.llm.suffix_tree import scores
 from quire.llm.token_count import LIMIT, token_counts
+from quire.llm.toxicity import held_out, scored, toxicity_model
 from quire.llm.url_filter import url_verdicts
 
 QUERIES = {}
@@ -28,6 +31,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = scored(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), keep=("doc_id",)).select("_doc.doc_id", "score")
+    return rows.select("doc_id", held_out(rows.doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query(
     "op2_exact_dedup",
     """
@@ -44,6 +54,13 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op3_mixing")
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = mixed(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS, keep=("doc_id",))
+    return rows.select("_doc.doc_id", "tokens", "domain", "p", "rate", repeats(F.col("rate"), F.col("_doc.doc_id")).alias("copies"))
+
+
 @query("op4_simhash_dedup")
 def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), keep=("doc_id",)).select(
@@ -145,3 +162,9 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op10_suffix_tree")
+def suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return rows.select("_doc.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import packed
+from quire.llm.common import packed, pieces
 from quire.session import written
 
 SHINGLE = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...]
     schema = rows.select("_doc", "doc_id", "fp").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").cast(pa.binary())
             made = pa.array([fingerprint(t.as_py() or b"", shingle) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("doc_id"), made], ["_doc", "doc_id", "fp"])
