@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quire.llm.common import drawn, packed, pieces, rows_of
 from quire.session import written
@@ -103,10 +104,9 @@ def learn(labelled: DataFrame) -> Classifier:
 def posteriors(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] | None = None) -> DataFrame:
     """``_doc, tokens, p``: words of the whole text and the probability of each domain, in the classifier's order."""
     rows = packed(docs, "text", keep=keep)
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, evidence = shared.value, Evidence()
+        model, evidence = classifier, Evidence()
         for batch in pieces(batches):
             counts, p = [], []
             for text in batch.column("text").cast(pa.binary()):
@@ -118,7 +118,7 @@ def posteriors(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] |
                 p.append((z / z.sum()).tolist() if len(z) else [])
             yield rows_of(_doc=batch.column("_doc"), tokens=pa.array(counts, pa.int64()), p=pa.array(p, pa.list_(pa.float64())))
 
-    schema = packed(docs, keep=keep).schema.add("tokens", "long").add("p", "array<double>")
+    schema = packed(docs, keep=keep).schema.add("tokens", "long").add("p", ArrayType(DoubleType()))
     return rows.mapInArrow(run, schema)
 
 
@@ -199,7 +199,7 @@ def mixed(
             own = pa.array(_stepped(_matrix(batch, k), table, max_rate))
             yield rows_of(**{n: batch.column(n) for n in ("_doc", "tokens", "p")}, rate=own)
 
-    out = rows.mapInArrow(rate, rows.schema.add("rate", "double"))
+    out = rows.mapInArrow(rate, rows.withColumn("rate", F.lit(1.0)).schema)
     return out.select("_doc", "tokens", named, "p", "rate")
 
 

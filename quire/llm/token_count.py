@@ -14,14 +14,13 @@ chunk holds all of it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import packed
+from quire.llm.common import packed, pieces
 from quire.session import written
 
 STRIDE = 32_768
@@ -36,7 +35,6 @@ STABLE = " \t\n\r"
 CHUNK = "_row long, n_chunks long, chunk long, n long, left array<struct<at:long,n:long,next:string>>, right array<struct<at:long,n:long,next:string>>"
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(name: str):
     import os
 
@@ -50,9 +48,9 @@ def _tokenizer(name: str):
     return own
 
 
-def _counts(texts: list[str], name: str) -> list[int]:
+def _counts(texts: list[str], own) -> list[int]:
     """Tokens of each text; texts are encoded in batches of bounded size."""
-    own, out, batch, size = _tokenizer(name), [], [], 0
+    out, batch, size = [], [], 0
     for text in texts:
         batch.append(text)
         size += len(text)
@@ -94,8 +92,9 @@ def token_counts(
     schema = rows.add("n_bytes", "long").add("n_tokens", "long")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array(_counts(batch.column("text").to_pylist(), tokenizer), pa.int64())
+        own = _tokenizer(tokenizer)
+        for batch in pieces(batches):
+            made = pa.array(_counts(batch.column("text").to_pylist(), own), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("n_bytes"), made], ["_doc", "n_bytes", "n_tokens"])
 
     size = F.octet_length("text").cast("bigint").alias("n_bytes")

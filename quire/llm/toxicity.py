@@ -8,8 +8,8 @@ what only goes with them, from telling groups apart. Mentions of a group alone t
 raise a score.
 
 Features are hashed to ``BUCKETS``; their frequencies by label are counted over the whole
-sample, and the ``CHOSEN`` most telling (chi-square) are used, along with all identity
-terms. The sample of labelled rows is bounded by the parameter ``sample``; scoring covers whole texts.
+sample, and the ``CHOSEN`` most telling (chi-square of ``TELLING`` or more) are used, along with all identity
+terms. Features of fewer than ``LEAST`` texts are not used, and equal texts count once. The sample of labelled rows is bounded by the parameter ``sample``; scoring covers whole texts.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ from quire.llm.common import drawn, fold_of, packed, pieces, rows_of
 from quire.session import written
 
 SAMPLE = 20_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 CHOSEN = 4096
 STEMS = (4, 5, 6)
 FOLDS = 5
 PENALTY = 1.0
-RIDGE = 0.02
-STEPS = 400
+RIDGE = 0.00005
+LEAST = 5
+TELLING = 40.0
+STEPS = 800
 CACHE = 400_000
 #: Terms of a group are swapped for each other. A parameter, not data.
 IDENTITY = (
@@ -109,6 +111,8 @@ def fit(
     identity: tuple[tuple[str, ...], ...] = IDENTITY,
     penalty: float = PENALTY,
     ridge: float = RIDGE,
+    least: int = LEAST,
+    telling: float = TELLING,
 ) -> Model:
     """The classifier from ``text, label`` (0 or 1; other rows are left out).
 
@@ -117,7 +121,7 @@ def fit(
     Without rows of both labels every score is the smoothed share of label 1.
     """
     rows = labelled.filter("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    rows = written(rows, "labelled")
+    rows = written(rows.distinct(), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
@@ -145,9 +149,9 @@ def fit(
         return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
     expected = (c0 + c1) * n1 / (n0 + n1)
     chi = (c1 - expected) ** 2 / np.maximum(expected * n0 / (n0 + n1), 1e-9)
-    chi[(bucket == -1) | (c0 + c1 < 3)] = 0
+    chi[(bucket == -1) | (c0 + c1 < least)] = 0
     best = np.lexsort((bucket, -chi))[:CHOSEN]
-    chosen = [int(b) for b in bucket[best[chi[best] > 10.8]]]
+    chosen = [int(b) for b in bucket[best[chi[best] > telling]]]
     chosen += [b for group in identity for term in group for b in buckets(term.encode())[:1]]
     places = {b: i for i, b in enumerate(dict.fromkeys(chosen))}
 
@@ -189,7 +193,7 @@ def _trained(got: pa.Table, size: int, penalty: float, ridge: float) -> tuple[np
     for _ in range(STEPS):
         z = np.bincount(row, w[col], len(y)) + b
         wrong = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gradient = np.bincount(col, wrong[row], size) + ridge * 1e-2 * w
+        gradient = np.bincount(col, wrong[row], size) + ridge * w
         if n:
             change = np.bincount(pair, sign * w[column], n)
             gradient += penalty * np.bincount(column, sign * change[pair], size) / n
@@ -207,10 +211,8 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None) -
     texts have equal scores. An empty table gives an empty table.
     """
     rows = packed(docs, "text", keep=keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
         own = Features(model.places)
         weights = model.weights.tolist()
         for batch in pieces(batches):
