@@ -104,7 +104,7 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     counts = [
-        F.size(F.filter("base", lambda s, i=i: s.kind == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)
+        F.size(F.filter("base", (lambda i: lambda s: s.kind == i)(i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)
     ]
     return rows.select("_doc.doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
