@@ -5,7 +5,7 @@ differ in at most ``max_distance`` bits, and the connected components are the
 groups. Work after the fingerprints is on distinct fingerprints only.
 
 *Pivot distance table.* The references are the zero word and one mask per block
-of two bits. The Hamming distances ``d0`` to zero and ``di`` to a mask give the
+of ``block`` bits. The Hamming distances ``d0`` to zero and ``di`` to a mask give the
 coordinate ``d0 - di`` (twice the ones in the block, less its width). One
 differing bit changes one coordinate, so of ``groups`` groups of coordinates at
 most ``max_distance`` differ between two linked fingerprints: some choice of
@@ -40,7 +40,7 @@ MAX_DISTANCE = 2
 GROUPS = 4
 BUCKET = 16
 SEED = 42
-BLOCK_BITS = 2
+BLOCK = 2
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _COLUMN = np.arange(8, dtype=np.int64) * 256
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...]
     return rows.select("_doc", "doc_id", "text").mapInArrow(run, schema)
 
 
-def coordinates(fp: Column, block: int = BLOCK_BITS) -> list[Column]:
+def coordinates(fp: Column, block: int = BLOCK) -> list[Column]:
     """``d(fp, 0) - d(fp, mask)`` of every mask."""
     zero = F.bit_count(fp)
     masks = [((1 << block) - 1) << i for i in range(0, 64, block)]
@@ -96,14 +96,16 @@ def _choices(max_distance: int, groups: int, n: int) -> list[list[int]]:
     return [sum((cut[g] for g in chosen), []) for chosen in combinations(range(groups), groups - max_distance)]
 
 
-def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, groups: int = GROUPS, bucket: int = BUCKET) -> DataFrame:
+def links(
+    distinct: DataFrame, max_distance: int = MAX_DISTANCE, groups: int = GROUPS, bucket: int = BUCKET, block: int = BLOCK
+) -> DataFrame:
     """``a, b``: edges between distinct fingerprints ``fp`` with the components of all links."""
-    table = F.array(*coordinates(F.col("fp")))
+    table = F.array(*coordinates(F.col("fp"), block))
     keyed = distinct.select("fp", table.alias("t"))
-    picks = _choices(max_distance, groups, 64 // BLOCK_BITS)
+    picks = _choices(max_distance, groups, 64 // block)
     keys = F.array(
         *[
-            F.struct(F.lit(i).cast("tinyint").alias("c"), F.concat(*[F.chr(F.col("t")[j] + 3) for j in pick]).alias("k"))
+            F.struct(F.lit(i).cast("tinyint").alias("c"), F.concat(*[F.chr(F.col("t")[j] + 65) for j in pick]).alias("k"))
             for i, pick in enumerate(picks)
         ]
     )
@@ -118,7 +120,7 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, groups: int = G
     )
     near = reduce(
         lambda x, y: x & y,
-        [F.abs(p - q) <= 2 * max_distance for p, q in zip(coordinates(F.col("a")), coordinates(F.col("b")), strict=True)],
+        [F.abs(p - q) <= 2 * max_distance for p, q in zip(coordinates(F.col("a"), block), coordinates(F.col("b"), block), strict=True)],
     )
     linked = pairs.filter(near).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance).select("a", "b")
     hot = shared.filter(F.col("n") > bucket).select("fp").distinct()
@@ -132,8 +134,9 @@ def _covered(hot: DataFrame, max_distance: int) -> DataFrame:
     for _ in range(max_distance // 2):
         flipped = F.concat(F.array("w"), F.transform(flips, lambda m: F.col("w").bitwiseXOR(m)))
         ball = ball.select("fp", F.explode(flipped).alias("w")).distinct()
-    least = ball.groupBy("w").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return ball.join(least, "w").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    # A word has at most as many neighbours as it has words within half the distance: 65 or 2,081.
+    near = ball.groupBy("w").agg(F.collect_set("fp").alias("s")).filter("size(s) > 1")
+    return near.select(F.array_min("s").alias("a"), F.explode("s").alias("b")).filter("a < b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,6 +167,7 @@ def near_groups(
     max_distance: int = MAX_DISTANCE,
     groups: int = GROUPS,
     bucket: int = BUCKET,
+    block: int = BLOCK,
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """``_doc, doc_id, fp, component_id, first``: every row with its group.
@@ -180,7 +184,7 @@ def near_groups(
     # The smallest id, nulls last, and the row that has it.
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
     distinct = written(rows.groupBy("fp").agg(F.min(order).alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), max_distance, groups, bucket))
+    roots = components(links(distinct.select("fp"), max_distance, groups, bucket, block))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
     named = written(rooted.join(heads, "root").select("fp", "head"), "groups")

@@ -17,9 +17,9 @@ def test_query_against_brute_force(spark, sf_dir):
     )
 
 
-@pytest.mark.parametrize(("distance", "groups"), [(2, 4), (4, 7)])
+@pytest.mark.parametrize(("distance", "groups", "block"), [(2, 4, 2), (4, 7, 1)])
 @pytest.mark.parametrize("bucket", [1, 4, 10_000])
-def test_links_lose_nothing(spark, distance, groups, bucket):
+def test_links_lose_nothing(spark, distance, groups, block, bucket):
     """Clusters of close words, paired or covered, give the components of brute force."""
     rng = random.Random(bucket)
     words = {0, (1 << 64) - 1, 1 << 63, 3}
@@ -30,7 +30,7 @@ def test_links_lose_nothing(spark, distance, groups, bucket):
             for bit in rng.sample(range(64), rng.randint(1, distance + 1)):
                 centre ^= 1 << bit
     signed = [w - (1 << 64) if w >> 63 else w for w in words]
-    edges = links(spark.createDataFrame([(w,) for w in signed], "fp long"), distance, groups, bucket)
+    edges = links(spark.createDataFrame([(w,) for w in signed], "fp long"), distance, groups, bucket, block)
     for r in edges.collect():
         assert r.a < r.b and ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= distance
     got = {r.fp: r.root for r in components(edges).collect()}
