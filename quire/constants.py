@@ -41,10 +41,7 @@ LISTING_EXCLUDED_DIRS = ("dist", "node_modules", ".git", "__pycache__", ".vscode
 # --- fixed values: data files and limits -------------------------------------
 DATA_EXTENSIONS = (".csv", ".json", ".jsonl")
 DATA_SAMPLE_LINES = 5
-MAX_TEXT_BYTES = 10 * 1024 * 1024
 SNIFF_BYTES = 1024
-SNAPSHOT_MAX_BYTES = 3 * 1024 * 1024
-SNAPSHOT_MAX_LINES = 20_000
 SNAPSHOT_SCHEMA_VERSION = 1
 TREE_DEPTH = 5
 TOP_N = 10
@@ -57,7 +54,7 @@ NO_EXTENSION = ".<no_ext>"
 TREE_HEADING = "Project Structure:"
 NO_FILES_MESSAGE = "No files found matching the specified criteria."
 DEPTH_PLACEHOLDER = "... (depth limit reached)"
-DATA_NOTE = "\n\n... (Data file content truncated to first 5 lines)"
+DATA_NOTE = "\n\n... (Data file content truncated to first {} lines)"
 DIR_ICON = "\U0001F4C1"
 FILE_ICON = "\U0001F4C4"
 NO_TEXT_CHANGE = "(no textual changes detected)"

@@ -33,7 +33,7 @@ OPAQUE_RE = r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</s
 BLOCKS = "|".join(C.DROPPED_ELEMENTS[2:])
 BLOCK_RE = rf"(?is)<({BLOCKS})(?:\s[^>]*)?>.*?</\1\s*>"
 BLOCK_TAG_RE = rf"(?i)<(/?(?:{BLOCKS}))(?=[\s/>])"
-PAIRED_RE = rf"(?i)\A(?:({BLOCKS}) /\1 )*\z"
+PAIRED_RE = rf"(?i)\A(?:({BLOCKS}) /\1 )*+\z"
 RARE_RE = (
     r"(?i)&(?!(?:amp|lt|gt|quot|apos|nbsp|copy|middot);)[#a-z]"  # other entities
     r"|=\s*\"[^\"<>]*>[^\"]*\"|=\s*'[^'<>]*>[^']*'"  # '>' in an attribute

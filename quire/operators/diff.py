@@ -30,7 +30,7 @@ def status(prev: DataFrame, curr: DataFrame) -> DataFrame:
         *KEYS,
         F.when(F.col("in_old").isNull(), "A")
         .when(F.col("in_new").isNull(), "D")
-        .when(F.col("old_hash") != F.col("new_hash"), "M")
+        .when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), "M")
         .otherwise("U")
         .alias("status"),
     )
@@ -51,7 +51,10 @@ def modified(prev: DataFrame, curr: DataFrame) -> DataFrame:
 
 
 def text_pairs(prev: DataFrame, curr: DataFrame) -> DataFrame:
-    """``repo_id, path, old_is_text, new_is_text, old_available, old_text, new_text`` of modified files.
+    """``repo_id, path, old_is_text, new_is_text, old_available, new_available, old_text, new_text`` of modified files.
+
+    A side whose content is not stored is not available; its text is empty here and
+    must not be taken for an empty file.
 
     The modified keys are written down first. If their measured size allows it
     they are broadcast, and unmodified contents never leave their map task.
@@ -60,7 +63,7 @@ def text_pairs(prev: DataFrame, curr: DataFrame) -> DataFrame:
     few = measured_bytes(changed) <= BROADCAST_BYTES
     wanted = F.broadcast(changed) if few else changed
     old = prev.select(*KEYS, F.col("is_text").alias("old_is_text"), F.col("content").alias("_old"))
-    new = curr.select(*KEYS, F.col("is_text").alias("new_is_text"), F.col("content").alias("new_text"))
+    new = curr.select(*KEYS, F.col("is_text").alias("new_is_text"), F.col("content").alias("_new"))
     return (
         old.join(wanted, KEYS, "left_semi")
         .join(new.join(wanted, KEYS, "left_semi"), KEYS)
@@ -69,8 +72,9 @@ def text_pairs(prev: DataFrame, curr: DataFrame) -> DataFrame:
             "old_is_text",
             "new_is_text",
             F.col("_old").isNotNull().alias("old_available"),
+            F.col("_new").isNotNull().alias("new_available"),
             F.coalesce("_old", F.lit("")).alias("old_text"),
-            F.coalesce("new_text", F.lit("")).alias("new_text"),
+            F.coalesce("_new", F.lit("")).alias("new_text"),
         )
     )
 
@@ -81,7 +85,7 @@ def special_cases(pairs: DataFrame) -> DataFrame:
     same = F.col("old_text") == F.col("new_text")
     kind = (
         F.when(~both, "binary")
-        .when(~F.col("old_available"), "content_missing")
+        .when(~F.col("old_available") | ~F.col("new_available"), "content_missing")
         .when(same, "no_textual_change")
         .otherwise("textual")
     )
@@ -94,6 +98,9 @@ def special_cases(pairs: DataFrame) -> DataFrame:
             F.col("kind") == "no_textual_change",
             F.concat(F.lit("diff --git "), a, F.lit(" "), b, F.lit("\n" + C.NO_TEXT_CHANGE)),
         )
+        .when(
+            F.col("kind") == "content_missing", F.concat(F.lit("Content not stored: "), a, F.lit(" "), b)
+        )
         .alias("line"),
     )
 
@@ -102,8 +109,10 @@ def line_stats(pairs: DataFrame) -> DataFrame:
     """``repo_id, path, lines_added, lines_removed``: difference of the line multisets.
 
     Equal lines are netted out by a grouped sum that combines on the map side,
-    so a line that repeats often is one row per task.
+    so a line that repeats often is one row per task. An old text that is not stored
+    counts as empty; a pair of texts whose new one is not stored has no row.
     """
+    pairs = pairs.filter(~(F.col("old_is_text") & F.col("new_is_text")) | F.col("new_available"))
     sides = pairs.select(
         *KEYS,
         F.explode(
@@ -144,7 +153,7 @@ def unified(pairs: DataFrame) -> DataFrame:
     at a time; inlining limits bound a pair.
     """
     textual = pairs.filter(
-        F.col("old_is_text") & F.col("new_is_text") & F.col("old_available") & (F.col("old_text") != F.col("new_text"))
+        F.col("old_is_text") & F.col("new_is_text") & F.col("old_available") & F.col("new_available") & (F.col("old_text") != F.col("new_text"))
     )
     return textual.select(*KEYS, "old_text", "new_text").mapInPandas(_diff_batches, DIFF_TYPE)
 

@@ -22,11 +22,12 @@ def in_skipped_dir(path: Column) -> Column:
     return P.skipped(P.dir_parts(path))
 
 
-def is_text(path: Column, size: Column, content: Column) -> Column:
-    """Size, then extension lists, then NUL bytes at the start of the raw bytes."""
+def is_text(path: Column, size: Column, content: Column, max_bytes: int | None = None) -> Column:
+    """Size if it is limited, then extension lists, then NUL bytes at the start of the raw bytes."""
     suffix = F.lower(P.suffix(path))
+    too_large = F.lit(False) if max_bytes is None else size > max_bytes
     return (
-        F.when(size > C.MAX_TEXT_BYTES, False)
+        F.when(too_large, False)
         .when(suffix.isin(*C.BINARY_EXTENSIONS), False)
         .when(suffix.isin(*C.TEXT_EXTENSIONS), True)
         .otherwise(~F.contains(F.substring(content, 1, C.SNIFF_BYTES), F.lit(b"\0")))
@@ -66,7 +67,7 @@ def included_files(
         ~in_skipped_dir(path)
         & ~G.matches_any(path, options.exclude_patterns)
         & included_by_globs(path, options.include_patterns)
-        & is_text(path, F.col("size"), F.col("content"))
+        & is_text(path, F.col("size"), F.col("content"), options.max_file_bytes)
     )
     if options.respect_gitignore and rules is not None:
         kept = drop_ignored(kept, rules)

@@ -35,7 +35,8 @@ def processed_files(
     base = files.withColumn("_text", T.normalize_newlines(F.col("content")))
     text = F.col("_text")
     limits = bool(options.file_max_lines or options.file_max_bytes)
-    is_data = is_data_file(path)
+    sampled = options.data_sample_lines
+    is_data = is_data_file(path) if sampled else F.lit(False)
     is_notebook = N.is_notebook_path(path)
     numbered = options.show_line_numbers
     if options.compress and summaries is not None:
@@ -44,11 +45,16 @@ def processed_files(
     else:
         summary = F.lit(None).cast("string")
 
-    sample = limited_read(text, C.DATA_SAMPLE_LINES, None)
+    sample = limited_read(text, sampled, None) if sampled else text
     own_limits = limited_read(text, options.file_max_lines, options.file_max_bytes) if limits else None
     read = F.when(is_data, sample)
     if limits:
         read = read.otherwise(own_limits)
+    if sampled or limits:
+        # A limited read that meets a NUL gives no file, as the limit must hold.
+        asked = is_data if not limits else F.lit(True)
+        whole = is_notebook & ~T.is_blank(text)
+        base = base.filter(whole | ~asked | text.isNull() | read.isNotNull())
     # A notebook that is blank falls through to a plain read.
     base = base.withColumn("_read", F.coalesce(read, text)).withColumn(
         "_cut", F.coalesce(read != text, F.lit(False))
@@ -71,7 +77,7 @@ def processed_files(
         .when(F.col("mode") == "summary", summary)
         .otherwise(finished)
     )
-    note = F.when(F.col("mode") == "data", F.lit(C.DATA_NOTE))
+    note = F.when(F.col("mode") == "data", F.lit(C.DATA_NOTE.format(sampled)))
     if limits:
         note = note.when(
             F.col("mode") == "limited", F.lit(T.user_limit_note(options.file_max_lines, options.file_max_bytes))

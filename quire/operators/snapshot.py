@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -87,24 +89,29 @@ def header(spark: SparkSession, snapshot_id: str, options: SnapshotOptions) -> D
     return spark.createDataFrame([row], META_SCHEMA)
 
 
+def _folder(folder: str, kind: str, snapshot_id: str) -> str:
+    """The partition of one snapshot; it is named here, so ids stay strings (``1`` is not ``01``)."""
+    return f"{folder}/{kind}/snapshot_id={quote(snapshot_id, safe='')}"
+
+
 def write_snapshot(rows: DataFrame, folder: str, snapshot_id: str, options: SnapshotOptions = SnapshotOptions()) -> None:
-    """Append a manifest and its header below ``folder``, partitioned by snapshot."""
-    rows.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy(
-        "snapshot_id"
-    ).parquet(f"{folder}/files")
-    header(rows.sparkSession, snapshot_id, options).write.mode("append").parquet(f"{folder}/meta")
+    """Write a manifest and its header below ``folder``; an earlier snapshot of that id is replaced."""
+    rows.write.mode("overwrite").parquet(_folder(folder, "files", snapshot_id))
+    head = header(rows.sparkSession, snapshot_id, options).drop("snapshot_id")
+    head.write.mode("overwrite").parquet(_folder(folder, "meta", snapshot_id))
 
 
 def read_snapshot(spark: SparkSession, folder: str, snapshot_id: str) -> DataFrame:
-    """Manifest of one snapshot; other snapshots are pruned as partitions."""
-    return spark.read.parquet(f"{folder}/files").filter(F.col("snapshot_id") == snapshot_id)
+    """Manifest of one snapshot; the files of others are not listed."""
+    return spark.read.parquet(_folder(folder, "files", snapshot_id)).withColumn("snapshot_id", F.lit(snapshot_id))
 
 
 def read_options(spark: SparkSession, folder: str, snapshot_id: str) -> SnapshotOptions:
     """The settings in a snapshot header (one row)."""
-    row = spark.read.parquet(f"{folder}/meta").filter(F.col("snapshot_id") == snapshot_id).first()
-    if row is None:
-        raise ValueError(f"no snapshot {snapshot_id!r} in {folder}")
+    try:
+        row = spark.read.parquet(_folder(folder, "meta", snapshot_id)).first()
+    except AnalysisException as missing:
+        raise ValueError(f"no snapshot {snapshot_id!r} in {folder}") from missing
     return SnapshotOptions(
         include_patterns=tuple(row.include_patterns),
         exclude_patterns=tuple(row.exclude_patterns),

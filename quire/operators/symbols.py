@@ -154,7 +154,8 @@ def _signature() -> Column:
 
 
 # Strings and comments open no block. A quote must be closed on its line.
-LITERAL = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+# Possessive repeats run as loops: a literal of any length takes no stack.
+LITERAL = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
 BRACE_NOISE = rf"(?m){LITERAL}|`[^`\n]*`|//.*$|/\*.*?\*/|/\*.*$|^\s*\*.*$"
 INDENT_NOISE = rf"(?m){LITERAL}|#.*$"
 STATEMENT = r"^\s*[\w#@~$*]"
@@ -268,7 +269,7 @@ def _symbol_rows(files: DataFrame, rules: tuple[SymbolRule, ...], content: str =
         "regexp_extract", F.col(text), of(index, "regex"), F.lit(1)
     )
     words = "|".join(MODIFIERS)
-    lead = F.regexp_extract(F.ltrim("head"), rf"^((?:(?:{words})(?:\([^)]*\))?\s+)+)", 1)
+    lead = F.regexp_extract(F.ltrim("head"), rf"^((?:(?:{words})(?:\([^)]*\))?\s+){{1,16}})", 1)
     documented = F.col("code_lang").isin(*INDENTED) & F.col("kind").isin("class", "function", "method")
     found = (
         hit.withColumn("kind", of("_rule", "kind"))

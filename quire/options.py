@@ -21,6 +21,8 @@ class PackOptions:
     output_format: str = "default"  # default | markdown | cxml
     file_max_lines: int | None = None
     file_max_bytes: int | None = None
+    max_file_bytes: int | None = None  # larger files are no text; None: any size
+    data_sample_lines: int | None = None  # head of data files; None: whole files
     count_tokens: bool = True
     counter: str = "words"  # words | pretokens
     top_n: int = C.TOP_N
@@ -38,5 +40,5 @@ class SnapshotOptions:
     include_patterns: tuple[str, ...] = ()
     exclude_patterns: tuple[str, ...] = ()
     respect_gitignore: bool = True
-    max_bytes: int = C.SNAPSHOT_MAX_BYTES
-    max_lines: int = C.SNAPSHOT_MAX_LINES
+    max_bytes: int = 0  # of stored contents; 0: any size
+    max_lines: int = 0

@@ -114,9 +114,7 @@ def tree_render(spark, sf_dir):
 
 
 PROCESSED = f"""(select repo_id, path, {Q.fence_lang('path')} as lang,
-  case when lower({Q.suffix('path')}) in ('.csv', '.json', '.jsonl')
-    then {Q.rstrip_newlines(Q.head_lines(Q.normalized('content'), 5))} || chr(10) || chr(10) || '... (Data file content truncated to first 5 lines)'
-    else {Q.rstrip_newlines(Q.normalized('content'))} end as content from {I.FILES_SQL})"""
+  {Q.rstrip_newlines(Q.normalized('content'))} as content from {I.FILES_SQL})"""
 INDEX = "row_number() over (partition by repo_id order by string_split(path, '/'))"
 
 

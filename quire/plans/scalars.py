@@ -104,11 +104,11 @@ def number_lines(spark, sf_dir):
       from {FILES} where lower({Q.suffix('path')}) in ('.csv', '.json', '.jsonl')""",
 )
 def sample_data_files(spark, sf_dir):
-    rows = M.processed_files(I.files(spark, sf_dir)).filter("mode = 'data'")
+    rows = M.processed_files(I.files(spark, sf_dir), PackOptions(data_sample_lines=5)).filter("mode = 'data'")
     return rows.select(*KEYS, "content", "was_truncated")
 
 
-LIMITED = PackOptions(file_max_lines=4, file_max_bytes=900)
+LIMITED = PackOptions(file_max_lines=4, file_max_bytes=900, data_sample_lines=5)
 USER_NOTE = "chr(10) || chr(10) || '... (File content truncated due to limits: 4 lines, 900 bytes)'"
 
 
@@ -141,7 +141,7 @@ def content_mode(spark, sf_dir):
     made = files.filter(F.endswith(F.lower(F.col("path")), F.lit(".py"))).select(
         *KEYS, F.concat(F.lit("# "), F.col("path")).alias("summary")
     )
-    options = PackOptions(file_max_lines=4, compress=True)
+    options = PackOptions(file_max_lines=4, compress=True, data_sample_lines=5)
     return M.processed_files(files, options, made).select(*KEYS, "mode")
 
 

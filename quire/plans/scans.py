@@ -116,7 +116,7 @@ def ignore_rules(spark, sf_dir):
 
 MANIFEST_SQL = f"""select repo_id, path, cast(strlen(content) as bigint) as size, sha256(content) as sha256,
   {Q.is_text('path', 'strlen(content)')} as is_text,
-  case when {Q.is_text('path', 'strlen(content)')} and strlen(content) <= {C.SNAPSHOT_MAX_BYTES}
+  case when {Q.is_text('path', 'strlen(content)')}
     then {Q.normalized('content')} end as content"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire import constants as C
 from quire.operators import diff as D
 from quire.operators import snapshot as S
+from quire.operators.skew import positions
 from quire.options import SnapshotOptions
 from quire.plans import inputs as I
 from quire.plans import sql as Q
@@ -60,6 +61,15 @@ def diff_status(spark, sf_dir):
     return D.status(*states(spark, sf_dir))
 
 
+@query(
+    "diff_order",
+    f"select repo_id, status, path, row_number() over (partition by repo_id, status order by path) as position from {STATUS_SQL} where status <> 'U'",
+)
+def diff_order(spark, sf_dir):
+    rows = D.status(*states(spark, sf_dir)).filter("status <> 'U'")
+    return positions(rows, ["repo_id", "status"], ["path"])
+
+
 @query("diff_added", f"select repo_id, path from {STATUS_SQL} where status = 'A'")
 def diff_added(spark, sf_dir):
     return D.added(*states(spark, sf_dir))
@@ -94,7 +104,7 @@ def paths_intersect(spark, sf_dir):
 
 TEXT = Q.is_text("path", "strlen(old_text)")
 TEXT_NEW = Q.is_text("path", "strlen(new_text)")
-PAIRS = f"""(select repo_id, path, {TEXT} as old_is_text, {TEXT_NEW} as new_is_text, {TEXT} as old_available,
+PAIRS = f"""(select repo_id, path, {TEXT} as old_is_text, {TEXT_NEW} as new_is_text, {TEXT} as old_available, {TEXT_NEW} as new_available,
     case when {TEXT} then {Q.normalized('old_text')} else '' end as old_text,
     case when {TEXT_NEW} then {Q.normalized('new_text')} else '' end as new_text
   from {STATUS_SQL} where status = 'M')"""
@@ -139,7 +149,8 @@ CRLF = "replace(content, {lf}, {cr} || {lf})"
 @query(
     "diff_special_cases",
     f"""select repo_id, path, kind, case kind when 'binary' then 'Binary files differ: a/' || path || ' b/' || path
-          when 'no_textual_change' then 'diff --git a/' || path || ' b/' || path || chr(10) || '{C.NO_TEXT_CHANGE}' end as line
+          when 'no_textual_change' then 'diff --git a/' || path || ' b/' || path || chr(10) || '{C.NO_TEXT_CHANGE}'
+          when 'content_missing' then 'Content not stored: a/' || path || ' b/' || path end as line
         from (select repo_id, path, case when not {Q.is_text('path', '0')} then 'binary'
                 when strlen(old) > 6000 then 'content_missing'
                 when {Q.normalized('old')} = {Q.normalized('new')} then 'no_textual_change' else 'textual' end as kind

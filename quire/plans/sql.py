@@ -62,7 +62,7 @@ def skipped_dir(path: str) -> str:
 def is_text(path: str, size: str, has_nul: str = "false") -> str:
     s = f"lower({suffix(path)})"
     return (
-        f"case when {size} > {C.MAX_TEXT_BYTES} then false when {s} in ({quoted(C.BINARY_EXTENSIONS)}) then false "
+        f"case when {s} in ({quoted(C.BINARY_EXTENSIONS)}) then false "
         f"when {s} in ({quoted(C.TEXT_EXTENSIONS)}) then true else not ({has_nul}) end"
     )
 

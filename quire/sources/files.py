@@ -95,8 +95,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-def read_files(listing: DataFrame, max_bytes: int | None = C.MAX_TEXT_BYTES) -> DataFrame:
-    """Contents of listed files as ``RAW``; larger files are never opened."""
+def read_files(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Contents of listed files as ``RAW``; files above ``max_bytes``, if given, are never opened."""
     chosen = listing if max_bytes is None else listing.filter(F.col("size") <= max_bytes)
     # Tasks are sized by the bytes to be read, not by the small listing rows.
     total = chosen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -104,8 +104,8 @@ def read_files(listing: DataFrame, max_bytes: int | None = C.MAX_TEXT_BYTES) ->
     return chosen.repartition(tasks, "repo_id", "path").mapInPandas(_read, RAW)
 
 
-def scan_files(roots: DataFrame, max_bytes: int | None = C.MAX_TEXT_BYTES) -> DataFrame:
-    """List, drop by name and size, then read what is left."""
+def scan_files(roots: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """List, drop by name, and by size if it is limited, then read what is left."""
     listing = list_files(roots)
     binary = F.lower(P.suffix(F.col("path"))).isin(*C.BINARY_EXTENSIONS)
     return read_files(listing.filter(~binary), max_bytes)

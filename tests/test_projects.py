@@ -176,11 +176,14 @@ def test_content_modes(spark):
         "crlf.txt": "a\r\nb\rc\r\n",
     }
     summaries = spark.createDataFrame([("r", "b.py", "SUM"), ("r", "a.txt", "SUM")], "repo_id string, path string, summary string")
-    got = modes(spark, files, PackOptions(file_max_lines=3, compress=True), summaries)
+    got = modes(spark, files, PackOptions(file_max_lines=3, compress=True, data_sample_lines=5), summaries)
     note = "\n\n... (File content truncated due to limits: 3 lines)"
-    assert got["d.csv"].content == "l0\nl1\nl2\nl3\nl4" + C.DATA_NOTE and got["d.csv"].was_truncated
-    assert got["short.json"].content == "{}" + C.DATA_NOTE and not got["short.json"].was_truncated
-    assert got["nul.csv"].content == "\0" + ten.rstrip("\n") + C.DATA_NOTE
+    data_note = "\n\n... (Data file content truncated to first 5 lines)"
+    assert got["d.csv"].content == "l0\nl1\nl2\nl3\nl4" + data_note and got["d.csv"].was_truncated
+    assert got["short.json"].content == "{}" + data_note and not got["short.json"].was_truncated
+    assert "nul.csv" not in got
+    whole = modes(spark, {"d.csv": ten, "nul.csv": "\0" + ten}, PackOptions())
+    assert whole["d.csv"].content == ten.rstrip("\n") and whole["nul.csv"].mode == "full"
     assert got["a.txt"].content == "l0\nl1\nl2" + note and got["a.txt"].mode == "limited"
     assert got["b.py"].content == "SUM" and got["b.py"].is_summary
     assert got["empty.md"].content == "" and got["empty.md"].lines == 0
@@ -220,3 +223,35 @@ def test_snapshot_header(spark, tmp_path):
     assert S.read_snapshot(spark, folder, "one").count() == 1
     with pytest.raises(ValueError):
         S.read_options(spark, folder, "two")
+
+
+def test_snapshot_ids_stay_strings(spark, project, tmp_path):
+    from quire.operators import snapshot as S
+
+    folder = f"file://{tmp_path}/snap"
+    rows = S.manifest_rows(spark.createDataFrame([("r", "a.txt", 1, 0.0, bytearray(b"x"))], "repo_id string, path string, size long, mtime double, content binary"))
+    for snapshot_id in ("1", "01", "2026-01-01", "1"):
+        S.write_snapshot(rows, folder, snapshot_id)
+    for snapshot_id in ("1", "01", "2026-01-01"):
+        assert [r.snapshot_id for r in S.read_snapshot(spark, folder, snapshot_id).collect()] == [snapshot_id]
+        assert S.read_options(spark, folder, snapshot_id).max_bytes == 0
+
+
+def test_diff_of_texts_that_are_not_stored(spark):
+    from quire.operators import diff as D
+    from quire.operators import snapshot as S
+    from quire.options import SnapshotOptions
+
+    schema = "repo_id string, path string, size long, mtime double, content binary"
+
+    def state(text, limit=0):
+        row = ("r", "a.txt", len(text), 0.0, bytearray(text.encode()))
+        return S.manifest_rows(spark.createDataFrame([row], schema), SnapshotOptions(max_bytes=limit))
+
+    old, new = "one\ntwo\n", "one\ntwo\n" + "more\n" * 10
+    gated_new = D.text_pairs(state(old), state(new, 20))
+    assert D.line_stats(gated_new).count() == 0 and D.special_cases(gated_new).first().kind == "content_missing"
+    gated_old = D.text_pairs(state(new, 20), state(old))
+    assert D.special_cases(gated_old).first().line == "Content not stored: a/a.txt b/a.txt"
+    plain = D.line_stats(D.text_pairs(state(old), state(new))).first()
+    assert (plain.lines_added, plain.lines_removed) == (10, 0)

@@ -123,3 +123,19 @@ def test_user_rules(spark):
 def test_links():
     depth, parent, stop, nxt, comment = S.link_lines([0, 4, -1, 4, 0], None, [0, 1, 0, -1, 0], [0, 0, 0, 0, 0])
     assert (depth[1], parent[1], stop[1], nxt[1], parent[4]) == (4, 0, 3, 3, -1)
+
+
+def test_long_lines_end_no_executor(spark):
+    """One literal, one enum or one run of modifiers of any length."""
+    from quire.functions.html import with_page_text
+    from quire.operators.symbols import symbols
+
+    files = {
+        "A.java": 'class A {\n  String s = "' + "x" * 1_000_000 + '";\n  void f() {}\n}\n',
+        "E.java": "enum E {\n  " + ", ".join(f"C{i}" for i in range(20_000)) + ";\n}\n",
+        "M.java": "class M {\n  " + "static " * 50_000 + "int x;\n}\n",
+    }
+    df = spark.createDataFrame([("r", p, t) for p, t in files.items()], "repo_id string, path string, content string")
+    assert {r.name for r in symbols(df).collect()} >= {"A", "E", "M", "f"}
+    page = spark.createDataFrame([("<form>a</form>" * 50_000 + "<p>kept</p>",)], "html string")
+    assert with_page_text(page).first().text == "kept"
