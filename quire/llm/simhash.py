@@ -103,12 +103,15 @@ def links(
     table = F.array(*coordinates(F.col("fp"), block))
     keyed = distinct.select("fp", table.alias("t"))
     picks = _choices(max_distance, groups, 64 // block)
-    keys = F.array(
-        *[
-            F.struct(F.lit(i).cast("tinyint").alias("c"), F.concat(*[F.chr(F.col("t")[j] + 65) for j in pick]).alias("k"))
-            for i, pick in enumerate(picks)
-        ]
-    )
+    if (block + 1) ** max(map(len, picks)) >= 1 << 63:
+        raise ValueError("a choice of coordinates must fit a long; take wider blocks or more groups")
+
+    def key(pick: list[int]) -> Column:
+        """The coordinates of a choice as the digits of one number."""
+        ones = [F.shiftright(F.col("t")[j].cast("bigint") + block, 1) for j in pick]
+        return reduce(lambda whole, digit: whole * (block + 1) + digit, ones)
+
+    keys = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("c"), key(pick).alias("k")) for i, pick in enumerate(picks)])
     keyed = written(keyed.select("fp", F.explode(keys).alias("x")).select("fp", "x.*"), "choices")
     sizes = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(keyed.join(sizes, ["c", "k"]), "shared")
@@ -130,10 +133,11 @@ def links(
 def _covered(hot: DataFrame, max_distance: int) -> DataFrame:
     """``a, b``: edges that connect what is linked in ``hot``, from words at half the distance."""
     flips = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)])
-    ball = hot.select("fp", F.col("fp").alias("w"))
-    for _ in range(max_distance // 2):
+    ball = hot.select("fp", F.explode(F.concat(F.array("fp"), F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m)))).alias("w"))
+    for _ in range(1, max_distance // 2):
+        # The words of one fingerprint are spread over the tasks before each of them is flipped again.
         flipped = F.concat(F.array("w"), F.transform(flips, lambda m: F.col("w").bitwiseXOR(m)))
-        ball = ball.select("fp", F.explode(flipped).alias("w")).distinct()
+        ball = ball.repartition("fp", "w").select("fp", F.explode(flipped).alias("w")).distinct()
     # A word has at most as many neighbours as it has words within half the distance: 65 or 2,081.
     near = ball.groupBy("w").agg(F.collect_set("fp").alias("s")).filter("size(s) > 1")
     return near.select(F.array_min("s").alias("a"), F.explode("s").alias("b")).filter("a < b").distinct()
