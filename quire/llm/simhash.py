@@ -101,7 +101,8 @@ def links(
 ) -> DataFrame:
     """``a, b``: edges between distinct fingerprints ``fp`` with the components of all links."""
     table = F.array(*coordinates(F.col("fp"), block))
-    keyed = distinct.select("fp", table.alias("t"))
+    # Stored, so that the keys read their coordinates instead of computing them in every choice.
+    keyed = written(distinct.select("fp", table.alias("t")), "pivots")
     picks = _choices(max_distance, groups, 64 // block)
     if (block + 1) ** max(map(len, picks)) >= 1 << 63:
         raise ValueError("a choice of coordinates must fit a long; take wider blocks or more groups")
