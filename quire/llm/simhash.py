@@ -104,13 +104,10 @@ def links(
     # Stored, so that the keys read their coordinates instead of computing them in every choice.
     keyed = written(distinct.select("fp", table.alias("t")), "pivots")
     picks = _choices(max_distance, groups, 64 // block)
-    if (block + 1) ** max(map(len, picks)) >= 1 << 63:
-        raise ValueError("a choice of coordinates must fit a long; take wider blocks or more groups")
 
     def key(pick: list[int]) -> Column:
-        """The coordinates of a choice as the digits of one number."""
-        ones = [F.shiftright(F.col("t")[j].cast("bigint") + block, 1) for j in pick]
-        return reduce(lambda whole, digit: whole * (block + 1) + digit, ones)
+        """The coordinates of a choice, a character each: a flat expression, as nested ones exhaust a small driver."""
+        return F.concat(*[F.chr(F.col("t")[j].cast("bigint") + 65) for j in pick])
 
     keys = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("c"), key(pick).alias("k")) for i, pick in enumerate(picks)])
     keyed = written(keyed.select("fp", F.explode(keys).alias("x")).select("fp", "x.*"), "choices")
