@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import packed, pieces
+from quire.llm.common import bounded, packed, pieces
 from quire.session import written
 
 SHINGLE = 3
@@ -90,35 +90,27 @@ def coordinates(fp: Column, block: int = BLOCK) -> list[Column]:
     return [(zero - F.bit_count(fp.bitwiseXOR(F.lit(m).cast("bigint")))).cast("tinyint") for m in signed]
 
 
-def _choices(max_distance: int, groups: int, n: int) -> list[list[int]]:
-    """Coordinates of every choice of groups that may be equal in a linked pair."""
-    cut = [list(range(g * n // groups, (g + 1) * n // groups)) for g in range(groups)]
-    return [sum((cut[g] for g in chosen), []) for chosen in combinations(range(groups), groups - max_distance)]
+def _choices(max_distance: int, groups: int) -> list[tuple[int, ...]]:
+    """The groups of coordinates that may be equal in a linked pair, every choice."""
+    return list(combinations(range(groups), groups - max_distance))
 
 
 def links(
     distinct: DataFrame, max_distance: int = MAX_DISTANCE, groups: int = GROUPS, bucket: int = BUCKET, block: int = BLOCK
 ) -> DataFrame:
     """``a, b``: edges between distinct fingerprints ``fp`` with the components of all links."""
-    table = F.array(*coordinates(F.col("fp"), block))
-    # Stored, so that the keys read their coordinates instead of computing them in every choice.
-    keyed = written(distinct.select("fp", table.alias("t")), "pivots")
-    picks = _choices(max_distance, groups, 64 // block)
-
-    def key(pick: list[int]) -> Column:
-        """The coordinates of a choice, a character each: a flat expression, as nested ones exhaust a small driver."""
-        return F.concat(*[F.chr(F.col("t")[j].cast("bigint") + 65) for j in pick])
-
-    keys = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("c"), key(pick).alias("k")) for i, pick in enumerate(picks)])
-    keyed = written(keyed.select("fp", F.explode(keys).alias("x")).select("fp", "x.*"), "choices")
-    sizes = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(keyed.join(sizes, ["c", "k"]), "shared")
+    n = 64 // block
+    table = distinct.select("fp", F.array(*coordinates(F.col("fp"), block)).alias("t"))
+    cuts = [(g * n // groups, (g + 1) * n // groups) for g in range(groups)]
+    # A number for each group of coordinates; numbers that are equal by chance only add pairs to be discarded.
+    numbers = [F.xxhash64(F.slice("t", a + 1, b - a)).alias(f"g{g}") for g, (a, b) in enumerate(cuts)]
+    pivots = written(table.select("fp", *numbers), "pivots")
+    keys = [F.xxhash64(F.lit(i), *[F.col(f"g{g}") for g in pick]) for i, pick in enumerate(_choices(max_distance, groups))]
+    keyed = pivots.select("fp", F.explode(F.array(*keys)).alias("k"))
+    sizes = written(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    shared = written(keyed.join(bounded(sizes), "k"), "shared")
     small = shared.filter(F.col("n") <= bucket)
-    pairs = (
-        small.select("c", "k", F.col("fp").alias("a"))
-        .join(small.select("c", "k", F.col("fp").alias("b")), ["c", "k"])
-        .filter("a < b")
-    )
+    pairs = small.select("k", F.col("fp").alias("a")).join(small.select("k", F.col("fp").alias("b")), "k").filter("a < b")
     near = reduce(
         lambda x, y: x & y,
         [F.abs(p - q) <= 2 * max_distance for p, q in zip(coordinates(F.col("a"), block), coordinates(F.col("b"), block), strict=True)],
@@ -131,11 +123,14 @@ def links(
 def _covered(hot: DataFrame, max_distance: int) -> DataFrame:
     """``a, b``: edges that connect what is linked in ``hot``, from words at half the distance."""
     flips = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)])
-    ball = hot.select("fp", F.explode(F.concat(F.array("fp"), F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m)))).alias("w"))
+    # ``last`` is the number of the bit flipped last, zero if no more are to follow: each word of a fingerprint is made once.
+    ball = hot.select("fp", F.posexplode(F.concat(F.array("fp"), F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m)))).alias("last", "w"))
     for _ in range(1, max_distance // 2):
-        # The words of one fingerprint are spread over the tasks before each of them is flipped again.
-        flipped = F.concat(F.array("w"), F.transform(flips, lambda m: F.col("w").bitwiseXOR(m)))
-        ball = ball.repartition("fp", "w").select("fp", F.explode(flipped).alias("w")).distinct()
+        # The words of one fingerprint are spread over the tasks before more of their bits are flipped.
+        later = F.when(F.col("last") > 0, F.slice(flips, F.col("last") + 1, F.lit(64))).otherwise(F.slice(flips, 1, 0))
+        made = F.concat(F.array("w"), F.transform(later, lambda m: F.col("w").bitwiseXOR(m)))
+        ball = ball.repartition("fp", "w").select("fp", "last", F.posexplode(made).alias("p", "w"))
+        ball = ball.select("fp", F.when(F.col("p") > 0, F.col("last") + F.col("p")).otherwise(0).alias("last"), "w")
     # A word has at most as many neighbours as it has words within half the distance: 65 or 2,081.
     near = ball.groupBy("w").agg(F.collect_set("fp").alias("s")).filter("size(s) > 1")
     return near.select(F.array_min("s").alias("a"), F.explode("s").alias("b")).filter("a < b").distinct()
@@ -163,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def near_groups(
+def _grouped(
     docs: DataFrame,
     shingle: int = SHINGLE,
     max_distance: int = MAX_DISTANCE,
@@ -171,15 +166,8 @@ def near_groups(
     bucket: int = BUCKET,
     block: int = BLOCK,
     keep: tuple[str, ...] | None = None,
-) -> DataFrame:
-    """``_doc, doc_id, fp, component_id, first``: every row with its group.
-
-    Needs ``doc_id`` and ``text``; other columns stay in ``_doc``, all or those to ``keep``. Texts without
-    words, null ones too, have the fingerprint zero and are linked like others.
-    ``component_id`` is the smallest ``doc_id`` of the group, null only if all are
-    null; ``first`` marks exactly one row of each group, one with that id.
-    An empty table gives an empty table. ``max_distance`` must be even.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """``_doc, doc_id, fp, _row`` of every row, and ``fp, head``: the id and the row that stand for a fingerprint's group."""
     if max_distance % 2:
         raise ValueError("max_distance must be even")
     rows = written(fingerprints(docs, shingle, keep).withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
@@ -189,11 +177,28 @@ def near_groups(
     roots = components(links(distinct.select("fp"), max_distance, groups, bucket, block))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
-    named = written(rooted.join(heads, "root").select("fp", "head"), "groups")
+    return rows, written(rooted.join(heads, "root").select("fp", "head"), "groups")
+
+
+def near_groups(docs: DataFrame, **options: int | tuple[str, ...] | None) -> DataFrame:
+    """``_doc, doc_id, fp, component_id, first``: every row with its group.
+
+    Needs ``doc_id`` and ``text``; other columns stay in ``_doc``, all or those to ``keep``. Texts without
+    words, null ones too, have the fingerprint zero and are linked like others.
+    ``component_id`` is the smallest ``doc_id`` of the group, null only if all are
+    null; ``first`` marks exactly one row of each group, one with that id.
+    An empty table gives an empty table. ``max_distance`` must be even. ``options`` are those of ``_grouped``.
+    """
+    rows, named = _grouped(docs, **options)
     out = rows.join(named, "fp")
     return out.select("_doc", "doc_id", "fp", F.col("head.doc_id").alias("component_id"), (F.col("_row") == F.col("head.row")).alias("first"))
 
 
-def near_kept(docs: DataFrame, **options: int) -> DataFrame:
-    """One row of each group of ``docs``, with all its columns; rules as in ``near_groups``."""
-    return near_groups(docs, **options).filter("first").select("_doc.*")
+def near_kept(docs: DataFrame, **options: int | tuple[str, ...] | None) -> DataFrame:
+    """One row of each group of ``docs``, with all its columns; rules and options as in ``near_groups``.
+
+    Rows that go are found on narrow columns; texts are shuffled, by row number, only if those are too many to broadcast.
+    """
+    rows, named = _grouped(docs, **options)
+    gone = rows.select("fp", "_row").join(named, "fp").filter(F.col("_row") != F.col("head.row")).select("_row")
+    return rows.join(bounded(written(gone, "gone")), "_row", "left_anti").select("_doc.*")
