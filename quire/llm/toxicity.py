@@ -8,12 +8,14 @@ what only goes with them, from telling groups apart. Mentions of a group alone t
 raise a score.
 
 Features are hashed to ``BUCKETS``; their frequencies by label are counted over the whole
-sample, and the ``CHOSEN`` most telling (chi-square of ``TELLING`` or more) are used, along with all identity
-terms. Features of fewer than ``LEAST`` texts are not used, and equal texts count once. The sample of labelled rows is bounded by the parameter ``sample``; scoring covers whole texts.
+sample, and the most telling by rank of their chi-square are used, along with all identity terms: a share ``PER_TEXT``
+of the number of labelled texts, ``CHOSEN`` at most. No value of chi-square decides, as it grows with the number of labels.
+Features of fewer than ``LEAST`` texts are not used, and equal texts count once. Without a telling feature every score is the share of label 1. The sample of labelled rows is bounded by the parameter ``sample``; scoring covers whole texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -34,7 +36,7 @@ FOLDS = 5
 PENALTY = 1.0
 RIDGE = 0.00005
 LEAST = 5
-TELLING = 40.0
+PER_TEXT = 0.05
 STEPS = 800
 CACHE = 400_000
 #: Terms of a group are swapped for each other. A parameter, not data.
@@ -90,20 +92,28 @@ class Features:
         return out
 
 
+def others(identity: tuple[tuple[str, ...], ...]) -> dict[bytes, list[bytes]]:
+    """The other terms of its group for each identity term."""
+    return {t.encode(): [o.encode() for o in group if o != t] for group in identity for t in group}
+
+
+def swaps(text: bytes, groups: dict[bytes, list[bytes]]) -> Iterator[tuple[bytes | None, bytes]]:
+    """A text's swaps, of every sentence: the term that leaves the text (none if another sentence has it too) and the one that comes."""
+    if groups.keys().isdisjoint(words_of(text)):
+        return
+    sentences = text.replace(b"!", b".").replace(b"?", b".").replace(b"\n", b".").split(b".")
+    terms = [groups.keys() & words_of(s) for s in sentences]
+    within = Counter(t for own in terms for t in own)
+    for own in terms:
+        for term in sorted(own):
+            for other in groups[term]:
+                yield term if within[term] == 1 else None, other
+
+
 def swapped(text: bytes, identity: tuple[tuple[str, ...], ...]) -> list[set[bytes]]:
     """The words of a text with an identity term of a sentence swapped, one set for each other term."""
-    groups = {t.encode(): [o.encode() for o in group if o != t] for group in identity for t in group}
-    whole, out = words_of(text), []
-    if groups.keys().isdisjoint(whole):
-        return out
-    sentences = [words_of(s) for s in text.replace(b"!", b".").replace(b"?", b".").replace(b"\n", b".").split(b".")]
-    for i, sentence in enumerate(sentences):
-        rest = [w for j, s in enumerate(sentences) if j != i for w in s]
-        for term in set(sentence) & groups.keys():
-            out += [set(rest) | {o if w == term else w for w in sentence} for o in groups[term]]
-            if len(out) >= 64:  # as many copies of one text are enough to hold its weights together
-                return out
-    return out
+    whole = set(words_of(text))
+    return [whole - {gone} | {come} for gone, come in swaps(text, others(identity))]
 
 
 def fit(
@@ -112,13 +122,13 @@ def fit(
     penalty: float = PENALTY,
     ridge: float = RIDGE,
     least: int = LEAST,
-    telling: float = TELLING,
+    per_text: float = PER_TEXT,
 ) -> Model:
     """The classifier from ``text, label`` (0 or 1; other rows are left out).
 
     The rows should be a bounded sample; their texts stay in the tasks, the driver
     gets the places of the chosen features.
-    Without rows of both labels every score is the smoothed share of label 1.
+    Without rows of both labels, or without a feature that tells them apart, every score is the smoothed share of label 1.
     """
     rows = labelled.filter("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     rows = written(rows.distinct(), "labelled")
@@ -150,21 +160,31 @@ def fit(
     expected = (c0 + c1) * n1 / (n0 + n1)
     chi = (c1 - expected) ** 2 / np.maximum(expected * n0 / (n0 + n1), 1e-9)
     chi[(bucket == -1) | (c0 + c1 < least)] = 0
-    best = np.lexsort((bucket, -chi))[:CHOSEN]
-    chosen = [int(b) for b in bucket[best[chi[best] > telling]]]
+    best = np.lexsort((bucket, -chi))[: min(CHOSEN, int(np.ceil(per_text * (n0 + n1))))]
+    chosen = [int(b) for b in bucket[best[chi[best] > 0]]]
+    if not chosen:
+        return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
     chosen += [b for group in identity for term in group for b in buckets(term.encode())[:1]]
     places = {b: i for i, b in enumerate(dict.fromkeys(chosen))}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Features(places)
+        own, groups = Features(places), others(identity)
         for batch in pieces(batches):
             here, there = [], []
             for text in batch.column("text").cast(pa.binary()):
                 text = text.as_py()
-                at = own.of(set(words_of(text)))
+                words = set(words_of(text))
+                at = own.of(words)
                 here.append(sorted(at))
-                # Only texts with a changed feature say something.
-                there.append([sorted(o) for o in map(own.of, swapped(text, identity)) if o != at])
+                # What changes, a feature that goes as -1 - place. Only swaps with a changed feature say something.
+                there.append([])
+                left: dict[bytes | None, set[int]] = {None: at}
+                for gone, come in swaps(text, groups):
+                    if gone not in left:
+                        left[gone] = own.of(words - {gone})
+                    new = left[gone] | own.of({come})
+                    if new != at:
+                        there[-1].append([*sorted(new - at), *(-1 - p for p in sorted(at - new))])
             kind = pa.list_(pa.int32())
             yield rows_of(label=batch.column("label"), here=pa.array(here, kind), there=pa.array(there, pa.list_(kind)))
 
@@ -179,17 +199,25 @@ def _trained(got: pa.Table, size: int, penalty: float, ridge: float) -> tuple[np
     row = np.repeat(np.arange(len(y)), [len(h) for h in here])
     col = np.array([c for h in here for c in h], np.int64)
     pair, column, sign, n = [], [], [], 0
-    for h, copies in zip(here, got["there"].to_pylist(), strict=True):
-        for copy in copies:
-            change = [(c, 1.0) for c in set(copy) - set(h)] + [(c, -1.0) for c in set(h) - set(copy)]
+    for copies in got["there"].to_pylist():
+        for change in copies:
             pair += [n] * len(change)
-            column += [c for c, _ in change]
-            sign += [s for _, s in change]
+            column += [c if c >= 0 else -1 - c for c in change]
+            sign += [1.0 if c >= 0 else -1.0 for c in change]
             n += 1
     pair, column, sign = np.array(pair, np.int64), np.array(column, np.int64), np.array(sign)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b, speed, speed_b = np.zeros(size), 0.0, np.zeros(size), 0.0
-    scale = 1.0 / (0.25 * max(1.0, np.bincount(row, minlength=1).max() if len(row) else 1.0) + penalty * 4 + ridge)
+    # The largest curvature by power iteration: steps with momentum hold up to nearly four times its inverse.
+    v, v_b, curve = np.ones(size), 1.0, 1.0
+    for _ in range(100):
+        own = 0.25 * weight * (np.bincount(row, v[col], len(y)) + v_b)
+        u, u_b = np.bincount(col, own[row], size) + ridge * v, own.sum()
+        if n:
+            u += penalty * np.bincount(column, sign * np.bincount(pair, sign * v[column], n)[pair], size) / n
+        curve = max(float(np.sqrt(u @ u + u_b * u_b)), 1e-9)
+        v, v_b = u / curve, u_b / curve
+    step = 2.0 / curve
     for _ in range(STEPS):
         z = np.bincount(row, w[col], len(y)) + b
         wrong = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
@@ -197,8 +225,8 @@ def _trained(got: pa.Table, size: int, penalty: float, ridge: float) -> tuple[np
         if n:
             change = np.bincount(pair, sign * w[column], n)
             gradient += penalty * np.bincount(column, sign * change[pair], size) / n
-        speed = 0.95 * speed - 20 * scale * gradient
-        speed_b = 0.95 * speed_b - 20 * scale * wrong.sum()
+        speed = 0.95 * speed - step * gradient
+        speed_b = 0.95 * speed_b - step * wrong.sum()
         w, b = w + speed, b + speed_b
     return w, float(b)
 

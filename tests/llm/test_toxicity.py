@@ -72,3 +72,22 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op1_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
     right = {r.toxic: r.right for r in got.groupBy("toxic").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right")).collect()}
     assert right[0] > 0.97 and right[1] > 0.85
+
+
+def test_few_labels_keep_clean_texts(spark):
+    """The number of labels does not switch the classifier off; telling words weigh on a small table too."""
+    rows = spark.createDataFrame([(i, t, y, "x") for i, t, y, _ in sentences(random.Random(2), 80)], SCHEMA)
+    ask = spark.createDataFrame([(i, f"word{i} word{i + 1} word{i + 2}", None, "") for i in range(40)] + [(99, "idiot scum moron", None, "")], SCHEMA)
+    kept = {r.doc_id for r in not_toxic(ask, fit(rows)).collect()}
+    assert len(kept) >= 36 and 99 not in kept
+
+
+def test_nothing_telling_gives_the_share(spark):
+    rows = spark.createDataFrame([(i, f"only{i}", int(i % 5 == 0), "x") for i in range(50)], SCHEMA)
+    model = fit(rows)
+    assert not model.places and [round(r.score, 3) for r in scored(rows.limit(1), model).collect()] == [round(10.5 / 52, 3)]
+
+
+def test_every_sentence_is_swapped():
+    text = b"A man walks. " * 100
+    assert len(swapped(text, (("man", "woman"),))) == 100
