@@ -17,7 +17,7 @@ iteration pass through the driver; a task repeats the earlier steps of its rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -137,7 +137,7 @@ def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
 def mixed(
     docs: DataFrame,
     labelled: DataFrame,
-    targets: dict[str, float] | None = None,
+    targets: dict[str, float] | Callable[[list[str]], dict[str, float]] | None = None,
     max_rate: float = MAX_RATE,
     steps: int = STEPS,
     tolerance: float = TOLERANCE,
@@ -147,7 +147,8 @@ def mixed(
 
     Needs ``text`` in ``docs``; other columns stay in ``_doc``, all or those to ``keep``.
     ``labelled`` has ``text, domain`` and should be a bounded sample. ``targets`` are the wanted shares
-    of the tokens by domain (default: equal), scaled to one; domains without one get none.
+    of the tokens by domain (default: equal), or what makes them from the names of the labelled domains; they are scaled to one,
+    and domains without one get none.
     The total is the smallest at which no domain has to give up tokens it has: scarce
     domains are repeated, up to ``max_rate``, before others are thinned out. Null and
     empty texts have no tokens and their posterior is the prior; their rate is fitted as
@@ -161,6 +162,8 @@ def mixed(
     named = F.get(names, F.expr("array_position(p, array_max(p)) - 1").cast("int")).alias("domain")
     if not k:
         return rows.select("_doc", "tokens", named, "p", F.lit(1.0).alias("rate"))
+    if callable(targets):
+        targets = targets(classifier.domains)
     share = np.array([(targets or {}).get(d, 0.0 if targets else 1.0) for d in classifier.domains], float)
     share = share / share.sum() if share.sum() > 0 else np.full(k, 1.0 / k)
 
@@ -211,8 +214,12 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     return rows.select("text", F.concat(F.coalesce("lang", F.lit("other")), F.lit("/"), kind).alias("domain"))
 
 
-#: Of each language the same share, a tenth of it poor text; scaled to the domains there are.
-TARGETS = {f"{lang}/{kind}": w for lang in ("de", "en", "es", "fr") for kind, w in (("good", 0.9), ("poor", 0.1))}
+def language_targets(domains: list[str]) -> dict[str, float]:
+    """Of each language that has labels the same share, a tenth of it poor text if it has both kinds."""
+    part = {"good": 0.9, "poor": 0.1}
+    pairs = [tuple(d.rsplit("/", 1)) for d in domains]
+    whole = {lang: sum(part[k] for own, k in pairs if own == lang) for lang, _ in pairs}
+    return {f"{lang}/{kind}": part[kind] / whole[lang] for lang, kind in pairs}
 
 
 def repeats(rate, key):

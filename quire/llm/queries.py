@@ -9,7 +9,7 @@ from quire.llm.chat import as_log, formatted, read_back
 from quire.llm.common import table
 from quire.llm.decontamination import contamination
 from quire.llm.exact_dedup import exact_groups
-from quire.llm.mixing import TARGETS, labelled_domains, mixed, repeats
+from quire.llm.mixing import labelled_domains, language_targets, mixed, repeats
 from quire.llm.pii import KINDS, personal_data
 from quire.llm.simhash import near_groups
 from quire.llm.suffix_tree import scores
@@ -57,7 +57,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_mixing")
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = mixed(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS, keep=("doc_id",))
+    rows = mixed(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), language_targets, keep=("doc_id",))
     return rows.select("_doc.doc_id", "tokens", "domain", "p", "rate", repeats(F.col("rate"), F.col("_doc.doc_id")).alias("copies"))
 
 

@@ -57,3 +57,19 @@ def test_query(spark):
     got = QUERIES["op3_mixing"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     row = got.agg(F.count("*"), F.avg(F.col("domain").startswith(F.col("lang")).cast("int")), F.min("rate")).first()
     assert row[0] == 1000 and row[1] > 0.95 and row[2] >= 0
+
+
+def test_any_language_has_a_target():
+    from quire.llm.mixing import language_targets
+
+    got = language_targets(["it/good", "it/poor", "other/good", "zh/x/good", "zh/x/poor"])
+    assert {k: round(v, 9) for k, v in got.items()} == {"it/good": 0.9, "it/poor": 0.1, "other/good": 1.0, "zh/x/good": 0.9, "zh/x/poor": 0.1}
+
+
+def test_clean_documents_of_an_unlisted_language_stay(spark, tmp_path):
+    import corpus_pipeline as P
+
+    own = [(i, "uno due tre quattro " * 5, "it") for i in range(20)] + [(100 + i, "one two three four " * 5, "en") for i in range(20)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, 1, 0) for i, _, _ in own], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.doc_id for r in P.mixing(spark, docs, str(tmp_path)).collect()} == {i for i, _, _ in own}
