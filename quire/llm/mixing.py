@@ -17,6 +17,8 @@ iteration pass through the driver; a task repeats the earlier steps of its rows
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -33,11 +35,12 @@ from quire.session import written
 SAMPLE = 20_000
 BUCKETS = 1 << 15
 EVIDENCE = 30.0
-MAX_RATE = 8.0
-STEPS = 60
+MAX_RATE = math.inf
+STEPS = 1000
 TOLERANCE = 1e-4
 CACHE = 400_000
 
+_LOG = logging.getLogger(__name__)
 _SHAPE = bytes(
     ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("9") if 48 <= c <= 57 else c for c in range(256)
 )
@@ -150,7 +153,9 @@ def mixed(
     of the tokens by domain (default: equal), or what makes them from the names of the labelled domains; they are scaled to one,
     and domains without one get none.
     The total is the smallest at which no domain has to give up tokens it has: scarce
-    domains are repeated, up to ``max_rate``, before others are thinned out. Null and
+    domains are repeated before others are thinned out. A ``max_rate`` (default: none) can keep totals from their targets.
+    Steps end at the tolerance, or when the totals no longer change, as with targets that no rates meet; the
+    totals of each domain are logged, as a warning if they miss the targets. Null and
     empty texts have no tokens and their posterior is the prior; their rate is fitted as
     that of any row. Without labelled rows there are no domains and all rates are one. Repeated
     rows have equal rates; an empty table gives an empty table.
@@ -193,8 +198,12 @@ def mixed(
         done.append(np.divide(error, plain, out=np.zeros(k), where=plain > 0))
         now = totals(done)
         if np.abs(now - last).max() <= 0.01 * tolerance * max(wanted.sum(), 1.0):
+            last = now
             break
         last = now
+    met = np.abs(last - wanted).max() <= tolerance * max(wanted.sum(), 1.0)
+    said = ", ".join(f"{d} {a:.1f} of {b:.1f}" for d, a, b in zip(classifier.domains, last, wanted, strict=True))
+    _LOG.log(logging.INFO if met else logging.WARNING, "mixing: tokens by domain after %d steps: %s", len(done), said)
     table = np.array(done).reshape(-1, k)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,18 @@ def test_query(spark):
     assert row[0] == 1000 and row[1] > 0.95 and row[2] >= 0
 
 
+def test_scarce_domain_meets_its_target(spark, caplog):
+    """A domain of about one token in sixty gets half of the mix: rates above any fixed cap."""
+    docs = [(i, "alpha beta delta gamma " * 6, "x") for i in range(120)] + [(900 + i, "un trois quatre deux " * 6, "x") for i in range(2)]
+    rows = mixed(spark.createDataFrame(docs, SCHEMA), labelled(spark), {"a": 0.5, "b": 0.5}).collect()
+    p, tokens, rate = np.array([r.p for r in rows]), np.array([r.tokens for r in rows]), np.array([r.rate for r in rows])
+    total = (rate * tokens) @ p
+    assert np.allclose(total / total.sum(), 0.5, rtol=1e-2) and rate.max() > 8
+    assert not caplog.records
+    mixed(spark.createDataFrame(docs, SCHEMA), labelled(spark), {"a": 0.5, "b": 0.5}, max_rate=2.0)
+    assert any("tokens by domain" in r.getMessage() for r in caplog.records)
+
+
 def test_any_language_has_a_target():
     from quire.llm.mixing import language_targets
 
