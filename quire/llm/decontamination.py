@@ -62,15 +62,13 @@ def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
     windows = written(windows_of(benchmark, window, shingle).withColumn("window", F.monotonically_increasing_id()), "windows")
     sizes = [r.q for r in windows.select("q").distinct().collect()]  # at most `shingle` values
     plain = docs.select(
-        # Lower case of all letters keeps the words apart in the same way and
-        # only adds candidates, which the last test removes.
         F.sha2("text", 256).alias("_key"),
-        F.split(F.lower("text"), GAP, -1).alias("s"),
+        F.split(ascii_lower(F.col("text")), GAP, -1).alias("s"),
     ).filter("_key is not null")
     plain = plain.select("_key", F.expr("slice(s, if(s[0] = '', 2, 1), size(s))").alias("s"))
     matches = []
     for q in sizes:
-        own = windows.filter(F.col("q") == q).select("window", F.transform("words", F.lower).alias("w"))
+        own = windows.filter(F.col("q") == q).select("window", F.col("words").alias("w"))
         named = own.select("window", F.posexplode(shingles("w", q)).alias("offset", "shingle"))
         named = named.select("window", "offset", _hash("shingle", q).alias("h")).filter("h is not null")
         known = bounded(written(named.select("h").distinct(), "shingles"))

@@ -63,3 +63,12 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, "w " * 300_000 + "a b c"), (2, "z" * 1_000_000)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert sorted((r.doc_id, r.n_hit) for r in contamination(docs, items).collect()) == [(1, 3), (2, 0)]
+
+
+def test_final_sigma(spark):
+    """Lower case of a letter does not hang on what stands beside its word."""
+    from quire.llm.decontamination import contamination
+
+    docs = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒ")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "ΟΔΟΣ ΑΒ")], "item_id long, text string")
+    assert [(r.n_hit, r.item_ids) for r in contamination(docs, bench).collect()] == [(2, ["7"])]
