@@ -109,10 +109,11 @@ def line_stats(pairs: DataFrame) -> DataFrame:
     """``repo_id, path, lines_added, lines_removed``: difference of the line multisets.
 
     Equal lines are netted out by a grouped sum that combines on the map side,
-    so a line that repeats often is one row per task. An old text that is not stored
-    counts as empty; a pair of texts whose new one is not stored has no row.
+    so a line that repeats often is one row per task. A pair of texts of which one is
+    not stored has no row, as ``special_cases`` calls it ``content_missing``.
     """
-    pairs = pairs.filter(~(F.col("old_is_text") & F.col("new_is_text")) | F.col("new_available"))
+    stored = F.col("old_available") & F.col("new_available")
+    pairs = pairs.filter(~(F.col("old_is_text") & F.col("new_is_text")) | stored)
     sides = pairs.select(
         *KEYS,
         F.explode(
@@ -149,8 +150,8 @@ def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def unified(pairs: DataFrame) -> DataFrame:
     """``repo_id, path, diff``: unified diff with three context lines.
 
-    Only modified text files whose old content is at hand reach Python, one pair
-    at a time; inlining limits bound a pair.
+    Only modified text files with both contents at hand reach Python, one pair at a
+    time; a pair is as large as its two files, as no limit on them is on by default.
     """
     textual = pairs.filter(
         F.col("old_is_text") & F.col("new_is_text") & F.col("old_available") & F.col("new_available") & (F.col("old_text") != F.col("new_text"))

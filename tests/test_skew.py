@@ -96,11 +96,14 @@ def test_unified_diffs_and_line_stats(spark):
     for i in range(120):
         old = [rng.choice("abcd") for _ in range(rng.randint(0, 12))]
         new = [x for x in old if rng.random() > 0.2] + rng.choices("abef", k=rng.randint(0, 3))
-        pairs.append(("r", f"f{i}", True, True, True, "\n".join(old), "\n".join(new)))
-    df = spark.createDataFrame(pairs, "repo_id string, path string, old_is_text boolean, new_is_text boolean, old_available boolean, old_text string, new_text string")
+        pairs.append(("r", f"f{i}", True, True, True, True, "\n".join(old), "\n".join(new)))
+    lost = [("r", "no old", True, True, False, True, "", "a\nb"), ("r", "no new", True, True, True, False, "a", "")]
+    flags = ", ".join(f"{side}_{flag} boolean" for flag in ("is_text", "available") for side in ("old", "new"))
+    df = spark.createDataFrame(pairs + lost, f"repo_id string, path string, {flags}, old_text string, new_text string")
     unified = {r.path: r.diff for r in D.unified(df).collect()}
     stats = {r.path: (r.lines_added, r.lines_removed) for r in D.line_stats(df).collect()}
-    assert len(stats) == len(pairs)
+    # A side that is not stored is no empty file: such a pair has neither a diff nor counts.
+    assert set(stats) == {p[1] for p in pairs} and not {"no old", "no new"} & set(unified)
     for _, path, *_, old, new in pairs:
         o, n = old.splitlines(), new.splitlines()
         if old != new:
