@@ -13,12 +13,12 @@ from quire.llm.common import table
 from quire.llm.decontamination import uncontaminated
 from quire.llm.exact_dedup import exact_kept
 from quire.llm.mixing import labelled_domains, language_targets, mixed, repeats
-from quire.llm.similarity import similar_kept
+from quire.llm.simhash import near_kept
 from quire.llm.toxicity import not_toxic, toxicity_model
 from quire.session import written
 
-#: Two documents are near copies if at least 0.8 of the distinct five-word shingles of both are shared.
-NEAR = {"shingle": 5}
+#: Fingerprints of three-word shingles that differ in at most two bits are linked.
+NEAR = {"shingle": 3, "max_distance": 2}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, linked by exact five-word similarity, the document with the smallest id."""
-    return similar_kept(docs, **NEAR)
+    """Of each group of linked fingerprints the document with the smallest id."""
+    return near_kept(docs, **NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ``mix_domain``, ``mix_rate`` and ``mix_copies``, how often each is to be read; those read never go."""
+    """Documents with ``mix_domain``, ``mix_rate`` and ``mix_copies``, how often each is to be read; those read never go.
+
+    Columns of these names in the input are replaced.
+    """
+    docs = docs.drop("mix_domain", "mix_rate", "mix_copies")
     rows = mixed(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), language_targets)
     rows = rows.withColumn("copies", repeats(F.col("rate"), F.col("_doc.doc_id"))).filter("copies > 0")
     return rows.select("_doc.*", F.col("domain").alias("mix_domain"), F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
