@@ -174,19 +174,20 @@ def suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op13_suffix_dedup",
     """
-    with doc as (select row_number() over () as r, doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
-    place as (select r, unnest(range(0, strlen(text) - 199)) as p from doc where strlen(text) >= 200),
-    seen as (select r, p, count(*) over (partition by md5(substr(h, 2 * p + 1, 400))) as n from place join doc using (r)),
-    edge as (select r, p, lag(p) over own as q from seen where n > 1 window own as (partition by r order by p)),
+    with doc as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as t from documents),
+    place as (select r, unnest(range(0, octet_length(t) - 199)) as p from doc where octet_length(t) >= 200),
+    seen as (select r, p, md5_number(array_slice(t, p + 1, p + 200)) as w from place join doc using (r)),
+    twice as (select w from seen group by w having count(*) > 1),
+    edge as (select r, p, lag(p) over (partition by r order by p) as q from seen semi join twice using (w)),
     run as (select r, min(p) as a, max(p) + 200 as b
             from (select r, p, sum(case when q is null or p > q + 200 then 1 else 0 end) over (partition by r order by p) as k from edge) t
             group by r, k),
     gap as (select r, b as a, lead(a) over (partition by r order by a) as b from run
             union all select r, 0, min(a) from run group by r),
-    kept as (select r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' order by a) as h from gap join doc using (r) group by r),
+    kept as (select r, string_agg(hex(array_slice(t, a + 1, coalesce(b, octet_length(t)))), '' order by a) as h from gap join doc using (r) group by r),
     gone as (select r, sum(b - a) as n_removed, count(*) as n_spans from run group by r)
-    select doc_id, strlen(text)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
-           sha256(unhex(coalesce(k.h, d.h))) as kept_sha256
+    select doc_id, octet_length(t)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+           sha256(coalesce(unhex(k.h), t)) as kept_sha256
     from doc d left join kept k using (r) left join gone using (r)
     """,
 )

@@ -10,8 +10,8 @@ are needed, about one of ``REACH / 2``. An anchor owns the windows that name it;
 
 *Leading tokens.* Equal windows share the first ``LEAD`` bytes from their anchor. A suffix whose
 lead occurs once matches nothing and is not sorted; counts combine on the map side.
-Contexts that occur twice are repeated as a whole. What is left are different contexts
-with one lead, each of them once, however often it occurs.
+Contexts that occur twice (lead and context hash: 128 bits) are repeated as a whole. What is
+left are different contexts with one lead; their bytes are cut out, each once, however often it occurs.
 
 *Sort.* These contexts are range-partitioned at sampled splitters by the suffix (and by
 what is before it, so that equal suffixes may be cut); each bucket is sorted by
@@ -95,11 +95,25 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     return place[first], start[first], start[last]
 
 
+def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (h ^ word) * _MIX
+    return h ^ (h >> np.uint64(31))
+
+
 def _lead(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     h = np.zeros(len(place), np.uint64)
     for i in range(0, LEAD, 8):
-        h = (h ^ _words(data, place + i)) * _MIX
-        h ^= h >> np.uint64(31)
+        h = _mixed(h, _words(data, place + i))
+    return (h * _MIX2).view(np.int64)
+
+
+def _context(data: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of each context and of where the anchor lies in it."""
+    stop = last + LENGTH - 8
+    h = _mixed(_mixed(np.full(len(place), 1, np.uint64), (place - first).astype(np.uint64)), (place - last).astype(np.uint64))
+    # Words from the first window on; the last ones overlap, so that none ends behind the context.
+    for i in range(0, LENGTH + REACH, 8):
+        h = np.where(first + i - 8 < stop, _mixed(h, _words(data, np.minimum(first + i, stop))), h)
     return (h * _MIX2).view(np.int64)
 
 
@@ -110,10 +124,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = np.searchsorted(offsets, place, side="right") - 1
         yield rows_of(
             row=batch.column("row").take(pa.array(text)),
-            pos=pa.array(place - offsets[text]),
+            pos=pa.array((place - offsets[text]).astype(np.int32)),
             hi=pa.array((place - first).astype(np.int16)),
             lo=pa.array((place - last).astype(np.int16)),
             lead=pa.array(_lead(data, place)),
+            c=pa.array(_context(data, place, first, last)),
         )
 
 
@@ -129,20 +144,18 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in pieces(batches):
         data, offsets = _bytes_of(batch.column("text"))
         own = batch.column("a")
-        count = np.diff(own.offsets.to_numpy())
         flat = own.flatten()
         pos, lo, hi = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("pos", "lo", "hi"))
-        text = np.repeat(np.arange(len(count)), count)
-        place = offsets[text] + pos
+        place = offsets[np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))] + pos
         # Contexts of a very long text are sent in parts.
         for at in range(0, max(1, len(place)), 20_000):
             k = slice(at, at + 20_000)
             yield rows_of(
-                row=batch.column("row").take(pa.array(text[k])),
-                pos=pa.array(pos[k]),
                 lo=flat.field("lo")[k],
                 hi=flat.field("hi")[k],
                 lead=flat.field("lead")[k],
+                c=flat.field("c")[k],
+                n=flat.field("n")[k],
                 before=_cut(data, (place - hi)[k], place[k]),
                 after=_cut(data, place[k], (place - lo)[k] + LENGTH),
             )
@@ -244,49 +257,48 @@ def _neighbours(rows: DataFrame, column: str, backward: bool) -> DataFrame:
     return met.withColumn(column, F.greatest(column, *own)).drop("bucket", "edge", "bytes", "1", "2")
 
 
-def _repeats(contexts: DataFrame) -> DataFrame:
-    """``c1, c2, d``: runs ``[first, last]`` of the offsets of repeated windows, for every context that has some."""
-    kinds = written(contexts.groupBy("lead", "lo", "hi", "c1", "c2").agg(F.count(F.lit(1)).alias("n")), "kinds")
-    run = F.array(F.struct(F.col("lo").cast("int").alias("first"), F.col("hi").cast("int").alias("last")))
-    whole = kinds.filter("n > 1").select("c1", "c2", run.alias("d"))
-    mixed = kinds.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("lead")
-    few = contexts.join(bounded(written(mixed, "mixed")), "lead", "left_semi")
-    few = few.groupBy("lead", "lo", "hi", "c1", "c2").agg(
-        F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("after").alias("after")
-    )
-    few = written(few, "few")
+def _repeats(few: DataFrame) -> DataFrame:
+    """``lead, c, d``: runs ``[first, last]`` of the offsets of repeated windows, for the contexts that occur once."""
     bound = _neighbours(_neighbours(few, "f", False), "b", True)
     low, high = F.greatest(F.col("lo").cast("int"), F.lit(LENGTH) - F.col("f")), F.least(F.col("hi").cast("int"), F.col("b"))
-    open_ = bound.select("c1", "c2", "n", "hi", F.concat("before", "after").alias("s"), low.alias("low"), high.alias("high"))
-    open_ = open_.filter("low <= high").select("c1", "c2", "n", "hi", "s", F.explode(F.sequence("low", "high")).alias("d"))
+    open_ = bound.select("lead", "c", "n", "hi", F.concat("before", "after").alias("s"), low.alias("low"), high.alias("high"))
+    open_ = open_.filter("low <= high").select("lead", "c", "n", "hi", "s", F.explode(F.sequence("low", "high")).alias("d"))
     window = F.expr(f"substring(s, hi - d + 1, {LENGTH})")
-    windows = open_.select("c1", "c2", "n", "d", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2"))
+    windows = open_.select("lead", "c", "n", "d", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2"))
     twice = written(windows.groupBy("w1", "w2").agg(F.sum("n").alias("t")).filter("t > 1").select("w1", "w2"), "twice")
     # The offsets of one context are at most REACH.
-    found = windows.filter("n = 1").join(bounded(twice), ["w1", "w2"]).groupBy("c1", "c2").agg(F.array_sort(F.collect_set("d")).alias("d"))
+    found = windows.filter("n = 1").join(bounded(twice), ["w1", "w2"]).groupBy("lead", "c").agg(F.collect_set("d").alias("d"))
     runs = F.expr(
         """transform(filter(d, x -> not array_contains(d, x - 1)),
            x -> struct(x as first, array_min(filter(d, y -> y >= x and not array_contains(d, y + 1))) as last))"""
     )
-    return whole.unionByName(found.select("c1", "c2", runs.alias("d")))
+    return found.select("lead", "c", runs.alias("d"))
 
 
 def repeated_spans(held: DataFrame) -> DataFrame:
     """``row, spans``: byte ranges ``[start, stop)`` to remove, of every row of ``held`` (``row, text``) that has some."""
-    made = "row long, pos long, hi short, lo short, lead long"
+    made = "row long, pos int, hi short, lo short, lead long, c long"
     places = written(held.select("row", "text").mapInArrow(_anchor_rows, made), "anchors")
-    shared = places.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("lead")
-    sought = places.join(bounded(written(shared, "leads")), "lead", "left_semi")
-    # One text's own anchors.
-    sought = sought.groupBy("row").agg(F.collect_list(F.struct("pos", "lo", "hi", "lead")).alias("a"))
-    joined = held.join(bounded(written(sought, "sought")), "row").select("row", "text", "a")
-    cut = joined.mapInArrow(_context_rows, "row long, pos long, lo short, hi short, lead long, before binary, after binary")
-    named = [F.xxhash64(*own, "lo", "hi", "before", "after").alias(n) for n, own in (("c1", ()), ("c2", (F.lit(1),)))]
-    contexts = written(cut.select("*", *named), "contexts")
-    repeats = bounded(written(_repeats(contexts), "repeats"))
-    spans = contexts.select("row", "pos", "c1", "c2").join(repeats, ["c1", "c2"]).select("row", "pos", F.explode("d").alias("d"))
-    span = F.struct((F.col("pos") - F.col("d.last")).alias("start"), (F.col("pos") - F.col("d.first") + LENGTH).alias("stop"))
-    return spans.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    leads = places.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("one"), F.max("c").alias("other"))
+    leads = written(leads.filter("n > 1").select("lead", (F.col("one") != F.col("other")).alias("mixed")), "leads")
+    met = written(places.join(bounded(leads), "lead"), "met")
+    mixed = met.filter("mixed")
+    # Each context once, with the number of its places; its bytes are cut from one of them.
+    kinds = mixed.groupBy("lead", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos", "lo", "hi")).alias("at"))
+    kinds = written(kinds.select("lead", "c", "n", "at.*"), "kinds")
+    # The anchors of one text.
+    sought = kinds.groupBy("row").agg(F.collect_list(F.struct("pos", "lo", "hi", "lead", "c", "n")).alias("a"))
+    joined = held.select("row", "text").join(bounded(written(sought, "sought")), "row").select("text", "a")
+    few = written(joined.mapInArrow(_context_rows, "lo short, hi short, lead long, c long, n long, before binary, after binary"), "few")
+    some = _repeats(few).unionByName(
+        kinds.filter("n > 1").select("lead", "c", F.expr("array(struct(int(lo) as first, int(hi) as last))").alias("d"))
+    )
+    some = bounded(written(some, "repeats"))
+    parts = mixed.select("row", "pos", "lead", "c").join(some, ["lead", "c"]).select("row", "pos", F.explode("d").alias("d"))
+    parts = parts.select("row", (F.col("pos") - F.col("d.last")).alias("start"), (F.col("pos") - F.col("d.first") + LENGTH).alias("stop"))
+    whole = met.filter("not mixed").select("row", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + LENGTH).alias("stop"))
+    spans = whole.unionByName(parts)
+    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
