@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = 8, memory: str = "12g") -> SparkSession:
@@ -55,3 +57,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     folder = new_folder(spark, label)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` made, once no plan that is still to run reads it."""
+    for df in tables:
+        spark = df.sparkSession
+        mark = f"{shared_folder(spark).rstrip('/')}/quire/"
+        folders = {f[: f.rindex("/")] for f in df.inputFiles()}
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            # Only folders of this package, by the name that ``new_folder`` gives.
+            if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(mark).toUri().getPath()):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def addressed(df: DataFrame, label: str = "rows") -> DataFrame:
+    """``df`` with ``_file`` and ``_at``, the file of each row and its place there.
+
+    The address stays the same however a later read splits the files. What has no
+    such places (anything but a read of parquet files) is written first.
+    """
+    try:
+        own = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(own["file_path"]).alias("_file"), own["row_index"].alias("_at"))
+    except AnalysisException:
+        copy = written(df, label)
+        own = copy.metadataColumn("_metadata")
+        return copy.select("*", F.xxhash64(own["file_path"]).alias("_file"), own["row_index"].alias("_at"))
