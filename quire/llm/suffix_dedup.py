@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.llm.common import bounded, packed, pieces, rows_of
-from quire.session import written
+from quire.session import addressed, discard, written
 
 LENGTH = 200
 REACH = 128
@@ -122,11 +122,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = _bytes_of(batch.column("text"))
         place, first, last = anchors(data, offsets)
         text = np.searchsorted(offsets, place, side="right") - 1
+        own = pa.array(text)
         yield rows_of(
-            row=batch.column("row").take(pa.array(text)),
-            pos=pa.array((place - offsets[text]).astype(np.int32)),
-            hi=pa.array((place - first).astype(np.int16)),
-            lo=pa.array((place - last).astype(np.int16)),
+            _file=batch.column("_file").take(own),
+            _at=batch.column("_at").take(own),
+            pos=pa.array(place - offsets[text] << 16 | place - first << 8 | place - last),
             lead=pa.array(_lead(data, place)),
             c=pa.array(_context(data, place, first, last)),
         )
@@ -145,14 +145,15 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, offsets = _bytes_of(batch.column("text"))
         own = batch.column("a")
         flat = own.flatten()
-        pos, lo, hi = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("pos", "lo", "hi"))
+        pos = flat.field("pos").to_numpy(zero_copy_only=False)
+        pos, hi, lo = pos >> 16, pos >> 8 & 255, pos & 255
         place = offsets[np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))] + pos
         # Contexts of a very long text are sent in parts.
         for at in range(0, max(1, len(place)), 20_000):
             k = slice(at, at + 20_000)
             yield rows_of(
-                lo=flat.field("lo")[k],
-                hi=flat.field("hi")[k],
+                lo=pa.array(lo[k].astype(np.int16)),
+                hi=pa.array(hi[k].astype(np.int16)),
                 lead=flat.field("lead")[k],
                 c=flat.field("c")[k],
                 n=flat.field("n")[k],
@@ -259,46 +260,61 @@ def _neighbours(rows: DataFrame, column: str, backward: bool) -> DataFrame:
 
 def _repeats(few: DataFrame) -> DataFrame:
     """``lead, c, d``: runs ``[first, last]`` of the offsets of repeated windows, for the contexts that occur once."""
-    bound = _neighbours(_neighbours(few, "f", False), "b", True)
+    half = _neighbours(few, "f", False)
+    bound = _neighbours(half, "b", True)
+    discard(half)
     low, high = F.greatest(F.col("lo").cast("int"), F.lit(LENGTH) - F.col("f")), F.least(F.col("hi").cast("int"), F.col("b"))
     open_ = bound.select("lead", "c", "n", "hi", F.concat("before", "after").alias("s"), low.alias("low"), high.alias("high"))
     open_ = open_.filter("low <= high").select("lead", "c", "n", "hi", "s", F.explode(F.sequence("low", "high")).alias("d"))
-    window = F.expr(f"substring(s, hi - d + 1, {LENGTH})")
-    windows = open_.select("lead", "c", "n", "d", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2"))
-    twice = written(windows.groupBy("w1", "w2").agg(F.sum("n").alias("t")).filter("t > 1").select("w1", "w2"), "twice")
+    window = F.xxhash64(F.expr(f"substring(s, hi - d + 1, {LENGTH})"))
+    # Equal windows have one lead; with its hash they are counted by 128 bits.
+    windows = open_.select("lead", "c", "n", "d", window.alias("w"))
+    twice = written(windows.groupBy("lead", "w").agg(F.sum("n").alias("t")).filter("t > 1").select("lead", "w"), "twice")
     # The offsets of one context are at most REACH.
-    found = windows.filter("n = 1").join(bounded(twice), ["w1", "w2"]).groupBy("lead", "c").agg(F.collect_set("d").alias("d"))
+    found = windows.filter("n = 1").join(bounded(twice), ["lead", "w"]).groupBy("lead", "c").agg(F.collect_set("d").alias("d"))
     runs = F.expr(
         """transform(filter(d, x -> not array_contains(d, x - 1)),
            x -> struct(x as first, array_min(filter(d, y -> y >= x and not array_contains(d, y + 1))) as last))"""
     )
-    return found.select("lead", "c", runs.alias("d"))
+    out = written(found.select("lead", "c", runs.alias("d")), "runs")
+    discard(twice, bound)
+    return out
+
+
+def _fetched(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``held`` joined to ``wanted`` by address; texts that are not wanted are not shuffled while the addresses can be broadcast."""
+    return held.join(bounded(wanted.select("_file", "_at")), ["_file", "_at"], "left_semi").join(bounded(wanted), ["_file", "_at"])
 
 
 def repeated_spans(held: DataFrame) -> DataFrame:
-    """``row, spans``: byte ranges ``[start, stop)`` to remove, of every row of ``held`` (``row, text``) that has some."""
-    made = "row long, pos int, hi short, lo short, lead long, c long"
-    places = written(held.select("row", "text").mapInArrow(_anchor_rows, made), "anchors")
+    """``_file, _at, spans``: byte ranges ``[start, stop)`` to remove, of every row of ``held`` (``text`` and its address) that has some."""
+    made = "_file long, _at long, pos long, lead long, c long"
+    texts = held.select("_file", "_at", "text")
+    places = written(texts.mapInArrow(_anchor_rows, made), "anchors")
     leads = places.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("one"), F.max("c").alias("other"))
     leads = written(leads.filter("n > 1").select("lead", (F.col("one") != F.col("other")).alias("mixed")), "leads")
     met = written(places.join(bounded(leads), "lead"), "met")
+    discard(places, leads)
     mixed = met.filter("mixed")
     # Each context once, with the number of its places; its bytes are cut from one of them.
-    kinds = mixed.groupBy("lead", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos", "lo", "hi")).alias("at"))
+    kinds = mixed.groupBy("lead", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_file", "_at", "pos")).alias("at"))
     kinds = written(kinds.select("lead", "c", "n", "at.*"), "kinds")
     # The anchors of one text.
-    sought = kinds.groupBy("row").agg(F.collect_list(F.struct("pos", "lo", "hi", "lead", "c", "n")).alias("a"))
-    joined = held.select("row", "text").join(bounded(written(sought, "sought")), "row").select("text", "a")
+    sought = kinds.groupBy("_file", "_at").agg(F.collect_list(F.struct("pos", "lead", "c", "n")).alias("a"))
+    wanted = written(sought, "sought")
+    joined = _fetched(texts, wanted).select("text", "a")
     few = written(joined.mapInArrow(_context_rows, "lo short, hi short, lead long, c long, n long, before binary, after binary"), "few")
-    some = _repeats(few).unionByName(
-        kinds.filter("n > 1").select("lead", "c", F.expr("array(struct(int(lo) as first, int(hi) as last))").alias("d"))
-    )
-    some = bounded(written(some, "repeats"))
-    parts = mixed.select("row", "pos", "lead", "c").join(some, ["lead", "c"]).select("row", "pos", F.explode("d").alias("d"))
-    parts = parts.select("row", (F.col("pos") - F.col("d.last")).alias("start"), (F.col("pos") - F.col("d.first") + LENGTH).alias("stop"))
-    whole = met.filter("not mixed").select("row", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + LENGTH).alias("stop"))
-    spans = whole.unionByName(parts)
-    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    hi, lo = (F.shiftright("pos", k).bitwiseAND(F.lit(255)).cast("int") for k in (8, 0))
+    own = F.array(F.struct(lo.alias("first"), hi.alias("last"))).alias("d")
+    some = bounded(written(_repeats(few).unionByName(kinds.filter("n > 1").select("lead", "c", own)), "repeats"))
+    parts = mixed.join(some, ["lead", "c"]).select("_file", "_at", "pos", F.explode("d").alias("d"))
+    whole = met.filter("not mixed").select("_file", "_at", "pos", F.struct(lo.alias("first"), hi.alias("last")).alias("d"))
+    place = F.shiftright("pos", 16)
+    span = F.struct((place - F.col("d.last")).alias("start"), (place - F.col("d.first") + LENGTH).alias("stop"))
+    spans = whole.unionByName(parts).groupBy("_file", "_at").agg(F.collect_list(span).alias("spans"))
+    out = written(spans, "spans")
+    discard(met, kinds, few, wanted)
+    return out
 
 
 def without_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -310,14 +326,15 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None) -> Dat
     UTF-8: a cut may fall inside a character. An empty table gives an empty table.
     """
     rows = packed(docs, "text", keep=keep)
-    rows = rows.select("_doc", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = addressed(rows, "texts")
+    rows = rows.select("_file", "_at", "_doc", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = F.octet_length("text").cast("bigint")
     zero = F.lit(0).cast("bigint")
     whole = [size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept")]
     short = rows.filter(size < LENGTH).select("_doc", *whole)
-    held = written(rows.filter(size >= LENGTH).withColumn("row", F.monotonically_increasing_id()), "texts")
-    spans = bounded(written(repeated_spans(held), "spans"))
-    met = held.join(spans, "row", "left")
+    held = rows.filter(size >= LENGTH)
+    spans = repeated_spans(held)
+    rest = held.join(bounded(spans.select("_file", "_at")), ["_file", "_at"], "left_anti")
     schema = StructType([held.schema["_doc"]])
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
         schema = schema.add(name, kind)
@@ -349,5 +366,5 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None) -> Dat
                 ),
             )
 
-    changed = met.filter("spans is not null").select("_doc", "text", "spans").mapInArrow(remove, schema)
-    return short.unionByName(met.filter("spans is null").select("_doc", *whole)).unionByName(changed)
+    changed = _fetched(held, spans).select("_doc", "text", "spans").mapInArrow(remove, schema)
+    return short.unionByName(rest.select("_doc", *whole)).unionByName(changed)
