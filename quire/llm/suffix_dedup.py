@@ -271,7 +271,7 @@ def _repeats(few: DataFrame) -> DataFrame:
     windows = open_.select("lead", "c", "n", "d", window.alias("w"))
     twice = written(windows.groupBy("lead", "w").agg(F.sum("n").alias("t")).filter("t > 1").select("lead", "w"), "twice")
     # The offsets of one context are at most REACH.
-    found = windows.filter("n = 1").join(bounded(twice), ["lead", "w"]).groupBy("lead", "c").agg(F.collect_set("d").alias("d"))
+    found = windows.filter("n = 1").join(twice, ["lead", "w"]).groupBy("lead", "c").agg(F.collect_set("d").alias("d"))
     runs = F.expr(
         """transform(filter(d, x -> not array_contains(d, x - 1)),
            x -> struct(x as first, array_min(filter(d, y -> y >= x and not array_contains(d, y + 1))) as last))"""
@@ -283,7 +283,7 @@ def _repeats(few: DataFrame) -> DataFrame:
 
 def _fetched(held: DataFrame, wanted: DataFrame) -> DataFrame:
     """``held`` joined to ``wanted`` by address; texts that are not wanted are not shuffled while the addresses can be broadcast."""
-    return held.join(bounded(wanted.select("_file", "_at")), ["_file", "_at"], "left_semi").join(bounded(wanted), ["_file", "_at"])
+    return held.join(bounded(wanted.select("_file", "_at")), ["_file", "_at"], "left_semi").join(wanted, ["_file", "_at"])
 
 
 def repeated_spans(held: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def repeated_spans(held: DataFrame) -> DataFrame:
     places = written(texts.mapInArrow(_anchor_rows, made), "anchors")
     leads = places.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("one"), F.max("c").alias("other"))
     leads = written(leads.filter("n > 1").select("lead", (F.col("one") != F.col("other")).alias("mixed")), "leads")
-    met = written(places.join(bounded(leads), "lead"), "met")
+    met = written(places.join(leads, "lead"), "met")
     discard(places, leads)
     mixed = met.filter("mixed")
     # Each context once, with the number of its places; its bytes are cut from one of them.
@@ -306,7 +306,7 @@ def repeated_spans(held: DataFrame) -> DataFrame:
     few = written(joined.mapInArrow(_context_rows, "lo short, hi short, lead long, c long, n long, before binary, after binary"), "few")
     hi, lo = (F.shiftright("pos", k).bitwiseAND(F.lit(255)).cast("int") for k in (8, 0))
     own = F.array(F.struct(lo.alias("first"), hi.alias("last"))).alias("d")
-    some = bounded(written(_repeats(few).unionByName(kinds.filter("n > 1").select("lead", "c", own)), "repeats"))
+    some = written(_repeats(few).unionByName(kinds.filter("n > 1").select("lead", "c", own)), "repeats")
     parts = mixed.join(some, ["lead", "c"]).select("_file", "_at", "pos", F.explode("d").alias("d"))
     whole = met.filter("not mixed").select("_file", "_at", "pos", F.struct(lo.alias("first"), hi.alias("last")).alias("d"))
     place = F.shiftright("pos", 16)
