@@ -12,6 +12,7 @@ from quire.llm.exact_dedup import exact_groups
 from quire.llm.mixing import labelled_domains, language_targets, mixed, repeats
 from quire.llm.pii import KINDS, personal_data
 from quire.llm.simhash import near_groups
+from quire.llm.spelling import variants
 from quire.llm.suffix_dedup import without_repeats
 from quire.llm.suffix_tree import scores
 from quire.llm.token_count import LIMIT, token_counts
@@ -171,6 +172,11 @@ def suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("_doc.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op11_spelling")
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query(
     "op13_suffix_dedup",
     """
