@@ -9,6 +9,7 @@ from quire.llm.chat import as_log, formatted, read_back
 from quire.llm.common import table
 from quire.llm.decontamination import contamination
 from quire.llm.exact_dedup import exact_groups
+from quire.llm.lexical import search
 from quire.llm.mixing import labelled_domains, language_targets, mixed, repeats
 from quire.llm.pii import KINDS, personal_data
 from quire.llm.simhash import near_groups
@@ -177,6 +178,38 @@ def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+@query(
+    "op12_lexical_search",
+    r"""
+    with term as (
+        select 'd' as side, doc_id as id, row_number() over () as r, text from documents
+        union all select 'q', item_id, row_number() over (), text from benchmark
+    ),
+    word as (
+        select side, id, r, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) as t
+        from term where text is not null
+    ),
+    tf as (select side, id, r, t, count(*) as tf from word group by all),
+    size as (select r, sum(tf)::bigint as n from tf where side = 'd' group by r),
+    total as (select count(*) as docs, sum(n)::bigint as len from size),
+    weight as (select t, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+               from tf, total where side = 'd' group by t),
+    norm as (select r, 100 - 75 + ((75 * n * docs) // len) as m from size, total),
+    score as (
+        select q.id as item_id, q.r as q, d.id as doc_id, d.r,
+               sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m)))::bigint as score
+        from tf q join tf d on q.t = d.t join weight on weight.t = q.t join norm on norm.r = d.r
+        where q.side = 'q' and d.side = 'd' group by all
+    ),
+    ranked as (select *, row_number() over (partition by q order by score desc, doc_id nulls last, r)::int as rank from score where score > 0)
+    select item_id, rank, doc_id, score from ranked where rank <= 10
+    """,
+)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op13_suffix_dedup",
     """
