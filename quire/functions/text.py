@@ -146,8 +146,8 @@ def fence(content: Column) -> Column:
     return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs) + 1, F.lit(3))))
 
 
-def clean_comment(comment: Column) -> Column:
-    """Comment text without markers, leading stars and ``@`` lines, cut to 200."""
+def comment_text(comment: Column) -> Column:
+    """Comment text without markers, leading stars and ``@`` lines, whole."""
     c = F.regexp_replace(comment, rf"\A[{C.SPACES}]+|[{C.SPACES}]+\z", "")
     body = (
         F.when(
@@ -167,15 +167,27 @@ def clean_comment(comment: Column) -> Column:
         lambda x: F.regexp_replace(x, rf"\A[{C.SPACES}]*(?:\*[{C.SPACES}]*)?|[{C.SPACES}]+\z", ""),
     )
     kept = F.filter(stripped, lambda x: (x != "") & ~F.startswith(x, F.lit("@")))
-    joined = F.array_join(kept, " ")
-    return F.concat(
-        F.left(joined, F.lit(C.COMMENT_CHARS)),
-        F.when(F.length(joined) > C.COMMENT_CHARS, F.lit("...")).otherwise(""),
-    )
+    return F.array_join(kept, " ")
+
+
+def _shortened(text: Column, limit: int) -> Column:
+    return F.concat(F.left(text, F.lit(limit)), F.when(F.length(text) > limit, F.lit("...")).otherwise(""))
+
+
+def clean_comment(comment: Column) -> Column:
+    """``comment_text`` cut to 200, for display."""
+    return _shortened(comment_text(comment), C.COMMENT_CHARS)
+
+
+def docstring_text(doc: Column) -> Column:
+    """A docstring without its quotes, every line stripped, whole."""
+    bare = F.regexp_replace(doc, "\\A['\"]+|['\"]+\\z", "")
+    strip = lambda x: F.regexp_replace(x, rf"\A[{C.SPACES}]+|[{C.SPACES}]+\z", "")
+    return strip(F.array_join(F.transform(F.split(bare, "\n", -1), strip), "\n"))
 
 
 def clean_docstring(doc: Column) -> Column:
-    """First line, with the second if the first is short, cut to 100."""
+    """First line, with the second if the first is short, cut to 100, for display."""
     bare = F.regexp_replace(doc, "\\A['\"]+|['\"]+\\z", "")
     rows = F.split(bare, "\n", -1)
     strip = lambda x: F.regexp_replace(x, rf"\A[{C.SPACES}]+|[{C.SPACES}]+\z", "")
@@ -184,9 +196,4 @@ def clean_docstring(doc: Column) -> Column:
     short = (F.length(first) < C.DOCSTRING_SHORT) & (F.size(rows) > 1)
     return F.when(
         short, F.concat(F.left(F.concat_ws(" ", first, second), F.lit(C.DOCSTRING_CHARS)), F.lit("..."))
-    ).otherwise(
-        F.concat(
-            F.left(first, F.lit(C.DOCSTRING_CHARS)),
-            F.when(F.length(first) > C.DOCSTRING_CHARS, F.lit("...")).otherwise(""),
-        )
-    )
+    ).otherwise(_shortened(first, C.DOCSTRING_CHARS))

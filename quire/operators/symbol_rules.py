@@ -35,7 +35,9 @@ MODIFIERS = (
     "async export declare readonly override pub unsafe const extern virtual inline constexpr "
     "explicit friend mut get set"
 ).split()
-MOD = r"(?:(?:" + "|".join(MODIFIERS) + r")(?:\([^)]*\))?\s+){0,16}"
+#: Any number of them. Possessive repeats run as loops and never give back, so a word that is itself
+#: the name (``get (x)``, ``async = 1``) must not be taken: no name, bracket or sign follows it.
+MOD = r"(?:(?:" + "|".join(MODIFIERS) + r")(?:\([^)]*\))?\s++(?![(=;:,]))*+"
 NOT_CALL = r"(?!(?:if|for|while|switch|catch|return|else|new|throw|do|delete|typeof|await|yield|case)\b)"
 TYPE = r"[\w.:<>,\[\]&*?~ ]+?"
 
@@ -47,7 +49,7 @@ PYTHON = [
     SymbolRule("python", "function", r"^\s*(?:async\s+)?def\s+(\w+)", rank=3, word="def"),
     SymbolRule("python", "constant", r"^(_*[A-Z][A-Z0-9_]*)\s*(?::[^=]+)?=(?!=)", top=True, rank=1, word="="),
 ]
-JS_MEMBER = r"(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override|declare)\s+){0,16}"
+JS_MEMBER = r"(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override|declare)\s++(?![(=;:,?!]))*+"
 
 
 def _script(lang: str) -> list[SymbolRule]:
@@ -85,10 +87,10 @@ def _native(lang: str) -> list[SymbolRule]:
         SymbolRule(lang, "struct", rf"^\s*(?:template\s*<.*>\s*)?struct\s+({ID})\s*(?:final\s*)?(?::[^;]*)?(?:\{{.*)?$", word="struct"),
         SymbolRule(lang, "enum", rf"^\s*enum\s+(?:class\s+|struct\s+)?({ID})", word="enum"),
         SymbolRule(lang, "method", rf"^\s*{MOD}(?:{TYPE}\s+)?[*&]*{NOT_CALL}(~?{ID})\s*\([^)]*\)[^;={{]*(?:=\s*\w+\s*)?(?:[;{{].*)?$", parents=CPP_SCOPES, word="("),
-        SymbolRule(lang, "field", rf"^\s*{MOD}{NOT_CALL}(?!using\b|public:|private:|protected:){TYPE}[\s*&]+({ID})\s*(?:\[[^\]]*\]\s*){{0,16}}(?:=.*|\{{.*\}})?;.*$", parents=CPP_SCOPES, word=";"),
+        SymbolRule(lang, "field", rf"^\s*{MOD}{NOT_CALL}(?!using\b|public:|private:|protected:){TYPE}[\s*&]+({ID})\s*(?:\[[^\]]*\]\s*)*+(?:=.*|\{{.*\}})?;.*$", parents=CPP_SCOPES, word=";"),
         SymbolRule(lang, "enumerator", rf"^\s*({ID})\s*(?:=[^,]+)?,?\s*$", parents=("enum",)),
-        SymbolRule(lang, "function", rf"^\s*{MOD}{NOT_CALL}{TYPE}[\s*&]+((?:{ID}::){{0,16}}~?{ID})\s*\([^;]*\)[^;={{]*(?:\{{.*)?$", parents=("namespace",), top=True, word="("),
-        SymbolRule(lang, "global", rf"^\s*{MOD}{NOT_CALL}(?!using\b|typedef\b|class\b|struct\b|enum\b|template\b){TYPE}[\s*&]+({ID})\s*(?:\[[^\]]*\]\s*){{0,16}}(?:=.*)?;.*$", parents=("namespace",), top=True, word=";"),
+        SymbolRule(lang, "function", rf"^\s*{MOD}{NOT_CALL}{TYPE}[\s*&]+((?:{ID}::)*+~?{ID})\s*\([^;]*\)[^;={{]*(?:\{{.*)?$", parents=("namespace",), top=True, word="("),
+        SymbolRule(lang, "global", rf"^\s*{MOD}{NOT_CALL}(?!using\b|typedef\b|class\b|struct\b|enum\b|template\b){TYPE}[\s*&]+({ID})\s*(?:\[[^\]]*\]\s*)*+(?:=.*)?;.*$", parents=("namespace",), top=True, word=";"),
     ]
 
 
@@ -99,8 +101,8 @@ RUST = [
     SymbolRule("rust", "enum", rf"^\s*{VIS}enum\s+(\w+)", word="enum"),
     SymbolRule("rust", "trait", rf"^\s*{VIS}(?:unsafe\s+)?trait\s+(\w+)", rank=2, word="trait"),
     SymbolRule("rust", "impl", r"^\s*(?:unsafe\s+)?impl\b(?:\s*<[^{]*?>)?\s+(?:.*\bfor\s+)?([\w:]+)", word="impl"),
-    SymbolRule("rust", "method", rf"^\s*{VIS}(?:(?:const|unsafe|async|extern(?:\s+\"[^\"]*\")?)\s+){{0,16}}fn\s+(\w+)", parents=("impl", "trait"), word="fn"),
-    SymbolRule("rust", "function", rf"^\s*{VIS}(?:(?:const|unsafe|async|extern(?:\s+\"[^\"]*\")?)\s+){{0,16}}fn\s+(\w+)", word="fn"),
+    SymbolRule("rust", "method", rf"^\s*{VIS}(?:(?:const|unsafe|async|extern(?:\s+\"[^\"]*\")?)\s+)*+fn\s+(\w+)", parents=("impl", "trait"), word="fn"),
+    SymbolRule("rust", "function", rf"^\s*{VIS}(?:(?:const|unsafe|async|extern(?:\s+\"[^\"]*\")?)\s+)*+fn\s+(\w+)", word="fn"),
     SymbolRule("rust", "static", rf"^\s*{VIS}static\s+(?:mut\s+)?(\w+)", word="static"),
     SymbolRule("rust", "field", rf"^\s*{VIS}(\w+)\s*:(?!:)\s*[^;]+,?\s*$", parents=("struct",), word=":"),
     SymbolRule("rust", "variant", r"^\s*(\w+)\s*(?:[({].*)?,?\s*$", parents=("enum",)),

@@ -2,15 +2,16 @@
 
 A file is one row until its lines are linked, then each line that can start a
 definition is a row and the rules are tested on it. Nothing is shuffled for the
-symbol table. A small Arrow helper links lines (nesting, statement ends,
-comments) in one pass over integers. It is a line scan, not a parser: definitions inside multi-line
-strings or comments may show up.
+symbol table. Strings and comments, also those over several lines, are masked before a
+rule sees a line. An Arrow helper links the lines of many files at once (nesting, statement ends, comments)
+by array operations on integers. It is a scan of statements, not a parser.
 """
 
 from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,53 +30,123 @@ from quire.operators.symbol_rules import (
 )
 
 INTS = ST.ArrayType(ST.IntegerType())
-LINKS = ST.StructType([ST.StructField(n, INTS) for n in ("depth", "parent", "stop", "next", "comment")])
+LINKS = ST.StructType([ST.StructField(n, INTS) for n in ("depth", "parent", "stop", "next", "comment", "string")])
 BLANK = -1  # level of a line that takes no part in nesting
 
 
-def link_lines(levels, deltas, parens, marks):
-    """Links of one file, all 0-based line numbers, -1 for none.
+#: Lines that are linked at once; whole files each.
+LINE_BLOCK = 200_000
 
-    depth: nesting before the line; parent: line that opened the enclosing
-    block; stop: line on which the parentheses opened here are closed; next:
-    next line with code; comment: first line of the comment block just above.
+
+def previous_smaller(values: np.ndarray, strict: bool = True) -> np.ndarray:
+    """For each place the nearest one before it with a smaller (or equal) value, -1 for none.
+
+    Minima of blocks of 1, 2, 4, ... values; from the largest block down, each place goes back
+    over the blocks that hold no such value.
     """
-    n = len(levels)
-    depth, parent, stop, nxt, comment = [0] * n, [-1] * n, list(range(n)), [-1] * n, [-1] * n
-    stack: list[int] = []  # lines whose level is below that of what follows
-    waiting: list[tuple[int, int]] = []  # open statements: (line, balance before it)
-    pending: list[int] = []  # lines whose next code line is not known yet
-    block = -1  # first line of the comment block that ends on the line before
-    braces = parens_open = 0
-    for i in range(n):
-        level = levels[i] if deltas is None or levels[i] == BLANK else braces
-        if deltas is not None:
-            braces = max(braces + deltas[i], 0)
-        depth[i] = level if level != BLANK else 0
-        comment[i] = block
-        block = (block if marks[i] == 2 else i) if marks[i] else -1
-        if level != BLANK and not waiting:
-            while stack and depth[stack[-1]] >= level:
-                stack.pop()
-            parent[i] = stack[-1] if stack else -1
-            stack.append(i)
-        if level != BLANK:
-            for j in pending:
-                nxt[j] = i
-            pending.clear()
-        pending.append(i)
-        if parens[i] > 0:
-            waiting.append((i, parens_open))
-        parens_open += parens[i]
-        while waiting and parens_open <= waiting[-1][1]:
-            stop[waiting.pop()[0]] = i
-    return depth, parent, stop, nxt, comment
+    n = len(values)
+    blocks = [values]
+    while 1 << len(blocks) <= n:
+        last, half = blocks[-1], 1 << (len(blocks) - 1)
+        blocks.append(np.minimum(last[: len(last) - half], last[half:]))  # values [i, i + 2 * half)
+    at = np.arange(n)
+    for k in range(len(blocks) - 1, -1, -1):
+        begin = at - (1 << k)
+        least = blocks[k][np.maximum(begin, 0)] if len(blocks[k]) else values[:0]
+        passed = (begin >= 0) & ((least >= values) if strict else (least > values))
+        at = np.where(passed, begin, at)
+    return at - 1
+
+
+def link_files(sizes, levels, deltas, parens, marks, inner, braced):
+    """Links of the lines of several files, each 0-based within its file, -1 for none.
+
+    ``sizes`` are lines per file, the other arguments hold all lines in a row (``braced``: one flag per line).
+    depth: nesting before the line; parent: line that opened the enclosing block; stop: line on
+    which the parentheses opened here are closed; next: next line with code; comment: first
+    line of the comment block just above; string: last line of the string that goes on here.
+    """
+    n = int(sum(sizes))
+    if not n:
+        return (np.zeros(0, np.int64),) * 6
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    file = np.repeat(np.arange(len(sizes)), sizes)
+    start, at = begin[file], np.arange(n)
+    far = 4 * (n + int(np.abs(levels).sum()) + int(np.abs(deltas).sum()) + int(np.abs(parens).sum()) + 1)
+
+    def last(test):
+        """The last line so far in the file where ``test`` holds."""
+        found = np.maximum.accumulate(np.where(test, at, -1))
+        return np.where(found >= start, found, -1)
+
+    # Open braces, never below zero: what the least sum so far fell below it is given back.
+    total = np.cumsum(deltas)
+    total -= (total - deltas)[start]
+    least = np.minimum.accumulate(np.minimum(total, 0) - file * far) + file * far
+    after = total - least
+    code = levels != BLANK
+    depth = np.where(code, np.where(braced, np.where(at > start, np.roll(after, 1), 0), levels), 0)
+    # A statement is open until the parentheses are back to what they were before it.
+    opened = np.cumsum(parens)
+    opened -= (opened - parens)[start]
+    back = (opened - file * far)[::-1]
+    before = (opened - parens - file * far)[::-1]
+    closed = n - 1 - _next_back(back, before)[::-1]
+    closes = (parens > 0) & (closed < n) & (closed >= 0)
+    closes &= file[np.clip(closed, 0, n - 1)] == file
+    stop = np.where(closes, closed, at)
+    ends = np.where(closes, closed, np.concatenate([begin[1:], [n]])[file] - 1)
+    edges = np.zeros(n + 2, np.int64)
+    some = np.flatnonzero(parens > 0)
+    np.add.at(edges, some + 1, 1)
+    np.add.at(edges, ends[some] + 1, -1)
+    inside = np.cumsum(edges[:n]) > 0
+    own = np.flatnonzero(code & ~inside)
+    parent = np.full(n, -1)
+    up = previous_smaller(depth[own] - file[own] * far)
+    parent[own] = np.where(up >= 0, own[up], -1)
+    parent = np.where(parent >= start, parent, -1)
+    ahead = np.minimum.accumulate(np.where(code, at, n)[::-1])[::-1]
+    ahead = np.concatenate([ahead[1:], [n]])
+    nxt = np.where((ahead < n) & (file[np.minimum(ahead, n - 1)] == file), ahead, -1)
+    opener, plain = last(marks == 1), last(marks == 0)
+    block = np.where((marks > 0) & (opener > plain), opener, -1)
+    comment = np.where(at > start, np.roll(block, 1), -1)
+    outer = np.minimum.accumulate(np.where(inner, n, at)[::-1])[::-1]
+    outer = np.concatenate([outer[1:], [n]])
+    string = np.minimum(outer, np.concatenate([begin[1:], [n]])[file]) - 1
+    local = lambda x: np.where(x >= 0, x - start, -1)
+    return depth, local(parent), stop - start, local(nxt), local(comment), string - start
+
+
+def _next_back(back: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """For each place the nearest one at or before it whose value is at most ``limit`` there, -1 for none."""
+    n = len(back)
+    blocks = [back]
+    while 1 << len(blocks) <= n:
+        last, half = blocks[-1], 1 << (len(blocks) - 1)
+        blocks.append(np.minimum(last[: len(last) - half], last[half:]))
+    at = np.arange(1, n + 1)
+    for k in range(len(blocks) - 1, -1, -1):
+        begin = at - (1 << k)
+        passed = (begin >= 0) & (blocks[k][np.maximum(np.minimum(begin, len(blocks[k]) - 1), 0)] > limit)
+        at = np.where(passed, begin, at)
+    return at - 1
 
 
 @pandas_udf(LINKS)
-def _links(levels: pd.Series, deltas: pd.Series, parens: pd.Series, marks: pd.Series) -> pd.DataFrame:
-    rows = [link_lines(*map(lambda a: None if a is None else a.tolist(), r)) for r in zip(levels, deltas, parens, marks)]
-    return pd.DataFrame(rows, columns=LINKS.names)
+def _links(levels: pd.Series, deltas: pd.Series, parens: pd.Series, marks: pd.Series, inner: pd.Series) -> pd.DataFrame:
+    sizes = np.array([len(x) for x in levels], np.int64)
+    out: list[list] = [[] for _ in LINKS.names]
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // LINE_BLOCK, prepend=-1)).tolist() + [len(sizes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        flat = lambda s: np.concatenate([np.asarray(x, np.int64) for x in s.iloc[a:b]])  # noqa: B023, E731
+        braced = np.array([x is not None for x in deltas.iloc[a:b]])
+        moves = np.concatenate([np.zeros(k, np.int64) if x is None else np.asarray(x, np.int64) for x, k in zip(deltas.iloc[a:b], sizes[a:b], strict=True)])
+        links = link_files(sizes[a:b], flat(levels), moves, flat(parens), flat(marks), flat(inner) > 0, np.repeat(braced, sizes[a:b]))
+        for own, link in zip(out, links, strict=True):
+            own.extend(np.split(link.astype(np.int32), np.cumsum(sizes[a:b])[:-1]))
+    return pd.DataFrame(dict(zip(LINKS.names, out, strict=True)))
 
 
 def _by_language(rules: tuple[SymbolRule, ...], pick) -> Column:
@@ -153,11 +224,49 @@ def _signature() -> Column:
     return F.when(F.col("code_lang").isin(*INDENTED), python).otherwise(F.regexp_replace(braces, r"\s*;\s*$", ""))
 
 
-# Strings and comments open no block. A quote must be closed on its line.
-# Possessive repeats run as loops: a literal of any length takes no stack.
+# Strings and comments open no block and hold no definition. Possessive repeats run as
+# loops: a literal of any length takes no stack. A quote that must be closed on its line and is not is no string.
 LITERAL = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
-BRACE_NOISE = rf"(?m){LITERAL}|`[^`\n]*`|//.*$|/\*.*?\*/|/\*.*$|^\s*\*.*$"
-INDENT_NOISE = rf"(?m){LITERAL}|#.*$"
+TRIPLE = r"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+(?:\"\"\"|\z)"
+BLOCK_COMMENT = r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)"
+LINE_COMMENT = r"//[^\n]*+"
+HASH_COMMENT = r"#[^\n]*+"
+#: Strings that may go on over lines, by language, before the comments and the others.
+LONG_STRINGS = {
+    "python": TRIPLE + "|" + TRIPLE.replace('\\"', "'"),
+    "javascript": r"`(?:[^`\\]|\\[\s\S])*+(?:`|\z)",
+    "typescript": r"`(?:[^`\\]|\\[\s\S])*+(?:`|\z)",
+    "java": TRIPLE,
+    "cpp": r"\bR\"([^()\\\s]{0,16}+)\((?:(?!\)\1\")[\s\S])*+(?:\)\1\"|\z)",
+    "rust": r"\bb?r(#*+)\"(?:(?!\"\1)[\s\S])*+(?:\"\1|\z)|\"(?:[^\"\\]|\\[\s\S])*+(?:\"|\z)",
+}
+#: A lifetime has no second quote.
+RUST_LITERAL = r"'(?:[^'\\\n]|\\[^\n'][^'\n]*+)'"
+#: Stands at the begin of a line that a string goes on over.
+INNER = "\u0001"
+
+
+def tokens(lang: str) -> str:
+    """A pattern of the strings and comments of a language, in the order in which they are tried."""
+    plain = RUST_LITERAL if lang == "rust" else LITERAL
+    comments = [HASH_COMMENT] if lang in INDENTED else [LINE_COMMENT, BLOCK_COMMENT]
+    return "|".join([*([LONG_STRINGS[lang]] if lang in LONG_STRINGS else []), *comments, plain])
+
+
+def masked(text: Column, lang: Column, languages: list[str]) -> Column:
+    """``text`` with a quote for every string and nothing for every comment; lines stay, those inside a string are marked."""
+    breaks = lambda x: F.regexp_replace(x, r"[^\n]++", "")
+    comment = lambda x: F.startswith(x, F.lit("/")) | F.startswith(x, F.lit("#"))
+    shown = lambda x: F.when(comment(x), breaks(x)).otherwise(F.concat(F.lit('"'), F.replace(breaks(x), F.lit("\n"), F.lit("\n" + INNER))))
+    out = None
+    for own in languages:
+        pattern = tokens(own)
+        between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        made = F.array_join(F.zip_with(between, F.transform(hits, shown), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        out = F.when(lang == own, made) if out is None else out.when(lang == own, made)
+    return out
+
+
 STATEMENT = r"^\s*[\w#@~$*]"
 COMMENT_LINE = r"^\s*(?://|/\*|#(?![\[!]|\s*(?:include|define|if|endif|else|pragma)))"
 COMMENT_MORE = r"^\s*\*|^[^\"']*\*/\s*$"
@@ -180,13 +289,7 @@ def statements(files: DataFrame, languages: list[str], content: str = "content")
         "path",
         "code_lang",
         F.split("_text", "\n", -1).alias("_lines"),
-        F.split(
-            F.when(indented, F.regexp_replace("_text", INDENT_NOISE, "")).otherwise(
-                F.regexp_replace("_text", BRACE_NOISE, "")
-            ),
-            "\n",
-            -1,
-        ).alias("_code"),
+        F.split(masked(F.col("_text"), F.col("code_lang"), languages), "\n", -1).alias("_code"),
     )
 
     def balance(opened: str, closed: str) -> Column:
@@ -199,26 +302,24 @@ def statements(files: DataFrame, languages: list[str], content: str = "content")
             ).otherwise(0),
         )
 
-    # A brace alone on its line belongs to the statement above it.
+    # A brace alone on its line belongs to the statement above it. Lines inside a string take no part.
+    inner = F.transform("_code", lambda x: F.startswith(x, F.lit(INNER)).cast("int"))
+    blank = F.transform("_code", lambda x: F.startswith(x, F.lit(INNER)) | (F.trim(x) == ""))
     level = F.when(
         indented,
-        F.transform(
-            "_lines",
-            lambda x: F.when(F.ltrim(x) == "", BLANK)
-            .when(F.startswith(F.ltrim(x), F.lit("#")), BLANK)
-            .otherwise(F.length(F.regexp_extract(x, r"^(\s*)", 1))),
-        ),
-    ).otherwise(F.transform("_code", lambda x: F.when(F.trim(x).isin("", "{"), BLANK).otherwise(0)))
+        F.transform("_lines", lambda x, i: F.when(F.get(blank, i), BLANK).otherwise(F.length(F.regexp_extract(x, r"^(\s*)", 1)))),
+    ).otherwise(F.transform("_code", lambda x, i: F.when(F.get(blank, i) | (F.trim(x) == "{"), BLANK).otherwise(0)))
     mark = F.transform(
         "_lines",
         lambda x: F.when(F.rlike(x, F.lit(COMMENT_LINE)), 1).when(F.rlike(x, F.lit(COMMENT_MORE)), 2).otherwise(0),
     )
-    linked = lined.withColumn("_links", _links(level, F.when(~indented, balance("{", "}")), balance("(", ")"), mark))
+    linked = lined.withColumn("_links", _links(level, F.when(~indented, balance("{", "}")), balance("(", ")"), mark, inner))
     line = lambda i: F.get("_lines", i)
     at = lambda name, i: F.get(F.col("_links")[name], i)
 
     def statement(i: Column) -> Column:
-        stop = at("stop", i)
+        # A string that opens on the last line of a statement belongs to it.
+        stop = F.when(indented, at("stop", i)).otherwise(at("string", at("stop", i)))
         rest = F.array_join(F.transform(F.slice("_lines", i + 2, stop - i), F.trim), " ")
         return F.struct(
             i.alias("i"),
@@ -227,8 +328,8 @@ def statements(files: DataFrame, languages: list[str], content: str = "content")
             at("parent", i).alias("parent_i"),
             line(at("parent", i)).alias("parent_text"),
             F.when(
-                indented,
-                F.concat_ws("\n", line(at("next", stop)), line(at("next", stop) + 1)),
+                indented & (at("next", stop) >= 0),
+                F.array_join(F.slice("_lines", at("next", stop) + 1, at("string", at("next", stop)) - at("next", stop) + 1), "\n"),
             ).alias("doc_text"),
             F.when(
                 at("comment", i) >= 0, F.array_join(F.slice("_lines", at("comment", i) + 1, i - at("comment", i)), "\n")
@@ -241,12 +342,10 @@ def statements(files: DataFrame, languages: list[str], content: str = "content")
 
 
 def _doc() -> Column:
-    """The string that opens a Python body: its first line, and the second if it is open."""
-    rows = F.split("doc_text", "\n", 2)
-    first = F.regexp_replace(F.trim(F.get(rows, F.lit(0))), r"^[rRbBuU]{1,2}(?=[\"'])", "")
-    closed = F.rlike(first, F.lit("^(?:\"\"\".+\"\"\"|'''.+'''|\"[^\"].*\"|'[^'].*')\\s*(?:#.*)?$"))
-    whole = F.when(closed, first).otherwise(F.concat_ws("\n", first, F.get(rows, F.lit(1))))
-    return F.when(F.rlike(first, F.lit("^[\"']")), T.clean_docstring(whole))
+    """The string that opens a Python body, whole."""
+    text = F.regexp_replace(F.trim("doc_text"), r"^[rRbBuU]{1,2}(?=[\"'])", "")
+    found = F.regexp_extract(text, "^(?:" + LONG_STRINGS["python"] + "|" + LITERAL + ")", 0)
+    return F.when(found != "", T.docstring_text(found))
 
 
 # --- fixed values: kind of the constants of an enum ---------------------------
@@ -269,7 +368,7 @@ def _symbol_rows(files: DataFrame, rules: tuple[SymbolRule, ...], content: str =
         "regexp_extract", F.col(text), of(index, "regex"), F.lit(1)
     )
     words = "|".join(MODIFIERS)
-    lead = F.regexp_extract(F.ltrim("head"), rf"^((?:(?:{words})(?:\([^)]*\))?\s+){{1,16}})", 1)
+    lead = F.regexp_extract(F.ltrim("head"), rf"^((?:(?:{words})(?:\([^)]*\))?\s++)++)", 1)
     documented = F.col("code_lang").isin(*INDENTED) & F.col("kind").isin("class", "function", "method")
     found = (
         hit.withColumn("kind", of("_rule", "kind"))
@@ -286,7 +385,7 @@ def _symbol_rows(files: DataFrame, rules: tuple[SymbolRule, ...], content: str =
             F.when(F.col("_member"), F.col("parent_i") + 1).alias("parent_line"),
             F.filter(F.split(lead, r"\s+"), lambda m: m != "").alias("modifiers"),
             F.when(documented, _doc()).alias("doc"),
-            T.clean_comment(F.col("comment_text")).alias("comment"),
+            T.comment_text(F.col("comment_text")).alias("comment"),
             of("_rule", "rank").alias("rank"),
             "head",
         )
@@ -400,7 +499,7 @@ def summaries(
             .when(F.col("code_lang").isin(*BRACED) & e["kind"].isin("import", "package", "constant", "field", "property", "global") , F.when(F.col("code_lang").isin("c", "cpp") & (e["kind"] == "import"), "").otherwise(";"))
             .otherwise("")
         )
-        doc = F.when(e["doc"].isNotNull(), F.concat(F.lit("\n    "), indent, F.lit('"""'), e["doc"], F.lit('"""'))).otherwise("")
+        doc = F.when(e["doc"].isNotNull(), F.concat(F.lit("\n    "), indent, F.lit('"""'), T.clean_docstring(e["doc"]), F.lit('"""'))).otherwise("")
         close = F.when(new_owner & block, "\n}").otherwise("")
         gap = F.when(F.when(alone, new_owner).otherwise(new_section), "\n").otherwise("")
         return F.concat(indent, e["signature"], opener, doc, close, gap)

@@ -1,5 +1,8 @@
 """The symbol scan on hand-made sources in every language family."""
 
+import random
+
+import numpy as np
 import pytest
 
 from quire.operators import symbols as S
@@ -37,7 +40,7 @@ SOURCES = {
 WANT = {
     "a.py": [
         (1, "import", "os", None, None), (2, "import", "a.b", None, None), (4, "constant", "MAX", None, None),
-        (7, "class", "A", None, "Doc of A which is long enough."), (11, "method", "run", "A", "short second line..."),
+        (7, "class", "A", None, "Doc of A which is long enough."), (11, "method", "run", "A", "short\nsecond line"),
         (14, "function", "inner", None, None), (17, "method", "go", "A", None), (23, "function", "g", None, None),
         (25, "function", "f", None, "one"),
     ],
@@ -120,9 +123,93 @@ def test_user_rules(spark):
     assert {(r.kind, r.name) for r in S.symbols(df, rules).collect()} == {("function", "f"), ("todo", "Todo")}
 
 
-def test_links():
-    depth, parent, stop, nxt, comment = S.link_lines([0, 4, -1, 4, 0], None, [0, 1, 0, -1, 0], [0, 0, 0, 0, 0])
-    assert (depth[1], parent[1], stop[1], nxt[1], parent[4]) == (4, 0, 3, 3, -1)
+def plain_links(levels, deltas, parens, marks):
+    """Line by line, with stacks."""
+    n = len(levels)
+    depth, parent, stop, nxt, comment = [0] * n, [-1] * n, list(range(n)), [-1] * n, [-1] * n
+    stack, waiting, pending, block, braces, opened = [], [], [], -1, 0, 0
+    for i in range(n):
+        level = levels[i] if deltas is None or levels[i] == -1 else braces
+        if deltas is not None:
+            braces = max(braces + deltas[i], 0)
+        depth[i] = level if level != -1 else 0
+        comment[i] = block
+        block = (block if marks[i] == 2 else i) if marks[i] else -1
+        if level != -1 and not waiting:
+            while stack and depth[stack[-1]] >= level:
+                stack.pop()
+            parent[i] = stack[-1] if stack else -1
+            stack.append(i)
+        if level != -1:
+            for j in pending:
+                nxt[j] = i
+            pending = []
+        pending.append(i)
+        if parens[i] > 0:
+            waiting.append((i, opened))
+        opened += parens[i]
+        while waiting and opened <= waiting[-1][1]:
+            stop[waiting.pop()[0]] = i
+    return [depth, parent, stop, nxt, comment]
+
+
+def test_links_against_a_line_loop():
+    rng = random.Random(7)
+    for _ in range(300):
+        files = []
+        for _ in range(rng.randint(1, 4)):
+            n = rng.randint(1, 25)
+            pick = lambda *x: [rng.choice(x) for _ in range(n)]  # noqa: B023, E731
+            braced = rng.random() < 0.5
+            marks = pick(0, 0, 1, 2)
+            for i, m in enumerate(marks):  # a comment goes on only where one is open
+                if m == 2 and (not i or not marks[i - 1]):
+                    marks[i] = 0
+            files.append((pick(-1, 0, 0) if braced else pick(-1, 0, 1, 2, 4), pick(-2, -1, 0, 0, 1, 2) if braced else None, pick(-2, -1, 0, 0, 0, 1, 2), marks))
+        flat = lambda k: np.concatenate([np.array(f[k] if f[k] is not None else [0] * len(f[0])) for f in files])
+        sizes = [len(f[0]) for f in files]
+        got = S.link_files(sizes, flat(0), flat(1), flat(2), flat(3), flat(2) * 0 > 0, np.concatenate([[f[1] is not None] * len(f[0]) for f in files]))
+        want = [sum(x, []) for x in zip(*(plain_links(*f) for f in files), strict=True)]
+        assert [g.tolist() for g in got[:5]] == want
+
+
+def test_nothing_out_of_strings_and_comments(spark):
+    """Definitions inside strings and comments over several lines are none; what follows them is."""
+    files = {
+        "a.py": "S = '''\nclass Fake:\n    def no(self): pass\n'''\nclass Real:\n    \"\"\"\n    class Fake2:\n    # no\n    \"\"\"\n    def yes(self):\n        r\"\"\"Whole\n        doc.\"\"\"\nT = \"\"\"a \\\"\"\" def no2(): \"\"\"\ndef last(): pass\n",
+        "b.ts": "const T = `\nclass Fake {\n  no() {\n`;\n/*\nfunction fake() {\n*/\nclass Real {\n  yes() { return `}`; }\n}\nfunction last() {}\n",
+        "C.java": 'class Real {\n  String s = """\n    class Fake {\n    """;\n  /* int no;\n  class Fake2 { */\n  int yes;\n}\n',
+        "d.cpp": 'const char* s = R"x(\nclass Fake {\n)" )x";\n/*\nint no;\n*/\nclass Real {\n  int yes;\n};\n',
+        "e.rs": "static S: &str = r#\"\nfn fake() {\n\"\n\"#;\nstatic T: &str = \"a\n struct Fake {\";\nfn real<'a>(x: &'a str) -> char {\n  '{'\n}\nfn last() {}\n",
+    }
+    df = spark.createDataFrame([("r", p, t) for p, t in files.items()], "repo_id string, path string, content string")
+    rows = S.symbols(df).collect()
+    names = {p: {(r.name, r.parent) for r in rows if r.path == p} for p in files}
+    assert names["a.py"] == {("S", None), ("T", None), ("Real", None), ("yes", "Real"), ("last", None)}
+    assert names["b.ts"] == {("T", None), ("Real", None), ("yes", "Real"), ("last", None)}
+    assert names["C.java"] == {("Real", None), ("s", "Real"), ("yes", "Real")}
+    assert names["d.cpp"] == {("s", None), ("Real", None), ("yes", "Real")}
+    assert names["e.rs"] == {("S", None), ("T", None), ("real", None), ("last", None)}
+    docs = {r.name: r.doc for r in rows if r.path == "a.py"}
+    assert docs["yes"] == "Whole\ndoc." and docs["Real"] == "class Fake2:\n# no"
+
+
+def test_no_cap_on_modifiers_scopes_or_comments(spark):
+    scopes = "".join(f"n{i}::" for i in range(100))
+    files = {
+        "a.cpp": f"int {scopes}far(int a) {{\n}}\nint g{'[2]' * 40} = {{}};\n",
+        "B.java": "class B {\n  // " + "word " * 100 + "\n  " + "static " * 100_000 + "int x;\n}\n",
+        "c.js": "class C {\n  get (x) { }\n  async = 1;\n  static get size() { }\n}\n",
+        "d.py": "def f():\n    '''" + "long line " * 50 + "\n    more'''\n",
+    }
+    df = spark.createDataFrame([("r", p, t) for p, t in files.items()], "repo_id string, path string, content string")
+    by = {(r.path, r.name): r for r in S.symbols(df).collect()}
+    assert ("a.cpp", scopes + "far") in by and ("a.cpp", "g") in by
+    assert by["B.java", "x"].comment == ("word " * 100).strip() and len(by["B.java", "x"].modifiers) == 100_000
+    assert {n for p, n in by if p == "c.js"} == {"C", "get", "async", "size"}
+    assert by["d.py", "f"].doc == ("long line " * 50).strip() + "\nmore"
+    printed = {r.path: r.summary for r in S.summaries(df).collect()}
+    assert ("long line " * 10).strip() in printed["d.py"] and "more" not in printed["d.py"]
 
 
 def test_long_lines_end_no_executor(spark):
