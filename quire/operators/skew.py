@@ -55,10 +55,10 @@ def positions(
 ) -> DataFrame:
     """Position of every row in its group, with running totals, for any group size.
 
-    ``group + order`` must identify a row; pass narrow columns only. Gives
-    ``group, order, position`` (from 1) and one running total per entry of
+    Gives ``group, order, position`` (from 1) and one running total per entry of
     ``totals`` (name -> column), the row itself included, and the columns of
-    ``carried`` as they are.
+    ``carried`` as they are. Rows with equal ``group + order`` stand side by side in any
+    order. All columns given are written twice and shuffled once.
 
     A group is not gathered in one task. The rows are range-partitioned and
     sorted, and their place is written down; each (group, range) chunk is
@@ -121,18 +121,17 @@ def in_segments(
     part that reaches ``segment_bytes``; small groups are one segment.
     """
     size = (F.octet_length(text) + len(sep)).cast("bigint")
-    placed = positions(parts, group, order, {"_end": size}, {"_size": size}).withColumn(
+    # The texts go with their keys: rendered and shuffled once, and never joined back, so keys may repeat.
+    placed = positions(parts, group, order, {"_end": size}, {"_size": size, "_text": F.col(text)}).withColumn(
         "segment", F.floor((F.col("_end") - F.col("_size")) / F.lit(segment_bytes)).cast("bigint")
     )
     # Narrow rows; the texts are not read for it.
     last = placed.groupBy(*group).agg(F.max("segment").alias("last_segment"))
-    keys = [*group, *order]
-    joined = parts.join(placed.select(*keys, "position", "segment"), keys)
     return (
-        joined.groupBy(*group, "segment")
+        placed.groupBy(*group, "segment")
         .agg(
             F.count(F.lit(1)).alias("n_parts"),
-            F.expr(f"listagg({text}, '{sep}') within group (order by position)").alias("text"),
+            F.expr(f"listagg(_text, '{sep}') within group (order by position)").alias("text"),
         )
         .join(last, group)
     )

@@ -62,9 +62,25 @@ def test_segments_join_to_the_whole_text(spark):
 
 
 def test_long_documents_have_parts(spark):
-    df = spark.range(5000).select(F.lit(1).alias("doc"), F.col("id").alias("pos"), F.col("id").cast("string").alias("t"))
-    parts = sorted((r.part, r.text) for r in ordered_text(df, "doc", "pos", "t").collect())
-    assert len(parts) == 5 and " ".join(t for _, t in parts) == " ".join(map(str, range(5000)))
+    """Parts follow bytes, not positions: those of the second document begin late and have gaps."""
+    one = spark.range(5000).select(F.lit(1).alias("doc"), F.col("id").alias("pos"), F.col("id").cast("string").alias("t"))
+    two = one.select(F.lit(2).alias("doc"), (F.col("pos") * 1000 + 77_777).alias("pos"), "t")
+    short = spark.createDataFrame([(3, 9, "a"), (3, 2, None), (3, 2, None), (None, 1, "n")], "doc int, pos long, t string")
+    got = ordered_text(one.unionByName(two).unionByName(short), "doc", "pos", "t", part_bytes=4000).collect()
+    want = " ".join(map(str, range(5000)))
+    for doc in (1, 2):
+        parts = sorted((r.part, r.text) for r in got if r.doc == doc)
+        assert len(parts) > 4 and " ".join(t for _, t in parts) == want
+        assert all(len(t) <= 4000 + 5 for _, t in parts)
+    assert [(r.part, r.text) for r in got if r.doc == 3] == [(0, "  a")]
+    assert [(r.part, r.text) for r in got if r.doc is None] == [(0, "n")]
+
+
+def test_segments_with_repeated_keys(spark):
+    """Equal keys double no text, and the texts go through one exchange."""
+    df = spark.createDataFrame([("r", "a", "x"), ("r", "a", "x"), ("r", "b", "y")], "repo_id string, path string, text string")
+    got = skew.in_segments(df, ["repo_id"], ["path"], "text", 1000).collect()
+    assert [(r.text, r.n_parts) for r in got] == [("x\nx\ny", 3)]
 
 
 def plan(df):
