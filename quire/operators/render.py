@@ -11,6 +11,7 @@ from quire.functions import text as T
 from quire.operators.skew import in_segments, positions
 from quire.operators.tree import tree_lines, visible
 from quire.options import PackOptions
+from quire.session import written
 
 SEGMENT_BYTES = 32 * 1024 * 1024
 PART_KEYS = ["section", "key"]
@@ -117,10 +118,11 @@ def write_pack(parts: DataFrame, folder: str) -> None:
     """Packs as text files, one folder per repository, files in pack order.
 
     Ranges of the pack order are written in parallel; a large pack has many
-    files, and their names sort in its order.
+    files, and their names sort in its order. The parts are written first: finding the
+    ranges reads them a second time and must not render them again.
     """
     (
-        parts.repartitionByRange("repo_id", *PART_KEYS)
+        written(parts, "parts").repartitionByRange("repo_id", *PART_KEYS)
         .sortWithinPartitions("repo_id", *PART_KEYS)
         .select("repo_id", "text")
         .write.partitionBy("repo_id")

@@ -8,10 +8,14 @@ from quire import constants as C
 from quire.functions import paths as P
 from quire.operators import analysis as A
 from quire.operators import selection as SE
+from quire.operators.pack import pack
 from quire.operators.skew import lookup_join
+from quire.options import PackOptions
 from quire.plans import inputs as I
 from quire.plans import sql as Q
+from quire.plans.filters import EXCLUDE, IGNORED_SQL, any_of
 from quire.plans.registry import query
+from quire.sources.rules import ignore_rules
 from quire.streaming.metrics import measured
 
 KEYS = ("repo_id", "path")
@@ -87,9 +91,48 @@ def over_token_limit(spark, sf_dir):
     return A.over_token_limit(files(spark, sf_dir), 20_000)
 
 
-@query("files_processed", f"select repo_id, count(*) as files from {I.FILES_SQL} group by repo_id")
+# What is left of the files after all filters: the packed ones.
+PACKED_SQL = f"""(select m.repo_id, m.path, m.ext, m.tokens, m.lines from {MEASURED} m
+  left join {IGNORED_SQL} g on m.repo_id = g.repo_id and m.path = g.path
+  where not coalesce(g.ignored, false) and not {Q.skipped_dir('m.path')} and {Q.is_text('m.path', '0')}
+    and not {any_of(EXCLUDE).replace('(path', '(m.path')})"""
+
+
+def packed(spark, sf_dir, **options):
+    """The test files through the whole pack operator, with the rules of their repositories."""
+    rules = ignore_rules(I.ignore_files(spark, sf_dir))
+    return pack(I.raw(I.files(spark, sf_dir)), PackOptions(exclude_patterns=tuple(EXCLUDE), **options), rules)
+
+
+@query("files_processed", f"select repo_id, count(*) as files from {PACKED_SQL} group by repo_id")
 def files_processed(spark, sf_dir):
-    return I.files(spark, sf_dir).groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"))
+    return packed(spark, sf_dir).files_processed()
+
+
+@query(
+    "pack_totals",
+    f"""select repo_id, count(*) as file_count, cast(sum(tokens) as bigint) as total_tokens, cast(sum(lines) as bigint) as total_lines,
+        sum(tokens) > 9000 as over_limit from {PACKED_SQL} group by repo_id""",
+)
+def pack_totals(spark, sf_dir):
+    return packed(spark, sf_dir, max_tokens=9000).totals()
+
+
+@query(
+    "pack_top_files",
+    f"select repo_id, path, tokens, lines from {PACKED_SQL} order by tokens desc, string_split(path, '/'), repo_id limit 25",
+)
+def pack_top_files(spark, sf_dir):
+    return packed(spark, sf_dir, top_n=25).top_files()
+
+
+@query(
+    "pack_by_extension",
+    f"""select ext, count(*) as file_count, cast(sum(tokens) as bigint) as tokens, cast(sum(lines) as bigint) as lines
+        from {PACKED_SQL} group by ext order by tokens desc, {FIRST} limit 10""",
+)
+def pack_by_extension(spark, sf_dir):
+    return packed(spark, sf_dir).by_extension()
 
 
 @query(

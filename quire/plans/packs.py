@@ -173,6 +173,18 @@ def render_summary_rows(spark, sf_dir):
 
 def pack_sql(files: str, block: str, xml: bool, segment_bytes: int, extra: str = "") -> str:
     """Packs cut into segments: a part belongs where its first byte falls."""
+    return f"""{parts_sql(files, block, xml, extra)},
+      placed as (select *, sum(strlen(text) + 1) over (partition by repo_id order by section, key) - strlen(text) - 1 as start from parts),
+      cut as (select *, cast(start // {segment_bytes} as bigint) as segment from placed)
+    select repo_id, segment, count(*) as n_parts,
+      case when segment = max(segment) over (partition by repo_id)
+        then regexp_replace(string_agg(text, chr(10) order by section, key), '[{C.SPACES}]+$', '')
+        else string_agg(text, chr(10) order by section, key) end as text
+    from cut group by repo_id, segment"""
+
+
+def parts_sql(files: str, block: str, xml: bool, extra: str = "") -> str:
+    """``parts``: the parts of all packs with their order."""
     wrap = """union all select distinct repo_id, 3, [''], '<documents>' from known
               union all select distinct repo_id, 5, [''], '</documents>' from known""" if xml else ""
     return f"""with known as (select distinct repo_id from {I.FILES_SQL} {extra}),
@@ -181,14 +193,7 @@ def pack_sql(files: str, block: str, xml: bool, segment_bytes: int, extra: str =
         union all select repo_id, 1, [ord], line from {lines_sql(files, 5)} t
         union all select repo_id, 2, [''], chr(10) from known
         {wrap}
-        union all select repo_id, 4, string_split(path, '/'), {block} from (select *, {INDEX} as doc_index from {PROCESSED} p) q),
-      placed as (select *, sum(strlen(text) + 1) over (partition by repo_id order by section, key) - strlen(text) - 1 as start from parts),
-      cut as (select *, cast(start // {segment_bytes} as bigint) as segment from placed)
-    select repo_id, segment, count(*) as n_parts,
-      case when segment = max(segment) over (partition by repo_id)
-        then regexp_replace(string_agg(text, chr(10) order by section, key), '[{C.SPACES}]+$', '')
-        else string_agg(text, chr(10) order by section, key) end as text
-    from cut group by repo_id, segment"""
+        union all select repo_id, 4, string_split(path, '/'), {block} from (select *, {INDEX} as doc_index from {PROCESSED} p) q)"""
 
 
 DEFAULT = "'Relative File Path: ' || path || chr(10) || chr(10) || '```' || lang || chr(10) || content || chr(10) || '```' || chr(10)"

@@ -18,6 +18,7 @@ from quire.operators.filters import is_text
 from quire.operators.modes import processed_files
 from quire.plans import inputs as I
 from quire.plans import sql as Q
+from quire.plans.packs import DEFAULT, SHOWN, parts_sql
 from quire.plans.registry import query
 from quire.session import new_folder
 from quire.sources import files as FS
@@ -148,7 +149,11 @@ def write_snapshot(spark, sf_dir):
     return sizes.join(headers.select("snapshot_id"), "snapshot_id")
 
 
-@query("write_pack")
+@query(
+    "write_pack",
+    parts_sql(SHOWN, DEFAULT, False)
+    + " select repo_id, cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) as bigint) as lines from parts group by repo_id",
+)
 def write_pack(spark, sf_dir):
     """Packs written as text and read back: lines per repository."""
     folder = new_folder(spark, "pack")

@@ -13,6 +13,8 @@ from quire.operators import render as R
 from quire.operators import snapshot as S
 from quire.operators.filters import included_files
 from quire.operators.modes import processed_files
+from quire.operators.pack import pack as pack_files
+from quire.operators.pack import pack_folders
 from quire.options import PackOptions, SnapshotOptions
 from quire.sources.files import scan_files
 from quire.sources.rules import ignore_rules
@@ -255,3 +257,33 @@ def test_diff_of_texts_that_are_not_stored(spark):
     assert D.special_cases(gated_old).first().line == "Content not stored: a/a.txt b/a.txt"
     plain = D.line_stats(D.text_pairs(state(old), state(new))).first()
     assert (plain.lines_added, plain.lines_removed) == (10, 0)
+
+
+def test_one_call_from_folders_to_packs(spark, project, tmp_path):
+    """Scan, ignore rules, decoding, modes, assembly and statistics in one call, for several folders."""
+    other = lay_out(tmp_path / "other", {"a.py": "def f():\n    return 1\n", "b.log": "x", ".gitignore": "*.log\n"})
+    empty = lay_out(tmp_path / "empty", {"x.png": "no text"})
+    roots = spark.createDataFrame([(r.name, f"file://{r}") for r in (project, other, empty)], "repo_id string, root string")
+    made = pack_folders(roots, PackOptions(max_tokens=20, top_n=2, tree_depth=2))
+    files = {(r.repo_id, r.path) for r in made.processed.collect()}
+    assert ("other", "a.py") in files and ("other", "b.log") not in files and ("test_project", "data/users.csv") not in files
+    texts = {r.repo_id: r.text for r in made.texts().collect()}
+    assert set(texts) == {"test_project", "other", "empty"}
+    assert "Relative File Path: a.py" in texts["other"] and "b.log" not in texts["other"] and C.NO_FILES_MESSAGE in texts["empty"]
+    counts = {r.repo_id: r.files for r in made.files_processed().collect()}
+    assert counts["empty"] == 0 and counts["test_project"] == sum(r == "test_project" for r, _ in files)
+    totals = {r.repo_id: r for r in made.totals().collect()}
+    assert totals["test_project"].over_limit and not totals["other"].over_limit
+    assert made.top_files().count() == 2 and made.by_extension().count() == 2
+    made.write(f"file://{tmp_path}/out")
+    lines = spark.read.text(f"file://{tmp_path}/out/repo_id=other").collect()
+    assert "\n".join(r.value for r in lines).rstrip() == texts["other"]
+
+
+def test_one_call_with_summaries_and_chosen_files(spark, project):
+    raw = scanned(spark, project)
+    short = {r.path: r for r in pack_files(raw, PackOptions(compress=True)).processed.collect()}
+    assert short["utils.py"].is_summary and "def helper()" in short["utils.py"].content
+    assert not short["README.md"].is_summary and "# Test Project" in short["README.md"].content
+    some = spark.createDataFrame([(project.name, ".env"), (project.name, "data/users.csv")], "repo_id string, path string")
+    assert paths(pack_files(raw, chosen=some).processed) == {".env", "data/users.csv"}
