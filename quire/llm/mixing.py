@@ -10,9 +10,10 @@ match the targets, by projected gradient on the weighted least squares
 
 where ``tokens_k`` is the total at rate one. In the metric of the tokens the step of one
 document is ``r <- clip(r - sum over k of p_k * error_k / tokens_k)``, and a step length of one is
-always safe, as the scaled Gram matrix is stochastic. Only the ``K`` sums of an
-iteration pass through the driver; a task repeats the earlier steps of its rows from the
-``K`` numbers of each, so no state is kept in between and a lost executor costs nothing.
+always safe, as the scaled Gram matrix is stochastic. Steps are accelerated: each starts from
+where the last two point, and from the last alone after a step that made the fit worse (which is
+taken back). Only the ``K`` sums of an iteration pass through the driver; a task repeats the last few steps of
+its rows from ``K + 1`` numbers each, and after ``HELD`` of them the rates are written down, so a lost executor costs a re-read.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from quire.llm.common import drawn, packed, pieces, rows_of
-from quire.session import written
+from quire.session import discard, written
 
 SAMPLE = 20_000
 BUCKETS = 1 << 15
 EVIDENCE = 30.0
 MAX_RATE = math.inf
-STEPS = 1000
 TOLERANCE = 1e-4
+HELD = 20
+#: Without a hundredth of the misfit gone in so many steps the targets count as out of reach.
+WINDOW = 50
 CACHE = 400_000
 
 _LOG = logging.getLogger(__name__)
@@ -125,12 +128,11 @@ def posteriors(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] |
     return rows.mapInArrow(run, schema)
 
 
-def _stepped(p: np.ndarray, steps: np.ndarray, top: float) -> np.ndarray:
-    """Rates of rows after the given steps, from one."""
-    rate = np.ones(len(p))
-    for step in steps:
-        rate = np.clip(rate - p @ step, 0.0, top)
-    return rate
+def _stepped(p: np.ndarray, steps: list, top: float, rate: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of rows after the given steps, and one step earlier; a step is its momentum and what a domain takes off."""
+    for push, off in steps:
+        rate, before = np.clip(rate + push * (rate - before) - p @ off, 0.0, top), rate
+    return rate, before
 
 
 def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
@@ -142,7 +144,7 @@ def mixed(
     labelled: DataFrame,
     targets: dict[str, float] | Callable[[list[str]], dict[str, float]] | None = None,
     max_rate: float = MAX_RATE,
-    steps: int = STEPS,
+    steps: int | None = None,
     tolerance: float = TOLERANCE,
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
@@ -154,8 +156,8 @@ def mixed(
     and domains without one get none.
     The total is the smallest at which no domain has to give up tokens it has: scarce
     domains are repeated before others are thinned out. A ``max_rate`` (default: none) can keep totals from their targets.
-    Steps end at the tolerance, or when the totals no longer change, as with targets that no rates meet; the
-    totals of each domain are logged, as a warning if they miss the targets. Null and
+    Steps end at the tolerance, or when ``WINDOW`` of them in a row hardly better the fit, as with targets that no rates meet (or
+    after ``steps``, if given); the totals of each domain are logged, as a warning if they miss the targets. Null and
     empty texts have no tokens and their posterior is the prior; their rate is fitted as
     that of any row. Without labelled rows there are no domains and all rates are one. Repeated
     rows have equal rates; an empty table gives an empty table.
@@ -172,43 +174,69 @@ def mixed(
     share = np.array([(targets or {}).get(d, 0.0 if targets else 1.0) for d in classifier.domains], float)
     share = share / share.sum() if share.sum() > 0 else np.full(k, 1.0 / k)
 
-    def totals(done: list[np.ndarray]) -> np.ndarray:
-        table = np.array(done).reshape(-1, k)
+    ones = rows.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"))
 
+    def held(batch: pa.RecordBatch, own: list) -> tuple[np.ndarray, np.ndarray]:
+        return _stepped(_matrix(batch, k), own, max_rate, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("rate", "before")))
+
+    def totals(state: DataFrame, own: list) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(k)
             for batch in batches:
-                p = _matrix(batch, k)
-                out += (_stepped(p, table, max_rate) * batch.column("tokens").to_numpy()) @ p
+                out += (held(batch, own)[0] * batch.column("tokens").to_numpy()) @ _matrix(batch, k)
             yield rows_of(k=pa.array(range(k), pa.int32()), s=pa.array(out))
 
-        got = rows.select("tokens", "p").mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+        got = state.mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
         out = np.zeros(k)
         for r in got:
             out[r.k] = r.s
         return out
 
-    plain = totals([])
+    def advanced(state: DataFrame, own: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rate, before = held(batch, own)
+                yield rows_of(tokens=batch.column("tokens"), p=batch.column("p"), rate=pa.array(rate), before=pa.array(before))
+
+        return written(state.mapInArrow(run, ones.schema), "rates")
+
+    plain = totals(ones, [])
     wanted = share * max((plain[i] / share[i] for i in range(k) if share[i] > 0), default=0.0)
-    done, last = [], plain
-    for _ in range(steps):
-        error = last - wanted
-        if np.abs(error).max() <= tolerance * max(wanted.sum(), 1.0):
-            break
-        done.append(np.divide(error, plain, out=np.zeros(k), where=plain > 0))
-        now = totals(done)
-        if np.abs(now - last).max() <= 0.01 * tolerance * max(wanted.sum(), 1.0):
-            last = now
+    misfit = lambda x: float(np.divide((x - wanted) ** 2, plain, out=np.zeros(k), where=plain > 0).sum())
+    state, pending, done = ones, [], []
+    last = earlier = plain
+    fits, pace = [misfit(plain)], 1.0
+    while np.abs(last - wanted).max() > tolerance * max(wanted.sum(), 1.0) and (steps is None or len(done) < steps):
+        quicker = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        push = (pace - 1) / quicker
+        # Totals are linear in the rates, so those of the starting point need no pass.
+        error = last + push * (last - earlier) - wanted
+        step = (push, np.divide(error, plain, out=np.zeros(k), where=plain > 0))
+        now = totals(state, [*pending, step])
+        if misfit(now) >= fits[-1]:
+            if push == 0:
+                break
+            pace = 1.0
+            continue
+        pending, done = [*pending, step], [*done, step]
+        last, earlier, pace = now, last, quicker
+        fits.append(misfit(now))
+        if len(fits) > WINDOW and fits[-1] > 0.99 * fits[-1 - WINDOW]:
             break
-        last = now
+        if len(pending) >= HELD:
+            old, state, pending = state, advanced(state, pending), []
+            if old is not ones:
+                discard(old)
     met = np.abs(last - wanted).max() <= tolerance * max(wanted.sum(), 1.0)
     said = ", ".join(f"{d} {a:.1f} of {b:.1f}" for d, a, b in zip(classifier.domains, last, wanted, strict=True))
     _LOG.log(logging.INFO if met else logging.WARNING, "mixing: tokens by domain after %d steps: %s", len(done), said)
-    table = np.array(done).reshape(-1, k)
+    if state is not ones:
+        discard(state)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array(_stepped(_matrix(batch, k), table, max_rate))
+            ones = np.ones(batch.num_rows)
+            own = pa.array(_stepped(_matrix(batch, k), done, max_rate, ones, ones)[0])
             yield rows_of(**{n: batch.column(n) for n in ("_doc", "tokens", "p")}, rate=own)
 
     out = rows.mapInArrow(rate, rows.withColumn("rate", F.lit(1.0)).schema)

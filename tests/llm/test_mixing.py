@@ -71,6 +71,26 @@ def test_scarce_domain_meets_its_target(spark, caplog):
     assert any("tokens by domain" in r.getMessage() for r in caplog.records)
 
 
+def test_soft_posteriors_reach_their_targets(spark, monkeypatch, caplog):
+    """Domains that overlap widely: plain steps need thousands of passes, and rates are written on the way."""
+    import quire.llm.mixing as M
+
+    rng = np.random.default_rng(1)
+    for k, spread, share in ((2, 0.7, [0.25, 0.75]), (4, 1.0, [0.1, 0.2, 0.3, 0.4])):
+        z = np.exp(rng.normal(0, spread, (2000, k)))
+        rows = [(i, int(t), (x / x.sum()).tolist()) for i, (t, x) in enumerate(zip(rng.integers(10, 500, 2000), z, strict=True))]
+        given = spark.createDataFrame(rows, "id long, tokens long, p array<double>").selectExpr("struct(id) as _doc", "tokens", "p")
+        names = [f"d{i}" for i in range(k)]
+        monkeypatch.setattr(M, "learn", lambda labelled: M.Classifier(names, np.zeros(k), np.zeros((1, k))))  # noqa: B023
+        monkeypatch.setattr(M, "posteriors", lambda *a: given)  # noqa: B023
+        monkeypatch.setattr(M, "HELD", 7)
+        caplog.clear()
+        got = mixed(given, given, dict(zip(names, share, strict=True))).collect()
+        p, tokens, rate = np.array([r.p for r in got]), np.array([r.tokens for r in got]), np.array([r.rate for r in got])
+        total = (rate * tokens) @ p
+        assert np.allclose(total / total.sum(), share, atol=2e-4) and rate.min() >= 0 and not caplog.records
+
+
 def test_any_language_has_a_target():
     from quire.llm.mixing import language_targets
 
