@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -14,6 +13,9 @@ from quire import constants as C
 from quire.functions import text as T
 from quire.operators.filters import included_files, is_text
 from quire.options import PackOptions, SnapshotOptions
+from quire.sources.published import children, current, publish
+
+MARK = "snapshot_id="
 
 META_SCHEMA = ST.StructType(
     [
@@ -89,29 +91,46 @@ def header(spark: SparkSession, snapshot_id: str, options: SnapshotOptions) -> D
     return spark.createDataFrame([row], META_SCHEMA)
 
 
-def _folder(folder: str, kind: str, snapshot_id: str) -> str:
-    """The partition of one snapshot; it is named here, so ids stay strings (``1`` is not ``01``)."""
-    return f"{folder}/{kind}/snapshot_id={quote(snapshot_id, safe='')}"
+def _folder(folder: str, snapshot_id: str) -> str:
+    """The folder of one snapshot; it is named here, so ids stay strings (``1`` is not ``01``)."""
+    return f"{folder}/{MARK}{quote(snapshot_id, safe='')}"
 
 
 def write_snapshot(rows: DataFrame, folder: str, snapshot_id: str, options: SnapshotOptions = SnapshotOptions()) -> None:
-    """Write a manifest and its header below ``folder``; an earlier snapshot of that id is replaced."""
-    rows.write.mode("overwrite").parquet(_folder(folder, "files", snapshot_id))
+    """Write a manifest and its header below ``folder``; an earlier snapshot of that id is replaced.
+
+    Both are published in one step: a reader meanwhile gets the manifest and the header of the earlier snapshot.
+    """
     head = header(rows.sparkSession, snapshot_id, options).drop("snapshot_id")
-    head.write.mode("overwrite").parquet(_folder(folder, "meta", snapshot_id))
+    publish({"files": rows, "meta": head}, _folder(folder, snapshot_id))
+
+
+def snapshot_ids(spark: SparkSession, folder: str) -> list[str]:
+    """Ids of the snapshots below ``folder``, in name order."""
+    names = [n for n in children(spark, folder) if n.startswith(MARK)]
+    return [unquote(n[len(MARK) :]) for n in names if current(spark, f"{folder}/{n}")]
+
+
+def _table(spark: SparkSession, folder: str, snapshot_id: str, name: str) -> DataFrame:
+    found = current(spark, _folder(folder, snapshot_id))
+    if found is None:
+        raise ValueError(f"no snapshot {snapshot_id!r} in {folder}")
+    return spark.read.parquet(f"{found}/{name}")
 
 
 def read_snapshot(spark: SparkSession, folder: str, snapshot_id: str) -> DataFrame:
     """Manifest of one snapshot; the files of others are not listed."""
-    return spark.read.parquet(_folder(folder, "files", snapshot_id)).withColumn("snapshot_id", F.lit(snapshot_id))
+    return _table(spark, folder, snapshot_id, "files").withColumn("snapshot_id", F.lit(snapshot_id))
+
+
+def read_header(spark: SparkSession, folder: str, snapshot_id: str) -> DataFrame:
+    """Header of one snapshot, a row."""
+    return _table(spark, folder, snapshot_id, "meta").withColumn("snapshot_id", F.lit(snapshot_id))
 
 
 def read_options(spark: SparkSession, folder: str, snapshot_id: str) -> SnapshotOptions:
     """The settings in a snapshot header (one row)."""
-    try:
-        row = spark.read.parquet(_folder(folder, "meta", snapshot_id)).first()
-    except AnalysisException as missing:
-        raise ValueError(f"no snapshot {snapshot_id!r} in {folder}") from missing
+    row = read_header(spark, folder, snapshot_id).first()
     return SnapshotOptions(
         include_patterns=tuple(row.include_patterns),
         exclude_patterns=tuple(row.exclude_patterns),

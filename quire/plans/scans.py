@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire import constants as C
@@ -143,8 +145,10 @@ def read_snapshot(spark, sf_dir):
 )
 def write_snapshot(spark, sf_dir):
     folder = stored_snapshot(spark, sf_dir)
-    stored = spark.read.parquet(f"{folder}/files")
-    headers = spark.read.parquet(f"{folder}/meta").filter(F.col("schema_version") == C.SNAPSHOT_SCHEMA_VERSION)
+    ids = S.snapshot_ids(spark, folder)
+    stored = reduce(DataFrame.unionByName, [S.read_snapshot(spark, folder, i) for i in ids])
+    headers = reduce(DataFrame.unionByName, [S.read_header(spark, folder, i) for i in ids])
+    headers = headers.filter(F.col("schema_version") == C.SNAPSHOT_SCHEMA_VERSION)
     sizes = stored.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     return sizes.join(headers.select("snapshot_id"), "snapshot_id")
 
