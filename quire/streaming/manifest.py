@@ -16,7 +16,8 @@ EVENTS = ST.StructType(
 class ManifestStream:
     """Diffs each micro-batch against the manifest and appends what changed.
 
-    The manifest is a log: ``events/batch=n`` holds the hashes that batch ``n``
+    A file without a hash is deleted: its status is ``D``, and ``A`` if it comes again; deletions of unknown files
+    are left out. The manifest is a log: ``events/batch=n`` holds the hashes that batch ``n``
     brought, batch -1 the start. A batch reads the earlier entries of its own
     files only and writes in proportion to itself. Its folder is overwritten, so
     a repeated batch gives the same log.
@@ -33,8 +34,9 @@ class ManifestStream:
         return spark.read.schema(EVENTS).parquet(self.folder)
 
     def current(self, spark: SparkSession) -> DataFrame:
-        """The manifest: the latest hash of each file."""
-        return self.events(spark).groupBy(*KEYS).agg(F.max_by("sha256", "batch").alias("sha256"))
+        """The manifest: the latest hash of each file that is not deleted."""
+        latest = self.events(spark).groupBy(*KEYS).agg(F.max_by("sha256", "batch").alias("sha256"))
+        return latest.filter("sha256 is not null")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         # The same file may come twice in a batch; the greatest mtime is current.
@@ -46,14 +48,10 @@ class ManifestStream:
             .groupBy(*KEYS)
             .agg(F.max_by("sha256", "batch").alias("old_hash"))
         )
-        state = (
-            F.when(F.col("old_hash").isNull(), "A")
-            .when(F.col("old_hash") != F.col("sha256"), "M")
-            .otherwise("U")
-        )
-        self._write(
-            fresh.join(known, KEYS, "left").select(*KEYS, "sha256", state.alias("status")), batch_id
-        )
+        old, new = F.col("old_hash"), F.col("sha256")
+        state = F.when(new.isNull(), "D").when(old.isNull(), "A").when(old != new, "M").otherwise("U")
+        changed = fresh.join(known, KEYS, "left").filter(new.isNotNull() | old.isNotNull())
+        self._write(changed.select(*KEYS, "sha256", state.alias("status")), batch_id)
 
     def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
         """Consume what is there now; the events of all batches."""

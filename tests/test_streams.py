@@ -29,6 +29,22 @@ def test_manifest_over_several_batches(spark, tmp_path):
     assert len(manifest.events(spark).collect()) == len(before) + 2
 
 
+def test_manifest_with_deletions(spark, tmp_path):
+    batches = [
+        [("r", "a", None, 1.0), ("r", "b", "2", 1.0), ("r", "none", None, 1.0)],
+        [("r", "a", "7", 2.0), ("r", "b", "3", 2.0), ("r", "b", None, 3.0)],
+        [("r", "b", None, 4.0), ("r", "c", None, 4.0), ("r", "c", "1", 5.0)],
+    ]
+    start = spark.createDataFrame([("r", "a", "0"), ("r", "z", "5")], "repo_id string, path string, sha256 string")
+    manifest = ManifestStream(f"file://{tmp_path}/m", start)
+    for _ in range(2):  # a repeated batch changes nothing
+        for i, rows in enumerate(batches):
+            manifest.apply(spark.createDataFrame(rows, SCHEMA), i)
+    got = {(r.batch, r.path, r.status) for r in manifest.events(spark).filter("batch >= 0").collect()}
+    assert got == {(0, "a", "D"), (0, "b", "A"), (1, "a", "A"), (1, "b", "D"), (2, "c", "A")}
+    assert {r.path: r.sha256 for r in manifest.current(spark).collect()} == {"a": "7", "c": "1", "z": "5"}
+
+
 def test_running_extension_counts(spark, tmp_path):
     schema = "repo_id string, path string, content string"
     for i, rows in enumerate([[("r", "a.py", "x y\n"), ("r", "b.md", "z")], [("s", "c.py", "w")]]):
