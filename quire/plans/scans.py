@@ -26,6 +26,7 @@ from quire.session import new_folder
 from quire.sources import files as FS
 from quire.sources import rules as RU
 from quire.sources import tables as TB
+from quire.sources.tree import register
 
 
 @query("scan_files")
@@ -37,6 +38,15 @@ def scan_files(spark, sf_dir):
     return rows.select("repo_id", "path", "size", textual.alias("is_text"), T.sha256(F.col("content")).alias("sha256"))
 
 
+@query("scan_tree")
+def scan_tree(spark, sf_dir):
+    """The data folder through the data source, with filters that its listing answers."""
+    register(spark)
+    files = spark.read.format("file_tree").options(root=f"file://{os.path.abspath(sf_dir)}", repo_id="data").load()
+    named = files.filter(F.col("path").endswith(".parquet") & (F.col("size") > 0))
+    return named.select("repo_id", "path", "size", T.sha256(F.col("content")).alias("sha256"))
+
+
 @query("scan_table", f"select repo_id, path, content from {I.FILES_SQL}")
 def scan_table(spark, sf_dir):
     return I.files(spark, sf_dir).select("repo_id", "path", "content")
