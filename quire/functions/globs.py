@@ -40,8 +40,8 @@ def _segment(glob: str) -> str:
     return "".join(out)
 
 
-def parse(line: str) -> tuple[bool, str] | None:
-    """``(negated, regex)`` of one line; None for blanks and comments."""
+def steps_of(line: str) -> tuple[bool, list[str], bool] | None:
+    """``(negated, path components, asks for something below)`` of one line; None for blanks and comments."""
     line = line.rstrip("\r\n")
     line = line if line.endswith("\\ ") else line.rstrip()
     if not line or line.startswith("#"):
@@ -55,6 +55,15 @@ def parse(line: str) -> tuple[bool, str] | None:
     anchored = body.startswith("/") or len(steps) > 1
     if not anchored and steps != ["**"]:
         steps.insert(0, "**")
+    return negated, steps, below_only
+
+
+def parse(line: str) -> tuple[bool, str] | None:
+    """``(negated, regex)`` of one line; None for blanks and comments."""
+    rule = steps_of(line)
+    if rule is None:
+        return None
+    negated, steps, below_only = rule
     regex, last = "", len(steps) - 1
     for i, step in enumerate(steps):
         if step == "**":
@@ -105,3 +114,81 @@ def parsed_rule(lines: pd.Series) -> pd.DataFrame:
     """``parse`` over a column of rule lines (rule tables are small)."""
     rules = [parse(x) or (None, None) for x in lines]
     return pd.DataFrame(rules, columns=["negated", "regex"])
+
+
+def literal(step: str) -> str | None:
+    """The name that a path component stands for; None if it has wildcards."""
+    out, i = "", 0
+    while i < len(step):
+        if step[i] in "*?[":
+            return None
+        i += step[i] == "\\" and i + 1 < len(step)
+        out += step[i]
+        i += 1
+    return out
+
+
+def dotted(step: str) -> str | None:
+    """The literal end of a component from its first dot after the wildcards."""
+    rest = re.split(r"[*?]", step)[-1]
+    return rest[rest.index(".") :] if "." in rest and not set("[]\\") & set(step) else None
+
+
+def key_of(line: str) -> tuple[str, str, bool, bool] | None:
+    """``(kind, key, exact, asks for something below)``: what a path must have to match the line.
+
+    A path has its leading folders (``path``), the names of its components (``name``) and the ends of
+    those from each dot (``end``). If ``exact``, a path with the key matches; else the regular expression decides.
+    """
+    rule = steps_of(line)
+    if rule is None:
+        return None
+    _, steps, below_only = rule
+    names = [literal(s) for s in steps]
+    anywhere = steps[0] == "**" and len(steps) == 2
+    if None not in names:
+        return "path", "/".join(names), True, below_only
+    if anywhere and names[1] is not None:
+        return "name", names[1], True, below_only
+    end = dotted(steps[1]) if anywhere else None
+    if end and steps[1] == f"*{end}":
+        return "end", end, True, below_only
+    lead = names[: names.index(None)]
+    if lead:
+        return "path", "/".join(lead), False, below_only
+    if known := [n for n in names if n]:
+        return "name", max(known, key=len), False, below_only
+    ends = [e for s in steps if (e := dotted(s))]
+    return ("end", ends[-1], False, below_only) if ends else ("path", "", False, below_only)
+
+
+KEY_TYPE = StructType(
+    [
+        StructField("kind", StringType()),
+        StructField("key", StringType()),
+        StructField("exact", BooleanType()),
+        StructField("below", BooleanType()),
+    ]
+)
+
+
+@pandas_udf(KEY_TYPE)
+def rule_key(lines: pd.Series) -> pd.DataFrame:
+    """``key_of`` over a column of rule lines (rule tables are small)."""
+    return pd.DataFrame([key_of(x) or (None,) * 4 for x in lines], columns=KEY_TYPE.fieldNames())
+
+
+def path_keys(path: Column) -> Column:
+    """All keys of a path, each with whether something is below that place (``above``)."""
+    parts = F.split(path, "/", -1)
+    n = F.size(parts)
+    key = lambda kind, value, above: F.struct(F.lit(kind).alias("kind"), value.alias("key"), above.alias("above"))
+    folders = F.transform(F.sequence(F.lit(0), n), lambda i: key("path", F.array_join(F.slice(parts, F.lit(1), i), "/"), i < n))
+    names = F.transform(parts, lambda s, i: key("name", s, i < n - 1))
+
+    def ends(s: Column, i: Column) -> Column:
+        d = F.split(s, "[.]", -1)
+        places = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda k: k > 0)
+        return F.transform(places, lambda k: key("end", F.concat(F.lit("."), F.array_join(F.slice(d, k + 1, F.size(d)), ".")), i < n - 1))
+
+    return F.concat(folders, names, F.flatten(F.transform(parts, ends)))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from quire import constants as C
 from quire.functions import globs as G
 from quire.functions import paths as P
-from quire.operators.skew import lookup_join
+from quire.operators.skew import BROADCAST_BYTES, lookup_join, measured_bytes
 from quire.options import PackOptions
-from quire.sources.rules import ignore_regexes
+from quire.session import written
+from quire.sources.rules import keyed_rules
 
 KEYS = ["repo_id", "path"]
 
@@ -40,12 +41,30 @@ def included_by_globs(path: Column, include: Iterable[str]) -> Column:
     return G.matches_any(path, include) if include else F.lit(True)
 
 
-def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Files that the rules of their own repository do not ignore."""
-    joined = lookup_join(files, ignore_regexes(rules), ["repo_id"], KEYS)
-    return joined.filter(
-        F.col("ignored_regex").isNull() | ~F.rlike(F.col("path"), F.col("ignored_regex"))
-    ).drop("ignored_regex")
+def ignored_paths(listing: DataFrame, rules: DataFrame) -> DataFrame:
+    """``repo_id, path`` that the rules of their own repository ignore; the last matching rule decides.
+
+    A path is taken apart into its folders, names and ends, which meet the rules by equality, so the number of
+    rules of a repository does not matter; only rules with wildcards elsewhere test a pattern, on the paths
+    that share their literal part.
+    """
+    keyed = written(keyed_rules(rules), "rules")
+    paths = listing.select(*KEYS).withColumn("_key", F.explode(G.path_keys(F.col("path")))).select(*KEYS, "_key.*")
+    table = F.broadcast(keyed) if measured_bytes(keyed) <= BROADCAST_BYTES else keyed
+    met = paths.join(table, ["repo_id", "kind", "key"])
+    tested = F.when(F.col("regex").isNotNull(), F.rlike("path", F.col("regex"))).otherwise(~F.col("below") | F.col("above"))
+    last = met.filter(tested).groupBy(*KEYS).agg(F.max_by("negated", "ordinal").alias("negated"))
+    return last.filter(~F.col("negated")).select(*KEYS)
+
+
+def drop_ignored(files: DataFrame, rules: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Files that the rules of their own repository do not ignore.
+
+    ``listing`` holds at least the keys of ``files`` where that is cheaper to read. Ignored keys are broadcast if
+    their measured size allows it, so contents are not shuffled.
+    """
+    ignored = written(ignored_paths(files if listing is None else listing, rules), "ignored")
+    return lookup_join(files, ignored, KEYS, KEYS, "left_anti")
 
 
 def explicit_files(files: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -58,17 +77,18 @@ def included_files(
     options: PackOptions = PackOptions(),
     rules: DataFrame | None = None,
     chosen: DataFrame | None = None,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole inclusion test on ``repo_id, path, size, content BINARY``."""
+    """The whole inclusion test on ``repo_id, path, size, content BINARY``; for ``listing`` see ``drop_ignored``."""
     if chosen is not None:
         return explicit_files(files, chosen)
     path = F.col("path")
-    kept = files.filter(
+    named = (
         ~in_skipped_dir(path)
         & ~G.matches_any(path, options.exclude_patterns)
         & included_by_globs(path, options.include_patterns)
-        & is_text(path, F.col("size"), F.col("content"), options.max_file_bytes)
     )
+    kept = files.filter(named & is_text(path, F.col("size"), F.col("content"), options.max_file_bytes))
     if options.respect_gitignore and rules is not None:
-        kept = drop_ignored(kept, rules)
+        kept = drop_ignored(kept, rules, (files if listing is None else listing).filter(named))
     return kept

@@ -15,7 +15,7 @@ from quire.operators.render import SEGMENT_BYTES, assembled, pack_parts, write_p
 from quire.operators.symbols import summaries
 from quire.options import PackOptions
 from quire.session import written
-from quire.sources.files import scan_files
+from quire.sources.files import read_files, textual_files
 from quire.sources.rules import ignore_rules
 
 
@@ -64,16 +64,17 @@ def pack(
     rules: DataFrame | None = None,
     chosen: DataFrame | None = None,
     repos: DataFrame | None = None,
+    listing: DataFrame | None = None,
 ) -> Pack:
     """Filter, decode, choose the content of each file, and count: ``files`` are ``repo_id, path, size, content BINARY``.
 
     Without ``rules`` the root ignore files among ``files`` hold. ``chosen`` (``repo_id, path``) is an explicit list that overrides every
-    filter. With ``compress`` files in a language with rules are summarised; a file without a summary goes whole.
+    filter. ``listing`` has at least the keys of ``files``, where that is cheaper to read. With ``compress`` files in a language with rules are summarised; a file without a summary goes whole.
     """
     if rules is None and options.respect_gitignore and chosen is None:
         own = files.filter(F.col("path") == ".gitignore").select("repo_id", "path", T.decode(F.col("content")).alias("content"))
         rules = written(ignore_rules(own), "rules")
-    kept = included_files(files, options, rules, chosen)
+    kept = included_files(files, options, rules, chosen, listing)
     texts = kept.select(*KEYS, T.decode(F.col("content")).alias("content"))
     made = None
     if options.compress:
@@ -85,4 +86,6 @@ def pack(
 
 def pack_folders(roots: DataFrame, options: PackOptions = PackOptions(), chosen: DataFrame | None = None) -> Pack:
     """``pack`` of the files below ``roots`` (``repo_id, root`` URI); every root has a pack, if only the message that it is empty."""
-    return pack(scan_files(roots, options.max_file_bytes), options, None, chosen, roots.select("repo_id"))
+    listing = textual_files(roots)
+    files = read_files(listing, options.max_file_bytes)
+    return pack(files, options, None, chosen, roots.select("repo_id"), listing)

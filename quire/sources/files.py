@@ -104,8 +104,12 @@ def read_files(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return chosen.repartition(tasks, "repo_id", "path").mapInPandas(_read, RAW)
 
 
+def textual_files(roots: DataFrame) -> DataFrame:
+    """The listing without the files whose name tells that they are binary."""
+    listing = list_files(roots)
+    return listing.filter(~F.lower(P.suffix(F.col("path"))).isin(*C.BINARY_EXTENSIONS))
+
+
 def scan_files(roots: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """List, drop by name, and by size if it is limited, then read what is left."""
-    listing = list_files(roots)
-    binary = F.lower(P.suffix(F.col("path"))).isin(*C.BINARY_EXTENSIONS)
-    return read_files(listing.filter(~binary), max_bytes)
+    return read_files(textual_files(roots), max_bytes)

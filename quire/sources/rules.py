@@ -21,23 +21,15 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     )
 
 
-def ignore_regexes(rules: DataFrame) -> DataFrame:
-    """One regex per repository that matches exactly its ignored paths.
+def keyed_rules(rules: DataFrame) -> DataFrame:
+    """``repo_id, ordinal, negated, kind, key, below, regex``: rules by what a path must have to match.
 
-    The last matching rule decides, so each positive rule refuses, by a
-    look-ahead, what a later negated rule matches.
+    ``regex`` is null where the key says it all.
     """
-    gathered = rules.groupBy("repo_id").agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", "negated", "regex"))).alias("r")
-    )
-    return gathered.select(
+    return rules.withColumn("_key", G.rule_key("pattern")).select(
         "repo_id",
-        F.expr(
-            """array_join(transform(filter(r, x -> not x.negated), x ->
-                 concat(
-                   coalesce('(?!' || nullif(array_join(transform(
-                       filter(r, y -> y.negated and y.ordinal > x.ordinal),
-                       y -> '(?:' || y.regex || ')'), '|'), '') || ')', ''),
-                   '(?:', x.regex, ')')), '|')"""
-        ).alias("ignored_regex"),
-    ).filter("ignored_regex <> ''")
+        "ordinal",
+        "negated",
+        *[F.col(f"_key.{c}").alias(c) for c in ("kind", "key", "below")],
+        F.when(~F.col("_key.exact"), F.col("regex")).alias("regex"),
+    )
