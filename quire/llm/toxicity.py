@@ -127,7 +127,8 @@ def fit(
     """The classifier from ``text, label`` (0 or 1; other rows are left out).
 
     The rows should be a bounded sample; their texts stay in the tasks, the driver
-    gets the places of the chosen features.
+    gets the places of the chosen features and, of each text, its distinct changes by a swap with their number,
+    so a very long text sends no more than the pairs of terms allow.
     Without rows of both labels, or without a feature that tells them apart, every score is the smoothed share of label 1.
     """
     rows = labelled.filter("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
@@ -170,25 +171,33 @@ def fit(
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, groups = Features(places), others(identity)
         for batch in pieces(batches):
-            here, there = [], []
+            here, there, times = [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 text = text.as_py()
                 words = set(words_of(text))
                 at = own.of(words)
                 here.append(sorted(at))
-                # What changes, a feature that goes as -1 - place. Only swaps with a changed feature say something.
-                there.append([])
+                # What changes, a feature that goes as -1 - place, and how many swaps change it so. Only swaps with a
+                # changed feature say something; a text has at most the square of the number of terms of them.
+                changes: Counter[tuple[int, ...]] = Counter()
                 left: dict[bytes | None, set[int]] = {None: at}
-                for gone, come in swaps(text, groups):
+                for (gone, come), n in Counter(swaps(text, groups)).items():
                     if gone not in left:
                         left[gone] = own.of(words - {gone})
                     new = left[gone] | own.of({come})
                     if new != at:
-                        there[-1].append([*sorted(new - at), *(-1 - p for p in sorted(at - new))])
+                        changes[*sorted(new - at), *(-1 - p for p in sorted(at - new))] += n
+                there.append(list(changes))
+                times.append(list(changes.values()))
             kind = pa.list_(pa.int32())
-            yield rows_of(label=batch.column("label"), here=pa.array(here, kind), there=pa.array(there, pa.list_(kind)))
-
-    got = rows.mapInArrow(gather, "label int, here array<int>, there array<array<int>>").toArrow()
+            yield rows_of(
+                label=batch.column("label"),
+                here=pa.array(here, kind),
+                there=pa.array(there, pa.list_(kind)),
+                times=pa.array(times, pa.list_(pa.int64())),
+            )
+
+    got = rows.mapInArrow(gather, "label int, here array<int>, there array<array<int>>, times array<bigint>").toArrow()
     return Model(places, *_trained(got, len(places), penalty, ridge))
 
 
@@ -198,14 +207,22 @@ def _trained(got: pa.Table, size: int, penalty: float, ridge: float) -> tuple[np
     here = got["here"].to_pylist()
     row = np.repeat(np.arange(len(y)), [len(h) for h in here])
     col = np.array([c for h in here for c in h], np.int64)
-    pair, column, sign, n = [], [], [], 0
-    for copies in got["there"].to_pylist():
-        for change in copies:
-            pair += [n] * len(change)
-            column += [c if c >= 0 else -1 - c for c in change]
-            sign += [1.0 if c >= 0 else -1.0 for c in change]
-            n += 1
+    pair, column, sign = [], [], []
+    changes = [change for own in got["there"].to_pylist() for change in own]
+    for i, change in enumerate(changes):
+        pair += [i] * len(change)
+        column += [c if c >= 0 else -1 - c for c in change]
+        sign += [1.0 if c >= 0 else -1.0 for c in change]
     pair, column, sign = np.array(pair, np.int64), np.array(column, np.int64), np.array(sign)
+    # Equal changes of a text count as often as they were made.
+    share = np.array([t for own in got["times"].to_pylist() for t in own], float)
+    share /= max(share.sum(), 1)
+
+    def pull(v: np.ndarray) -> np.ndarray:
+        """Gradient of half the mean squared change of the logit."""
+        change = share * np.bincount(pair, sign * v[column], len(changes))
+        return np.bincount(column, sign * change[pair], size)
+
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b, speed, speed_b = np.zeros(size), 0.0, np.zeros(size), 0.0
     # The largest curvature by power iteration: steps with momentum hold up to nearly four times its inverse.
@@ -213,8 +230,8 @@ def _trained(got: pa.Table, size: int, penalty: float, ridge: float) -> tuple[np
     for _ in range(100):
         own = 0.25 * weight * (np.bincount(row, v[col], len(y)) + v_b)
         u, u_b = np.bincount(col, own[row], size) + ridge * v, own.sum()
-        if n:
-            u += penalty * np.bincount(column, sign * np.bincount(pair, sign * v[column], n)[pair], size) / n
+        if changes:
+            u += penalty * pull(v)
         curve = max(float(np.sqrt(u @ u + u_b * u_b)), 1e-9)
         v, v_b = u / curve, u_b / curve
     step = 2.0 / curve
@@ -222,9 +239,8 @@ def _trained(got: pa.Table, size: int, penalty: float, ridge: float) -> tuple[np
         z = np.bincount(row, w[col], len(y)) + b
         wrong = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gradient = np.bincount(col, wrong[row], size) + ridge * w
-        if n:
-            change = np.bincount(pair, sign * w[column], n)
-            gradient += penalty * np.bincount(column, sign * change[pair], size) / n
+        if changes:
+            gradient += penalty * pull(w)
         speed = 0.95 * speed - step * gradient
         speed_b = 0.95 * speed_b - step * wrong.sum()
         w, b = w + speed, b + speed_b

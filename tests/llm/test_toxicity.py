@@ -1,9 +1,11 @@
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.llm.queries import QUERIES
-from quire.llm.toxicity import fit, held_out, not_toxic, scored, swapped, words_of
+from quire.llm.toxicity import IDENTITY, buckets, fit, held_out, not_toxic, scored, swapped, words_of
 
 SCHEMA = "doc_id long, text string, label int, score string"
 
@@ -36,6 +38,56 @@ def test_swapping_holds_groups_together(spark):
     assert fair[0] < 0.5 < fair[2] and fair[3] < 0.5
 
 
+def plain_loss(model, rows, penalty, ridge):
+    """The regularised loss, every swap of every sentence by itself."""
+
+    def logit(words, w, b):
+        return b + sum(w[p] for p in {model.places[k] for word in words for k in buckets(word) if k in model.places})
+
+    texts = sorted({(t, y) for _, t, y, _x in rows})
+    count = Counter(y for _, y in texts)
+
+    def loss(w, b):
+        total, changes = 0.5 * ridge * float(w @ w), []
+        for text, y in texts:
+            own = logit(words_of(text.encode()), w, b)
+            total += 0.5 / count[y] * np.log1p(np.exp(-own if y else own))
+            whole = set(words_of(text.encode()))
+            place = lambda words: {model.places[k] for word in words for k in buckets(word) if k in model.places}
+            changes += [logit(copy, w, b) - own for copy in swapped(text.encode(), IDENTITY) if place(copy) != place(whole)]
+        return total + 0.5 * penalty * sum(c * c for c in changes) / max(len(changes), 1)
+
+    return loss
+
+
+def test_weights_and_scores_against_the_plain_loss(spark):
+    rows = list(sentences(random.Random(2), 300))
+    # Repeated sentences: the same change counts as often as it is made.
+    rows += [(900 + i, f"word{i} muslim here. A muslim there. One more muslim. An old man.", i % 2, "") for i in range(6)]
+    ridge = 0.01
+    model = fit(spark.createDataFrame(rows, SCHEMA), penalty=2.0, ridge=ridge)
+    loss = plain_loss(model, rows, 2.0, ridge)
+    least, rng = loss(model.weights, model.bias), np.random.default_rng(1)
+    for size in (0.3, 0.03):
+        for _ in range(12):
+            step = rng.normal(size=len(model.weights) + 1)
+            step *= size / np.linalg.norm(step)
+            assert loss(model.weights + step[1:], model.bias + step[0]) > least - 1e-9
+    ask = spark.createDataFrame(rows[:40], SCHEMA)
+    for r in scored(ask, model).collect():
+        at = {model.places[k] for word in words_of(r._doc.text.encode()) for k in buckets(word) if k in model.places}
+        assert abs(r.score - 1 / (1 + np.exp(-model.bias - sum(model.weights[p] for p in at)))) < 1e-9
+
+
+def test_a_long_text_sends_few_changes(spark):
+    """A hundred thousand sentences with identity terms and the same text once weigh the same, as their changes do."""
+    base = list(sentences(random.Random(3), 200))
+    last = "A muslim reads. A man reads."
+    once, often = (fit(spark.createDataFrame([*base, (999, text, 0, "")], SCHEMA), penalty=0.0) for text in (last, last * 50_000))
+    assert once.places == often.places and np.allclose(once.weights, often.weights)
+    assert fit(spark.createDataFrame([*base, (999, last * 50_000, 0, "")], SCHEMA), penalty=5.0).places == once.places
+
+
 def test_swapped_sentences():
     copies = swapped(b"A muslim here. A man there!", (("muslim", "jewish", "hindu"), ("man", "woman")))
     assert sorted(b" ".join(sorted(c)).decode() for c in copies) == sorted(
