@@ -15,8 +15,9 @@ from quire.streaming.metrics import drain, extension_counts
 
 
 def document_stream(spark, sf_dir):
+    """The table as a stream, be it one file or a folder of files: only a pattern may name either."""
     schema = I.table(spark, sf_dir, "documents").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
 
 
 def file_stream(spark, sf_dir):

@@ -31,8 +31,11 @@ def drain(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """Run a stateful stream over what is there now; its result table in ``folder``.
 
     Each batch replaces the table by the complete result, so a repeated batch
-    does no harm and nothing is held on the driver.
+    does no harm and nothing is held on the driver. A stream without rows gives an empty table, one without
+    news the table as it was.
     """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(folder)
 
     def replace(result: DataFrame, batch_id: int) -> None:
         result.write.mode("overwrite").parquet(folder)
@@ -45,4 +48,4 @@ def drain(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(folder)
+    return spark.read.schema(stream.schema).parquet(folder)

@@ -1,7 +1,9 @@
 """Streams over small parquet folders."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from quire.plans import streams as PS
 from quire.streaming.manifest import ManifestStream
 from quire.streaming.metrics import drain, extension_counts
 
@@ -52,3 +54,28 @@ def test_running_extension_counts(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
     result = drain(extension_counts(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     assert {tuple(r) for r in result.collect()} == {(".py", 2, 3, 2), (".md", 1, 1, 1)}
+
+
+def test_running_counts_without_rows_or_news(spark, tmp_path):
+    schema = "repo_id string, path string, content string"
+    (tmp_path / "in").mkdir()
+    run = lambda: drain(extension_counts(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").collect()
+    assert run() == []
+    spark.createDataFrame([("r", "a.py", "x y")], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    for _ in range(2):  # the second run has no new files
+        assert [tuple(r) for r in run()] == [(".py", 1, 2, 1)]
+
+
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_a_table_of_one_file_or_a_folder_is_streamed(spark, tmp_path, parts):
+    docs = [(i, "s", "en", f"w{i} x") for i in range(30)]
+    table = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string")
+    (tmp_path / "sf").mkdir()
+    if parts:
+        table.repartition(parts).write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    else:
+        table.toPandas().to_parquet(tmp_path / "sf" / "documents.parquet")
+    counts = PS.stream_by_extension(spark, f"file://{tmp_path}/sf").agg(F.sum("file_count"), F.sum("tokens")).first()
+    assert tuple(counts) == (30, 60)
+    states = PS.stream_manifest_diff(spark, f"file://{tmp_path}/sf").groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in states}["A"] == 3 and sum(r["count"] for r in states) == 30
