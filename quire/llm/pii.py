@@ -52,7 +52,6 @@ WIDE = {
     "phone": r"(?<![0-9])(?:\+|00)?[(]?[0-9]{1,4}+[)]?(?:[ ()./-]{1,3}[0-9]{2,5}+){1,5}+",
 }
 GATE = r"[0-9@]|[(\[]at[)\]]"
-SAMPLE = 20_000
 PRECISION = 0.95
 TREES, DEPTH = 12, 4
 BINS = 200
@@ -231,8 +230,8 @@ def altered() -> tuple[Column, Column]:
     return good, bad
 
 
-def labelled(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """What the trees learn from, ``y`` for personal data; about ``sample`` rows of either, by a hash of the text."""
+def labelled(found: DataFrame) -> DataFrame:
+    """What the trees learn from, ``y`` for personal data: every row that has a label."""
     good, bad = altered()
     both = found.filter("base").withColumn("x", F.explode(F.array(F.struct(F.lit(1).alias("y"), good.alias("hit")), F.struct(F.lit(0).alias("y"), bad.alias("hit")))))
     both = both.drop("y", "z", "hit", "base").select("*", "x.*").drop("x")
@@ -241,29 +240,27 @@ def labelled(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
     known = found.filter(~F.col("base") & (F.col("y") == 0) & ((F.col("z") == 1) | impossible())).drop("z", "base").withColumn("y", F.lit(0))
     rows = both.filter(whole).unionByName(known)
     # Rows of one text are in the same part.
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(4)))
-    order = F.xxhash64("hit", "row", "start")
-    return rows.filter("y = 1").orderBy(order).limit(sample).unionByName(rows.filter("y = 0").orderBy(order).limit(sample))
+    return rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(4)))
 
 
-def accepted(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def accepted(found: DataFrame, precision: float = PRECISION) -> DataFrame:
     """Proposals without a label whose score reaches the threshold of their kind."""
-    drawn, names = features(labelled(found, sample))
-    drawn = written(drawn, "sample")
-    seen = {(r.y, r.held) for r in drawn.select("y", (F.col("part") == 0).alias("held")).distinct().collect()}
+    known, names = features(labelled(found))
+    known = written(known, "labelled")
+    seen = {(r.y, r.held) for r in known.select("y", (F.col("part") == 0).alias("held")).distinct().collect()}
     new = found.filter(~F.col("base") & (F.col("z") == 0)).filter(~impossible())
     if not {(0, False), (1, False), (1, True)} <= seen:
         return new.filter("false")
     gather = VectorAssembler(inputCols=names, outputCol="features")
     trees = GBTClassifier(labelCol="y", maxIter=TREES, maxDepth=DEPTH, seed=1)
-    model = trees.fit(gather.transform(drawn.filter("part <> 0")))
+    model = trees.fit(gather.transform(known.filter("part <> 0")))
 
     def scored(df: DataFrame) -> DataFrame:
         out = model.transform(gather.transform(df)).withColumn("score", vector_to_array("probability")[1])
         return out.drop("features", "rawPrediction", "probability", "prediction")
 
     # Calibration: personal data and all unseen spans from each score upwards.
-    bins = scored(drawn.filter("part = 0")).groupBy("kind", F.floor(F.col("score") * BINS).alias("bin"))
+    bins = scored(known.filter("part = 0")).groupBy("kind", F.floor(F.col("score") * BINS).alias("bin"))
     bins = bins.agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("all"))
     above = W.partitionBy("kind").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)
     bins = bins.withColumn("p", F.sum("good").over(above) / F.sum("all").over(above))
@@ -272,7 +269,7 @@ def accepted(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISIO
     return scored(features(new)[0]).filter(F.col("score") >= threshold).select(new.columns)
 
 
-def personal_data(docs: DataFrame, keep: tuple[str, ...] | None = None, sample: int = SAMPLE) -> DataFrame:
+def personal_data(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
     """``_doc, base, spans``: the row with its base spans and all its spans.
 
     Needs ``text``; other columns stay in ``_doc``, all or those to ``keep``. Spans are
@@ -289,7 +286,7 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] | None = None, sample:
     found = written(proposals(held.select("row", "text")), "proposals")
     place = reduce(lambda c, k: F.when(F.col("kind") == k, KINDS.index(k)).otherwise(c), KINDS, F.lit(-1))
     span = F.struct(place.cast("int").alias("kind"), F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
-    spans = found.filter("base").unionByName(accepted(found, sample))
+    spans = found.filter("base").unionByName(accepted(found))
     spans = spans.groupBy("row").agg(
         F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans")
     )

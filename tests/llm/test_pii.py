@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quire.llm.pii import KINDS, personal_data
+from quire.llm.pii import KINDS, labelled, personal_data
 from quire.llm.queries import QUERIES
 
 PATTERNS = {
@@ -112,3 +112,12 @@ def test_trees_add_altered_spans(spark):
 
 def test_empty_table(spark):
     assert personal_data(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_the_trees_learn_from_every_labelled_span(spark):
+    n = 25_000
+    spans = spark.range(n).selectExpr(
+        "id as row", "'email' as kind", "true as base", "0L as start", "10L as stop", "concat('a', id, '@b.org') as hit",
+        "'' as before", "'' as after", "1 as y", "1 as z",
+    )
+    assert {r.y: r["count"] for r in labelled(spans).groupBy("y").count().collect()} == {1: n, 0: n}
