@@ -1,13 +1,17 @@
 """The file tree as a data source: rows of the scan, pruned listing, pushed filters."""
 
+import hashlib
 import json
+import tracemalloc
 
+import pandas as pd
 import pytest
 from pyspark.sql import datasource as DS
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.sources import tree as TS
+from quire.sources import files as FS
 from quire.sources.files import scan_files
 from tests.test_projects import PROJECT, lay_out
 
@@ -87,3 +91,30 @@ def test_a_flat_folder_is_split(roots, monkeypatch):
     got = [[r for b in reader.read(p) for r in b.column("path").to_pylist()] for p in parts]
     assert len(parts) > 4 and max(map(len, got)) < 150
     assert sorted(sum(got, [])) == sorted(f"flat/f{i}.py" for i in range(300))
+
+
+def test_digests_are_those_of_the_contents(spark, roots):
+    table = spark.createDataFrame(list(roots.items()), "repo_id string, root string")
+    want = [(r, p, s, hashlib.sha256(c).hexdigest()) for r, p, s, c in rows(scan_files(table))]
+    cols = ["repo_id", "path", "size", "sha256"]
+    assert sorted(map(tuple, read(spark, roots, contents="digest").select(cols).collect())) == want
+    read_back = FS.read_files(FS.textual_files(table), held_bytes=10).collect()
+    assert sorted((r.repo_id, r.path, r.size, r.sha256) for r in read_back) == want
+    assert {len(r.content) for r in read_back} == {min(10, r.size) for r in read_back}
+
+
+def test_a_large_file_is_digested_in_little_memory(tmp_path):
+    with open(tmp_path / "large.bin2", "wb") as file:
+        file.truncate(200_000_000)
+    listing = pd.DataFrame({"repo_id": ["r"], "root": [f"file://{tmp_path}"], "path": ["large.bin2"], "size": [200_000_000], "mtime": [pd.Timestamp(0)]})
+    schema = StructType([f for f in FULL if f.name != "content"] + [StructField("sha256", StringType())])
+    reader = TS.TreeReader({"root": f"file://{tmp_path}"}, schema)
+    for run in (
+        lambda: [x for b in FS._read(iter([listing]), held_bytes=5) for x in b["sha256"]],
+        lambda: [x for p in reader.partitions() for b in reader.read(p) for x in b.column("sha256").to_pylist()],
+    ):
+        tracemalloc.start()
+        got = set(run())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == 1 and peak < 50_000_000
