@@ -181,6 +181,19 @@ def _matches(text: str, rule: SymbolRule) -> Column:
     return F.contains(text, F.lit(rule.word)) & hit if rule.word else hit
 
 
+def _name(rules: tuple[SymbolRule, ...], text: str, index: str) -> Column:
+    """The name by the rule of that index. Its pattern is a constant: one from a column is compiled anew for every row."""
+    number = {r: i for i, r in enumerate(rules)}
+
+    def pick(own: list[SymbolRule]) -> Column:
+        out = F
+        for r in own:
+            out = out.when(F.col(index) == number[r], F.regexp_extract(text, r.regex, 1))
+        return out
+
+    return _by_language(rules, pick)
+
+
 def _rule_test(rule: SymbolRule) -> Column:
     """The head matches and the statement is where the rule wants it."""
     hit = _matches("head", rule)
@@ -197,20 +210,20 @@ def _container_test(rule: SymbolRule) -> Column | None:
     return _matches("parent_text", rule) if rule.kind in CONTAINERS else None
 
 
-RULE_ROW = "array<struct<kind:string,regex:string,member:boolean,rank:int>>"
+RULE_ROW = "array<struct<kind:string,member:boolean,rank:int>>"
 
 
 def _rule_table(rules: tuple[SymbolRule, ...]) -> Column:
     """The rules as one constant array, so that a row can look up its own."""
     rows = [
-        {"kind": r.kind, "regex": r.regex, "member": bool(r.parents), "rank": -1 if r.rank is None else r.rank}
+        {"kind": r.kind, "member": bool(r.parents), "rank": -1 if r.rank is None else r.rank}
         for r in rules
     ]
     return F.from_json(F.lit(json.dumps(rows)), RULE_ROW)
 
 
-def _once(value: Column, keep_null: bool = False) -> Column:
-    return F.explode(F.filter(F.array(value), lambda x: F.lit(True) if keep_null else x.isNotNull()))
+def _once(value: Column) -> Column:
+    return F.explode(F.array(value))
 
 
 def _signature() -> Column:
@@ -307,11 +320,15 @@ def statements(files: DataFrame, languages: list[str], content: str = "content")
     blank = F.transform("_code", lambda x: F.startswith(x, F.lit(INNER)) | (F.trim(x) == ""))
     level = F.when(
         indented,
-        F.transform("_lines", lambda x, i: F.when(F.get(blank, i), BLANK).otherwise(F.length(F.regexp_extract(x, r"^(\s*)", 1)))),
+        F.transform("_lines", lambda x, i: F.when(F.get(blank, i), BLANK).otherwise(F.length(x) - F.length(F.ltrim(x, F.lit(" \t\x0b\f\r"))))),
     ).otherwise(F.transform("_code", lambda x, i: F.when(F.get(blank, i) | (F.trim(x) == "{"), BLANK).otherwise(0)))
     mark = F.transform(
         "_lines",
-        lambda x: F.when(F.rlike(x, F.lit(COMMENT_LINE)), 1).when(F.rlike(x, F.lit(COMMENT_MORE)), 2).otherwise(0),
+        # Every comment has one of these signs; a search for them spares the other lines the patterns.
+        lambda x: F.when(~F.contains(x, F.lit("/")) & ~F.contains(x, F.lit("#")) & ~F.contains(x, F.lit("*")), 0)
+        .when(F.rlike(x, F.lit(COMMENT_LINE)), 1)
+        .when(F.rlike(x, F.lit(COMMENT_MORE)), 2)
+        .otherwise(0),
     )
     linked = lined.withColumn("_links", _links(level, F.when(~indented, balance("{", "}")), balance("(", ")"), mark, inner))
     line = lambda i: F.get("_lines", i)
@@ -356,17 +373,15 @@ SYMBOL_COLUMNS = ["line_no", "kind", "name", "signature", "parent", "modifiers",
 
 def _symbol_rows(files: DataFrame, rules: tuple[SymbolRule, ...], content: str = "content") -> DataFrame:
     rows = statements(files, supported_languages(rules), content)
-    # Exploding an array of at most one element tests the rules once per row and
-    # drops the rows without one; a filter on a column would test them twice.
-    placed = rows.select("*", _once(_first_rule(rules, _container_test), keep_null=True).alias("_container"))
+    # Exploding an array of one element tests the rules once per row, in generated code; a filter on a plain column
+    # would test them twice, and one inside the array by interpreted expressions.
+    placed = rows.select("*", _once(_first_rule(rules, _container_test)).alias("_container"))
     table = _rule_table(rules)
     of = lambda index, name: F.get(table, F.col(index))[name]
     placed = placed.withColumn("parent_kind", of("_container", "kind"))
-    hit = placed.select("*", _once(_first_rule(rules, _rule_test)).alias("_rule"))
+    hit = placed.select("*", _once(_first_rule(rules, _rule_test)).alias("_rule")).filter("_rule is not null")
     is_member = of("_rule", "member") & F.col("_container").isNotNull()
-    named = lambda text, index: F.call_function(
-        "regexp_extract", F.col(text), of(index, "regex"), F.lit(1)
-    )
+    named = lambda text, index: _name(rules, text, index)
     words = "|".join(MODIFIERS)
     lead = F.regexp_extract(F.ltrim("head"), rf"^((?:(?:{words})(?:\([^)]*\))?\s++)++)", 1)
     documented = F.col("code_lang").isin(*INDENTED) & F.col("kind").isin("class", "function", "method")

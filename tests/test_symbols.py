@@ -226,3 +226,10 @@ def test_long_lines_end_no_executor(spark):
     assert {r.name for r in symbols(df).collect()} >= {"A", "E", "M", "f"}
     page = spark.createDataFrame([("<form>a</form>" * 50_000 + "<p>kept</p>",)], "html string")
     assert with_page_text(page).first().text == "kept"
+
+
+def test_names_are_taken_by_constant_patterns(spark):
+    files = spark.createDataFrame([("r", "a.py", "class A:\n    def run(self):\n        pass\n")], "repo_id string, path string, content string")
+    found = S.symbols(files)
+    assert {(r.name, r.parent) for r in found.collect()} == {("A", None), ("run", "A")}
+    assert "StructField(regex," not in found._jdf.queryExecution().analyzed().toString()
