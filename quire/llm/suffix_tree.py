@@ -2,19 +2,16 @@
 
 The tokens of a text are its words in lower case and one end. The empty context has
 the smoothed unigram distribution of the training texts, exact for every word. A
-longer context is a node of the tree if it holds at least the share
-``context_share`` of the training tokens and its next-symbol distribution diverges
-from that of its suffix: the gain in log likelihood over the suffix has to pay for
-the parameters of the node (half the log of its count each). Nodes list the next
-symbols with at least the share ``entry_share``; what is left of a node's mass, plus
-``smoothing`` counts, is dealt by the distribution of its suffix, so each node's
+longer context, of up to ``levels`` words, is a node of the tree if it occurs in training and its next-symbol
+distribution diverges from that of its suffix: the gain in log likelihood over the suffix has to pay for
+the parameters of the node (half the log of its count each). Nodes list every symbol that follows
+them; ``smoothing`` counts are dealt by the distribution of the suffix, so each node's
 probabilities sum to one. A token is scored by the longest context that is a node.
 
-The shares bound the tree by construction, whatever the corpus: at most
-``1 / context_share`` nodes and ``1 / entry_share`` entries a level. That part and the words
-with a share of ``head_share`` are sent to the tasks. All counts cover all training
-rows; they are summed in each task, then by Spark, level by level. Words
-below ``head_share`` meet their counts in a join. A context ends at such a word.
+No context, symbol or word is left out for being rare. Up to ``TREE_TOKENS`` training tokens
+the tree is built on the driver and sent to the tasks (``grow``). Beyond, the same tree is a table for each length
+(``_levels``): its nodes and symbols are counted, tested and looked up by groupings and joins, and nothing of it
+is broadcast or collected but numbers for the most frequent words.
 """
 
 from __future__ import annotations
@@ -22,20 +19,21 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType
 
 from quire.llm.common import fold_of, packed, pieces, rows_of
-from quire.session import written
+from quire.session import addressed, discard, written
 
 LEVELS = 3
-HEAD_SHARE = 1e-6
-CONTEXT_SHARE = 1e-5
-ENTRY_SHARE = 2e-6
+#: Training tokens up to which the tree is held in memory.
+TREE_TOKENS = 100_000
+#: Words with at least this share of the tokens have short ids in the tables.
+HEAD_SHARE = 1e-5
 SMOOTHING = 4.0
 UNIGRAM = 0.1
 FOLDS = 10
@@ -135,7 +133,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _next_counts(texts: DataFrame, tree: Tree, level: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _next_counts(texts: DataFrame, tree: Tree, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys ``node * size + next symbol`` of a level, their counts, and the counts of the nodes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +159,8 @@ def _next_counts(texts: DataFrame, tree: Tree, level: int, least: float) -> tupl
         return rows_of(pair=pa.array(keys), c=pa.array(counts))
 
     parts = texts.select("text").mapInArrow(count, "pair long, c long")
-    # At most 1 / entry_share pairs and 1 / context_share nodes: bounded by the shares.
-    made = parts.groupBy("pair").agg(F.sum("c").alias("c")).filter((F.col("pair") < 0) | (F.col("c") >= least)).toArrow()
+    # No more pairs than training tokens.
+    made = parts.groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     keys, counts = made["pair"].to_numpy(), made["c"].to_numpy()
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -196,29 +194,25 @@ def _grown(tree: Tree, level: int, keys: np.ndarray, counts: np.ndarray, nodes:
 
 
 def grow(training: DataFrame, vocabulary: DataFrame, levels: int = LEVELS) -> Tree:
-    """The tree of the training texts (``text``); ``vocabulary`` has their ``word, c``."""
-    sums = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
-    tokens, distinct = sums[0] or 0, sums[1]
-    # At most 1 / HEAD_SHARE rows.
-    head = vocabulary.filter(F.col("c") >= max(1.0, HEAD_SHARE * tokens)).orderBy(F.desc("c"), "word").toArrow() if tokens else None
-    words = head["word"].to_pylist() if head else []
-    counts = head["c"].to_numpy() if head else np.zeros(0, np.int64)
+    """The whole tree of few training texts (``text``), in memory; ``vocabulary`` has their ``word, c``."""
+    made = vocabulary.orderBy(F.desc("c"), "word").toArrow()
+    words, counts = made["word"].to_pylist(), made["c"].to_numpy()
+    tokens, distinct = int(counts.sum()), len(words)
     base = (counts + UNIGRAM) / (tokens + UNIGRAM * (distinct + 1))
     tree = Tree({w: i for i, w in enumerate(words)}, base, tokens, distinct, [], SMOOTHING)
     if not words:
         return tree
     end = tree.ids[END]
-    frequent = np.flatnonzero(counts >= CONTEXT_SHARE * tokens)
-    keys = np.sort(frequent[frequent != end]).astype(np.int64)
+    keys = np.flatnonzero(np.arange(distinct) != end).astype(np.int64)
     for level in range(1, levels + 1):
         if not len(keys):
             break
         tree.levels.append(Level(keys))
-        made = _next_counts(training, tree, level, ENTRY_SHARE * tokens)
+        made = _next_counts(training, tree, level)
         tree.levels[-1] = own = _grown(tree, level, *made)
-        # A longer node: what follows a node often enough, seen from its own end.
-        often = (own.count >= CONTEXT_SHARE * tokens) & (own.entry % tree.size != end)
-        node, symbol = own.entry[often] // tree.size, own.entry[often] % tree.size
+        # A longer node: what follows a node, seen from its own end.
+        more = own.entry % tree.size != end
+        node, symbol = own.entry[more] // tree.size, own.entry[more] % tree.size
         keys = _longer(tree, level, node, symbol)
     return tree
 
@@ -236,71 +230,169 @@ def _longer(tree: Tree, level: int, node: np.ndarray, symbol: np.ndarray) -> np.
     return np.unique((last * tree.size + words[level])[last >= 0])
 
 
-def scores(docs: DataFrame, held_out: Column | None = None, levels: int = LEVELS, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``_doc, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row per row.
+class Ids(dict):
+    """Numbers of words: from 1 for the frequent ones, a negative hash for the others, zero stands for no word."""
 
-    Needs ``doc_id`` and ``text``; other columns stay in ``_doc``, all or those to
-    ``keep``. The rows that are not ``held_out`` (crc32 of the id as text, modulo ten, zero) train the tree. Null
-    texts and those without words have one token, the end. Scores are decimal logarithms:
-    ``base_score`` of the smoothed unigrams, ``score`` of the tree. Repeated rows train
-    and are scored each. An empty table gives an empty table; without training rows all probabilities are one
-    (there is one unseen symbol).
+    def __init__(self, head: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(head, 1))
+        self.most = len(head) + FLUSH
+
+    def __missing__(self, word: bytes) -> int:
+        own = -1 - (int.from_bytes(blake2b(word, digest_size=8).digest(), "big") >> 1)
+        if len(self) < self.most:
+            self[word] = own
+        return own
+
+
+def _names(levels: int) -> list[str]:
+    """Columns of the words before a token, the farthest first."""
+    return [f"w{k}" for k in range(levels, 0, -1)]
+
+
+def _grams(docs: DataFrame, head: list[bytes], levels: int, *keys: str) -> DataFrame:
+    """One row per token of ``text``: the long columns ``keys`` of its text, the ``levels`` words before it, and itself as ``x``."""
+    names = _names(levels)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(head)
+        for batch in pieces(batches):
+            words, ends = tokens_of(batch.column("text"))
+            # Behind as many empty places as there are words before a token.
+            symbols = np.zeros(len(words) + levels, np.int64)
+            symbols[levels:] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+            del words
+            begin = np.concatenate([[0], ends[:-1]])
+            text = np.repeat(np.arange(len(ends)), ends - begin)
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            for a in range(0, len(text), FLUSH):
+                of = text[a : a + FLUSH]
+                place = np.arange(a, a + len(of)) - begin[of]
+                columns = {k: pa.array(x[of]) for k, x in zip(keys, own, strict=True)}
+                for k, name in zip(range(levels, 0, -1), names, strict=True):
+                    columns[name] = pa.array(np.where(place >= k, symbols[levels - k + a : levels - k + a + len(of)], 0))
+                yield rows_of(**columns, x=pa.array(symbols[levels + a : levels + a + len(of)]))
+
+    schema = ", ".join(f"{c} long" for c in (*keys, *names, "x"))
+    return docs.select(*keys, "text").mapInArrow(emit, schema)
+
+
+def _levels(docs: DataFrame, head: list[bytes], tokens: int, distinct: int, levels: int) -> DataFrame:
+    """``w3, w2, w1, x, c, p``: each token of ``docs`` behind each of its contexts, its count and its probability there.
+
+    Needs ``_train`` (one or zero) and ``text``. Grams of texts that do not train are in
+    the tables with a count of zero, so that a look-up finds every gram.
     """
-    out = fold_of(docs["doc_id"], FOLDS) == 0 if held_out is None else held_out
-    training = docs.filter(~out).select("text")
-    vocabulary = written(_word_counts(training), "words")
-    tree = grow(training, vocabulary, levels)
-    rows = packed(docs.withColumn("_held", out), "_held", "text", keep=keep or tuple(docs.columns))
-    schema = rows.select("_doc", F.col("_held").alias("held_out")).schema
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("own", "double"), ("rare", ArrayType(BinaryType()))):
+    names = _names(levels)
+    counted = _grams(docs, head, levels, "_train").withColumnRenamed("_train", "n")
+    entries = []
+    for k in range(levels + 1):
+        counted = counted.groupBy(*names[k:], "x").agg(F.sum("n").alias("n"))
+        counted = written(counted, f"grams{levels - k}")
+        entries.append(counted)
+    known = entries.pop()
+    made = known.select("x", F.col("n").alias("c"), ((F.col("n") + UNIGRAM) / F.lit(tokens + UNIGRAM * (distinct + 1))).alias("p"))
+    for k in range(levels - 1, -1, -1):
+        own, context, suffix = entries.pop(), names[k:], made.withColumnRenamed("p", "q")
+        # Both uses of the exchange read the same files.
+        found = own.join(suffix, [*names[k + 1 :], "x"]).repartition(*context)
+        said = F.col("n") + F.lit(SMOOTHING) * F.col("q")
+        total = F.sum("n")
+        gain = F.sum(F.col("n") * F.log(said / F.col("q"))) - total * F.log(total + F.lit(SMOOTHING))
+        nodes = (
+            found.filter((F.col("n") > 0) & (F.col(names[k]) != 0))
+            .groupBy(*context)
+            .agg(total.alias("total"), (gain > 0.5 * F.log(total) * F.count(F.lit(1))).alias("kept"))
+            .filter("kept")
+            .drop("kept")
+        )
+        p = F.when(F.col("total").isNull(), F.col("q")).otherwise(said / (F.col("total") + F.lit(SMOOTHING)))
+        result = written(found.join(nodes, context, "left").select(*context, "x", "c", p.alias("p")), f"level{levels - k}")
+        discard(own, made if k < levels - 1 else known)
+        made = result
+    return made
+
+
+def _joined(rows: DataFrame, head: list[bytes], tokens: int, distinct: int, levels: int) -> DataFrame:
+    """The scores of ``rows`` by joins with the tables of the tree."""
+    rows = addressed(rows, "texts")
+    training = F.when(~F.col("_held"), 1).otherwise(0).cast("bigint").alias("_train")
+    tree = _levels(rows.select(training, "text"), head, tokens, distinct, levels)
+    base = F.log10((F.col("c") + UNIGRAM) / F.lit(tokens + UNIGRAM * (distinct + 1)))
+    scored = (
+        _grams(rows.select("_file", "_at", "text"), head, levels, "_file", "_at")
+        .join(tree, [*_names(levels), "x"])
+        .groupBy("_file", "_at")
+        .agg(
+            F.count(F.lit(1)).alias("n_tokens"),
+            F.count(F.when(F.col("c") > 0, 1)).alias("n_known"),
+            F.sum(base).alias("base_score"),
+            F.sum(F.log10("p")).alias("score"),
+        )
+    )
+    return rows.drop("text").join(scored, ["_file", "_at"])
+
+
+def _by_tree(rows: DataFrame, tree: Tree) -> DataFrame:
+    """The scores of ``rows`` by a tree that is sent to the tasks."""
+    schema = rows.select("_doc", "_held").schema
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
+    unseen = UNIGRAM / (tree.tokens + UNIGRAM * (tree.distinct + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             words, ends = tokens_of(batch.column("text"))
             symbols = np.fromiter((tree.ids.get(w, -1) for w in words), np.int64, len(words))
             known = symbols >= 0
-            # Rare words: their unigram factor comes with the join.
-            unigram = np.where(known, tree.base[symbols], 1.0) if len(tree.base) else np.ones(len(words))
-            nodes = contexts(tree, symbols, ends, len(tree.levels))
-            own = probabilities(tree, symbols, nodes, unigram)
-            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
-            begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            unknown = np.flatnonzero(~known)
-            cuts = np.searchsorted(unknown, np.concatenate([begin, [len(words)]]))
-            rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array([words[i] for i in unknown.tolist()], pa.binary()))
-            size = np.diff(np.concatenate([[0], ends]))
+            unigram = np.where(known, tree.base[symbols], unseen) if len(tree.base) else np.full(len(words), unseen)
+            own = probabilities(tree, symbols, contexts(tree, symbols, ends, len(tree.levels)), unigram)
+            begin = np.concatenate([[0], ends[:-1]])
             yield rows_of(
                 _doc=batch.column("_doc"),
-                held_out=batch.column("_held"),
-                n_tokens=pa.array(size),
-                n_known=pa.array(sums(known.astype(np.int64))),
-                base=pa.array(np.add.reduceat(np.log10(unigram), begin) if len(begin) else np.zeros(0)),
-                own=pa.array(np.add.reduceat(np.log10(own), begin) if len(begin) else np.zeros(0)),
-                rare=rare,
+                _held=batch.column("_held"),
+                n_tokens=pa.array(ends - begin),
+                n_known=pa.array(np.add.reduceat(known.astype(np.int64), begin)),
+                base_score=pa.array(np.add.reduceat(np.log10(unigram), begin)),
+                score=pa.array(np.add.reduceat(np.log10(own), begin)),
             )
 
-    scored = rows.select("_doc", "_held", "text").mapInArrow(score, schema)
-    scored = written(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    total = tree.tokens + UNIGRAM * (tree.distinct + 1)
-    rare = scored.select("_row", F.explode("rare").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("n"))
-    tail = vocabulary.filter(F.col("c") < max(1.0, HEAD_SHARE * tree.tokens))
-    c = F.coalesce("c", F.lit(0))
-    rare = (
-        rare.join(tail, "word", "left")
-        .groupBy("_row")
-        .agg(
-            F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"),
-            F.sum(F.col("n") * F.log10((c + UNIGRAM) / F.lit(total))).alias("part"),
-        )
-    )
-    part = F.coalesce("part", F.lit(0.0))
-    return scored.join(rare, "_row", "left").select(
+    return rows.select("_doc", "_held", "text").mapInArrow(score, schema)
+
+
+def scores(
+    docs: DataFrame,
+    held_out: Column | None = None,
+    levels: int = LEVELS,
+    keep: tuple[str, ...] | None = None,
+    tree_tokens: int = TREE_TOKENS,
+) -> DataFrame:
+    """``_doc, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row per row.
+
+    Needs ``doc_id`` and ``text``; other columns stay in ``_doc``, all or those to
+    ``keep``. The rows that are not ``held_out`` (crc32 of the id as text, modulo ten, zero) train the tree. Null
+    texts and those without words have one token, the end. Scores are decimal logarithms:
+    ``base_score`` of the smoothed unigrams, ``score`` of the tree. Repeated rows train
+    and are scored each. An empty table gives an empty table; without training rows all probabilities are one
+    (there is one unseen symbol). Above ``tree_tokens`` training tokens the tree is joined, not sent to the tasks; it is the same tree.
+    """
+    out = fold_of(docs["doc_id"], FOLDS) == 0 if held_out is None else held_out
+    training = docs.filter(~out).select("text")
+    vocabulary = written(_word_counts(training), "words")
+    sums = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
+    tokens, distinct = sums[0] or 0, sums[1]
+    rows = packed(docs.withColumn("_held", out), "_held", "text", keep=keep or tuple(docs.columns))
+    if tokens <= tree_tokens:
+        made = _by_tree(rows, grow(training, vocabulary, levels))
+    else:
+        # At most 1 / HEAD_SHARE rows.
+        head = vocabulary.filter(F.col("c") >= HEAD_SHARE * tokens).orderBy(F.desc("c"), "word").toArrow()
+        made = _joined(rows, head["word"].to_pylist(), tokens, distinct, levels)
+    return made.select(
         "_doc",
-        "held_out",
+        F.col("_held").alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(tree.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + part).alias("base_score"),
-        (F.col("own") + part).alias("score"),
+        "n_known",
+        F.lit(tokens).cast("bigint").alias("train_tokens"),
+        "base_score",
+        "score",
     )

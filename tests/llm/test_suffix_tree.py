@@ -112,3 +112,30 @@ def test_edge_rows(spark):
     only = T.scores(spark.createDataFrame([(i, "a b", "x") for i in range(200) if crc32(str(i).encode()) % 10 == 0], SCHEMA)).collect()
     assert only and all(r.base_score == r.score == 0 and r.train_tokens == 0 for r in only)
     assert T.scores(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_joined_tree_is_the_same(spark):
+    rows = [*corpus(), (None, None, "x"), (7, "", "x"), (7, "", "x"), (3, "w " * 3000, "x"), (20, "the unseen \u00c4 cat sat", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (str(r._doc.doc_id), r._doc.text or "")
+    sent = sorted(T.scores(docs).collect(), key=key)
+    joined = sorted(T.scores(docs, tree_tokens=0).collect(), key=key)
+    assert len(sent) == len(joined) == len(rows)
+    for a, b in zip(sent, joined, strict=True):
+        assert a[:5] == b[:5]
+        assert abs(a.base_score - b.base_score) < 1e-6 and abs(a.score - b.score) < 1e-6
+
+
+def test_rare_contexts_are_nodes(spark):
+    # 160,000 tokens of other words: a passage that occurs twice is far below any share of them.
+    filler = [(i, " ".join(f"f{(i * 40 + j) * 7919 % 90_001}" for j in range(40)), "x") for i in range(100, 4100)]
+    own = [" ".join(f"{name}{j}" for j in range(20)) for name in ("once", "twice")]
+    rows = [*filler, (1, own[0], "x"), (2, own[1], "x"), (3, own[1], "x")]
+    got = {r._doc.doc_id: r for r in T.scores(spark.createDataFrame(rows, SCHEMA)).filter("_doc.doc_id < 4").collect()}
+    total = got[1].train_tokens + 0.1 * (len({w for i, t, _ in rows for w in t.split() if crc32(str(i).encode()) % 10}) + 2)
+    for doc, times in ((1, 1), (2, 2), (3, 2)):
+        # Each word but the first has a context of one, two and three words that is always followed by it.
+        p = [(times + 0.1) / total] * 20 + [(sum(crc32(str(i).encode()) % 10 != 0 for i, _, _ in rows) + 0.1) / total]
+        for k in (1, 2, 3):
+            p = [x if j < k else (times + 4 * x) / (times + 4) for j, x in enumerate(p)]
+        assert abs(got[doc].score - sum(math.log10(x) for x in p)) < 1e-6
