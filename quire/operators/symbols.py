@@ -30,8 +30,10 @@ from quire.operators.symbol_rules import (
 )
 
 INTS = ST.ArrayType(ST.IntegerType())
-LINKS = ST.StructType([ST.StructField(n, INTS) for n in ("depth", "parent", "stop", "next", "comment", "string")])
+LINKS = ST.StructType([ST.StructField(n, INTS) for n in ("depth", "parent", "stop", "next", "comment", "string", "start")])
 BLANK = -1  # level of a line that takes no part in nesting
+#: Stands at the begin of a line that a string goes on over.
+INNER = "\u0001"
 
 
 #: Lines that are linked at once; whole files each.
@@ -134,18 +136,61 @@ def _next_back(back: np.ndarray, limit: np.ndarray) -> np.ndarray:
     return at - 1
 
 
+def _signs(text: str) -> np.ndarray:
+    """A flag per byte value, set for the characters of ``text``."""
+    return np.isin(np.arange(256), np.frombuffer(text.encode(), np.uint8))
+
+
+SPACE = _signs(" \t\x0b\f\r")
+#: What a line that can start a definition begins with.
+START = _signs("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_#@~$*")
+
+
+def line_table(texts: list[str], indented: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Level, braces and parentheses opened less those closed, lies in a string, can start a definition: for all lines of masked texts.
+
+    A brace alone on its line belongs to the statement above it. Lines inside a string take no part.
+    """
+    raw = np.frombuffer(("\n".join(texts) + "\n").encode(), np.uint8)
+    ends = np.flatnonzero(raw == ord("\n"))
+    begin = np.concatenate([[0], ends[:-1] + 1])
+
+    def runs(space: np.ndarray) -> np.ndarray:
+        """Places of the ends of lines and of what follows a space or stands first in a line."""
+        after = np.concatenate([[True], (space | (raw == ord("\n")))[:-1]])
+        return np.flatnonzero(~space & after | (raw == ord("\n")))
+
+    solid = runs(raw == ord(" "))
+    place = np.searchsorted(solid, begin)
+    first = solid[place]
+    second = solid[np.minimum(place + 1, len(solid) - 1)]
+    behind = raw[np.minimum(first + 1, len(raw) - 1)]
+    lone = (raw[first] == ord("{")) & ((behind == ord("\n")) | (behind == ord(" ")) & (raw[second] == ord("\n")))
+    inner = raw[begin] == ord(INNER)
+    code = runs(SPACE[raw])
+    code = code[np.searchsorted(code, begin)]
+    levels = np.where(inner | (raw[first] == ord("\n")) | lone & ~indented, BLANK, np.where(indented, code - begin, 0))
+    count = lambda sign: np.bincount(np.searchsorted(ends, np.flatnonzero(raw == ord(sign))), minlength=len(ends))
+    return levels, np.where(indented, 0, count("{") - count("}")), count("(") - count(")"), inner, START[raw[code]]
+
+
 @pandas_udf(LINKS)
-def _links(levels: pd.Series, deltas: pd.Series, parens: pd.Series, marks: pd.Series, inner: pd.Series) -> pd.DataFrame:
-    sizes = np.array([len(x) for x in levels], np.int64)
+def _links(masked_text: pd.Series, indented: pd.Series, marks: pd.Series) -> pd.DataFrame:
+    sizes = np.array([x.count("\n") + 1 for x in masked_text], np.int64)
     out: list[list] = [[] for _ in LINKS.names]
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // LINE_BLOCK, prepend=-1)).tolist() + [len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        flat = lambda s: np.concatenate([np.asarray(x, np.int64) for x in s.iloc[a:b]])  # noqa: B023, E731
-        braced = np.array([x is not None for x in deltas.iloc[a:b]])
-        moves = np.concatenate([np.zeros(k, np.int64) if x is None else np.asarray(x, np.int64) for x, k in zip(deltas.iloc[a:b], sizes[a:b], strict=True)])
-        links = link_files(sizes[a:b], flat(levels), moves, flat(parens), flat(marks), flat(inner) > 0, np.repeat(braced, sizes[a:b]))
-        for own, link in zip(out, links, strict=True):
-            own.extend(np.split(link.astype(np.int32), np.cumsum(sizes[a:b])[:-1]))
+        files = np.repeat(indented.iloc[a:b].to_numpy(bool), sizes[a:b])
+        levels, braces, parens, inner, start = line_table(masked_text.iloc[a:b].tolist(), files)
+        signs = np.concatenate([np.asarray(x, np.int64) for x in marks.iloc[a:b]])
+        links = link_files(sizes[a:b], levels, braces, parens, signs, inner, ~files)
+        begin = np.cumsum(sizes[a:b])
+        for own, link in zip(out, links, strict=False):
+            own.extend(np.split(link.astype(np.int32), begin[:-1]))
+        started = np.flatnonzero(start)
+        cut = np.searchsorted(started, begin)
+        local = started - np.repeat(begin - sizes[a:b], np.diff(cut, prepend=0))
+        out[-1].extend(np.split(local.astype(np.int32), cut[:-1]))
     return pd.DataFrame(dict(zip(LINKS.names, out, strict=True)))
 
 
@@ -160,20 +205,26 @@ def _by_language(rules: tuple[SymbolRule, ...], pick) -> Column:
     return out if out is not None else F.lit(None).cast("int")
 
 
-def _first_rule(rules: tuple[SymbolRule, ...], own_test) -> Column:
-    """Index of the first rule whose test holds, null if none."""
-    number = {r: i for i, r in enumerate(rules)}
+def _with_first_rule(rows: DataFrame, rules: tuple[SymbolRule, ...], own_test, name: str) -> DataFrame:
+    """``rows`` with the index of the first rule whose test holds, null if none, as the column ``name``.
 
-    def pick(own: list[SymbolRule]) -> Column | None:
+    Exploding an array of one element tests the rules once per row, in generated code; a filter on a plain column
+    would test them twice, and one inside the array by interpreted expressions. Each language has an explode of its
+    own, hence a generated method of its own: one with the rules of all is too long for the JVM to compile.
+    """
+    number = {r: i for i, r in enumerate(rules)}
+    found = []
+    for lang in supported_languages(rules):
         out = None
-        for r in own:
-            test = own_test(r)
+        for r in rules:
+            test = own_test(r) if r.lang == lang else None
             if test is not None:
-                index = F.lit(number[r])
-                out = F.when(test, index) if out is None else out.when(test, index)
-        return out
-
-    return _by_language(rules, pick)
+                out = F.when(test, F.lit(number[r])) if out is None else out.when(test, F.lit(number[r]))
+        if out is not None:
+            found.append(f"{name}_{lang}")
+            rows = rows.select("*", _once(F.when(F.col("code_lang") == lang, out)).alias(found[-1]))
+    index = F.coalesce(*found) if found else F.lit(None).cast("int")
+    return rows.withColumn(name, index).drop(*found)
 
 
 def _matches(text: str, rule: SymbolRule) -> Column:
@@ -233,8 +284,9 @@ def _signature() -> Column:
     python = F.when(F.col("kind").isin("class", "function", "method") & (named != ""), F.rtrim(named)).otherwise(one)
     # What follows a brace is a body, except in the value of a variable.
     valued = F.col("kind").isin("constant", "property", "global", "field", "static", "import")
-    braces = F.when(valued, one).otherwise(F.regexp_replace(one, r"\s*\{.*$", ""))
-    return F.when(F.col("code_lang").isin(*INDENTED), python).otherwise(F.regexp_replace(braces, r"\s*;\s*$", ""))
+    braces = F.when(valued | ~F.contains("head", F.lit("{")), one).otherwise(F.regexp_replace(one, r"\s*\{.*$", ""))
+    ended = F.when(F.contains("head", F.lit(";")), F.regexp_replace(braces, r"\s*;\s*$", "")).otherwise(braces)
+    return F.when(F.col("code_lang").isin(*INDENTED), python).otherwise(ended)
 
 
 # Strings and comments open no block and hold no definition. Possessive repeats run as
@@ -255,8 +307,6 @@ LONG_STRINGS = {
 }
 #: A lifetime has no second quote.
 RUST_LITERAL = r"'(?:[^'\\\n]|\\[^\n'][^'\n]*+)'"
-#: Stands at the begin of a line that a string goes on over.
-INNER = "\u0001"
 
 
 def tokens(lang: str) -> str:
@@ -270,7 +320,8 @@ def masked(text: Column, lang: Column, languages: list[str]) -> Column:
     """``text`` with a quote for every string and nothing for every comment; lines stay, those inside a string are marked."""
     breaks = lambda x: F.regexp_replace(x, r"[^\n]++", "")
     comment = lambda x: F.startswith(x, F.lit("/")) | F.startswith(x, F.lit("#"))
-    shown = lambda x: F.when(comment(x), breaks(x)).otherwise(F.concat(F.lit('"'), F.replace(breaks(x), F.lit("\n"), F.lit("\n" + INNER))))
+    long = lambda x: F.when(comment(x), breaks(x)).otherwise(F.concat(F.lit('"'), F.replace(breaks(x), F.lit("\n"), F.lit("\n" + INNER))))
+    shown = lambda x: F.when(F.contains(x, F.lit("\n")), long(x)).when(comment(x), "").otherwise('"')
     out = None
     for own in languages:
         pattern = tokens(own)
@@ -280,7 +331,6 @@ def masked(text: Column, lang: Column, languages: list[str]) -> Column:
     return out
 
 
-STATEMENT = r"^\s*[\w#@~$*]"
 COMMENT_LINE = r"^\s*(?://|/\*|#(?![\[!]|\s*(?:include|define|if|endif|else|pragma)))"
 COMMENT_MORE = r"^\s*\*|^[^\"']*\*/\s*$"
 
@@ -302,26 +352,8 @@ def statements(files: DataFrame, languages: list[str], content: str = "content")
         "path",
         "code_lang",
         F.split("_text", "\n", -1).alias("_lines"),
-        F.split(masked(F.col("_text"), F.col("code_lang"), languages), "\n", -1).alias("_code"),
+        masked(F.col("_text"), F.col("code_lang"), languages).alias("_masked"),
     )
-
-    def balance(opened: str, closed: str) -> Column:
-        # Lines without either are the rule; they cost two searches.
-        return F.transform(
-            "_code",
-            lambda x: F.when(
-                F.contains(x, F.lit(opened)) | F.contains(x, F.lit(closed)),
-                F.length(F.replace(x, F.lit(closed), F.lit(""))) - F.length(F.replace(x, F.lit(opened), F.lit(""))),
-            ).otherwise(0),
-        )
-
-    # A brace alone on its line belongs to the statement above it. Lines inside a string take no part.
-    inner = F.transform("_code", lambda x: F.startswith(x, F.lit(INNER)).cast("int"))
-    blank = F.transform("_code", lambda x: F.startswith(x, F.lit(INNER)) | (F.trim(x) == ""))
-    level = F.when(
-        indented,
-        F.transform("_lines", lambda x, i: F.when(F.get(blank, i), BLANK).otherwise(F.length(x) - F.length(F.ltrim(x, F.lit(" \t\x0b\f\r"))))),
-    ).otherwise(F.transform("_code", lambda x, i: F.when(F.get(blank, i) | (F.trim(x) == "{"), BLANK).otherwise(0)))
     mark = F.transform(
         "_lines",
         # Every comment has one of these signs; a search for them spares the other lines the patterns.
@@ -330,7 +362,7 @@ def statements(files: DataFrame, languages: list[str], content: str = "content")
         .when(F.rlike(x, F.lit(COMMENT_MORE)), 2)
         .otherwise(0),
     )
-    linked = lined.withColumn("_links", _links(level, F.when(~indented, balance("{", "}")), balance("(", ")"), mark, inner))
+    linked = lined.withColumn("_links", _links("_masked", indented, mark)).drop("_masked")
     line = lambda i: F.get("_lines", i)
     at = lambda name, i: F.get(F.col("_links")[name], i)
 
@@ -353,9 +385,7 @@ def statements(files: DataFrame, languages: list[str], content: str = "content")
             ).alias("comment_text"),
         )
 
-    numbered = F.sequence(F.lit(0), F.size("_lines") - 1)
-    started = F.filter(numbered, lambda i: F.rlike(F.get("_code", i), F.lit(STATEMENT)))
-    return linked.select("repo_id", "path", "code_lang", F.inline(F.transform(started, statement)))
+    return linked.select("repo_id", "path", "code_lang", F.inline(F.transform(F.col("_links")["start"], statement)))
 
 
 def _doc() -> Column:
@@ -373,13 +403,11 @@ SYMBOL_COLUMNS = ["line_no", "kind", "name", "signature", "parent", "modifiers",
 
 def _symbol_rows(files: DataFrame, rules: tuple[SymbolRule, ...], content: str = "content") -> DataFrame:
     rows = statements(files, supported_languages(rules), content)
-    # Exploding an array of one element tests the rules once per row, in generated code; a filter on a plain column
-    # would test them twice, and one inside the array by interpreted expressions.
-    placed = rows.select("*", _once(_first_rule(rules, _container_test)).alias("_container"))
+    placed = _with_first_rule(rows, rules, _container_test, "_container")
     table = _rule_table(rules)
     of = lambda index, name: F.get(table, F.col(index))[name]
     placed = placed.withColumn("parent_kind", of("_container", "kind"))
-    hit = placed.select("*", _once(_first_rule(rules, _rule_test)).alias("_rule")).filter("_rule is not null")
+    hit = _with_first_rule(placed, rules, _rule_test, "_rule").filter("_rule is not null")
     is_member = of("_rule", "member") & F.col("_container").isNotNull()
     named = lambda text, index: _name(rules, text, index)
     words = "|".join(MODIFIERS)
@@ -398,7 +426,7 @@ def _symbol_rows(files: DataFrame, rules: tuple[SymbolRule, ...], content: str =
             _signature().alias("signature"),
             F.when(F.col("_member"), named("parent_text", "_container")).alias("parent"),
             F.when(F.col("_member"), F.col("parent_i") + 1).alias("parent_line"),
-            F.filter(F.split(lead, r"\s+"), lambda m: m != "").alias("modifiers"),
+            F.regexp_extract_all(lead, F.lit(r"\S+"), F.lit(0)).alias("modifiers"),
             F.when(documented, _doc()).alias("doc"),
             T.comment_text(F.col("comment_text")).alias("comment"),
             of("_rule", "rank").alias("rank"),

@@ -1,6 +1,7 @@
 """The symbol scan on hand-made sources in every language family."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -233,3 +234,23 @@ def test_names_are_taken_by_constant_patterns(spark):
     found = S.symbols(files)
     assert {(r.name, r.parent) for r in found.collect()} == {("A", None), ("run", "A")}
     assert "StructField(regex," not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_line_table_against_plain_lines():
+    texts = ["a(b) {\n  {\n\t\n } x\n  {  \n\u0001 y()\n", "", "\u00e4 = (\n \t z:\n\t# c\n)\n  \n~d", "{", "  {x\n#e  "]
+    for indented in (True, False):
+        lines = [x for t in texts for x in t.split("\n")]
+        levels, braces, parens, inner, start = S.line_table(texts, np.full(len(lines), indented))
+        for x, level, brace, paren, within, begins in zip(lines, levels, braces, parens, inner, start, strict=True):
+            blank = x.startswith(S.INNER) or not x.strip(" ") or (not indented and x.strip(" ") == "{")
+            assert level == (-1 if blank else len(x) - len(x.lstrip(" \t")) if indented else 0)
+            assert brace == (0 if indented else x.count("{") - x.count("}")) and paren == x.count("(") - x.count(")")
+            assert within == x.startswith(S.INNER) and begins == bool(re.match(r"\s*[A-Za-z0-9_#@~$*]", x))
+
+
+def test_rules_of_each_language_are_a_method_of_their_own(spark):
+    """One method with the rules of all languages is longer than the JVM compiles."""
+    files = spark.createDataFrame([("r", "a.py", "class A:\n    def run(self):\n        pass\n")], "repo_id string, path string, content string")
+    plan = S.symbols(files)._jdf.queryExecution().optimizedPlan().toString()
+    tests = [x for x in plan.split("\n") if "Generate explode" in x and "RLIKE" in x]
+    assert len(tests) > len(S.supported_languages()) and all(len(set(re.findall(r"code_lang#\d+L? = (\w+)", x))) == 1 for x in tests)
