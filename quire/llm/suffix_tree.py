@@ -9,20 +9,26 @@ them; ``smoothing`` counts are dealt by the distribution of the suffix, so each
 probabilities sum to one. A token is scored by the longest context that is a node.
 
 No context, symbol or word is left out for being rare. Up to ``TREE_TOKENS`` training tokens
-the tree is built on the driver and sent to the tasks (``grow``). Beyond, the same tree is a table for each length
-(``_levels``): its nodes and symbols are counted, tested and looked up by groupings and joins, and nothing of it
-is broadcast or collected but numbers for the most frequent words.
+the tree is built on the driver and sent to the tasks (``grow``). Beyond, texts are cut into pieces. Length by length a piece
+asks buckets (by a hash of the context) about its distinct grams; a bucket adds up what all pieces have, tests its contexts and
+answers with counts. A context that occurs once is known to its piece alone and not asked for. Nothing of
+the tree is broadcast or collected but the contexts frequent enough to be split over buckets.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
+from functools import reduce
+from struct import calcsize, pack, unpack_from
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +38,16 @@ from quire.session import addressed, discard, written
 LEVELS = 3
 #: Training tokens up to which the tree is held in memory.
 TREE_TOKENS = 100_000
-#: Words with at least this share of the tokens have short ids in the tables.
-HEAD_SHARE = 1e-5
+#: Beyond, texts are cut into pieces of so many tokens, and there are as many buckets as training tokens have these.
+PIECE = 1 << 20
+BUCKET = 3 << 19
+#: Contexts with so many training tokens behind them are split over the buckets.
+SPLIT = 1 << 19
+#: The contexts of a length are asked for in so many turns, each with its share of the buckets: only one turn's questions are on disk.
+TURNS = 2
+#: Rows from which a pack is compressed.
+PACKED = 256
+HEAD = "<Bq"
 SMOOTHING = 4.0
 UNIGRAM = 0.1
 FOLDS = 10
@@ -230,105 +244,404 @@ def _longer(tree: Tree, level: int, node: np.ndarray, symbol: np.ndarray) -> np.
     return np.unique((last * tree.size + words[level])[last >= 0])
 
 
-class Ids(dict):
-    """Numbers of words: from 1 for the frequent ones, a negative hash for the others, zero stands for no word."""
-
-    def __init__(self, head: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(head, 1))
-        self.most = len(head) + FLUSH
+class Numbers(dict):
+    """Numbers of words from zero, in the order in which they are met."""
 
     def __missing__(self, word: bytes) -> int:
-        own = -1 - (int.from_bytes(blake2b(word, digest_size=8).digest(), "big") >> 1)
-        if len(self) < self.most:
-            self[word] = own
+        self[word] = own = len(self)
         return own
 
 
-def _names(levels: int) -> list[str]:
-    """Columns of the words before a token, the farthest first."""
-    return [f"w{k}" for k in range(levels, 0, -1)]
+def _narrow(numbers: np.ndarray) -> type:
+    low, high = (numbers.min(), numbers.max()) if len(numbers) else (0, 0)
+    return next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
 
 
-def _grams(docs: DataFrame, head: list[bytes], levels: int, *keys: str) -> DataFrame:
-    """One row per token of ``text``: the long columns ``keys`` of its text, the ``levels`` words before it, and itself as ``x``."""
-    names = _names(levels)
+def _packed(columns: list[np.ndarray], ends: np.ndarray) -> list[bytes]:
+    """Consecutive rows of number columns as bytes: the narrowest type; longer ones by byte planes and compressed. ``ends`` starts with zero."""
+    columns = [c if c.dtype.kind == "f" else c.astype(_narrow(c)) for c in columns]
+    head, made = "".join(c.dtype.str[1:] for c in columns).encode(), []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if b - a < PACKED:
+            raw = b"".join([c[a:b].tobytes() for c in columns])
+        else:
+            planes = b"".join([np.ascontiguousarray(c[a:b]).view(np.uint8).reshape(b - a, -1).T.tobytes() for c in columns])
+            raw = pa.compress(planes, "zstd", asbytes=True)
+        made.append(pack(HEAD, len(columns), b - a) + head + raw)
+    return made
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(head)
-        for batch in pieces(batches):
-            words, ends = tokens_of(batch.column("text"))
-            # Behind as many empty places as there are words before a token.
-            symbols = np.zeros(len(words) + levels, np.int64)
-            symbols[levels:] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-            del words
-            begin = np.concatenate([[0], ends[:-1]])
-            text = np.repeat(np.arange(len(ends)), ends - begin)
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            for a in range(0, len(text), FLUSH):
-                of = text[a : a + FLUSH]
-                place = np.arange(a, a + len(of)) - begin[of]
-                columns = {k: pa.array(x[of]) for k, x in zip(keys, own, strict=True)}
-                for k, name in zip(range(levels, 0, -1), names, strict=True):
-                    columns[name] = pa.array(np.where(place >= k, symbols[levels - k + a : levels - k + a + len(of)], 0))
-                yield rows_of(**columns, x=pa.array(symbols[levels + a : levels + a + len(of)]))
 
-    schema = ", ".join(f"{c} long" for c in (*keys, *names, "x"))
-    return docs.select(*keys, "text").mapInArrow(emit, schema)
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    n, rows = unpack_from(HEAD, data)
+    start = calcsize(HEAD) + 2 * n
+    kinds = [np.dtype(data[a : a + 2].decode()) for a in range(calcsize(HEAD), start, 2)]
+    if rows >= PACKED:
+        data, start = pa.decompress(data[start:], rows * sum(k.itemsize for k in kinds), "zstd", asbytes=True), 0
+    columns = []
+    for k in kinds:
+        own = np.frombuffer(data, np.uint8 if rows >= PACKED else k, rows * (k.itemsize if rows >= PACKED else 1), start)
+        columns.append(own.reshape(k.itemsize, rows).T.copy().view(k).ravel() if rows >= PACKED else own)
+        start += rows * k.itemsize
+    return columns
+
 
+def _columns(packs: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The columns of several packs, one after the other; none without a pack."""
+    return [np.concatenate(c) for c in zip(*[_unpacked(x.as_py()) for x in packs], strict=True)]
 
-def _levels(docs: DataFrame, head: list[bytes], tokens: int, distinct: int, levels: int) -> DataFrame:
-    """``w3, w2, w1, x, c, p``: each token of ``docs`` behind each of its contexts, its count and its probability there.
 
-    Needs ``_train`` (one or zero) and ``text``. Grams of texts that do not train are in
-    the tables with a count of zero, so that a look-up finds every gram.
+def _ends(sizes: list[int] | np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _places(ends: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each token, and its place there; before place zero are the ``lead`` tokens of the part before."""
+    lengths = np.diff(ends, prepend=0)
+    text = np.repeat(np.arange(len(ends)), lengths)
+    return text, np.arange(len(text)) - (ends - lengths + lead)[text]
+
+
+def _cut(docs: DataFrame, size: int, lead: int) -> DataFrame:
+    """``docs`` (``_file, _at, _train, text``) as pieces of at least ``size`` tokens, if there are so many, and less than twice as many.
+
+    A piece is a row: its distinct words by their crc32, how often they train, all tokens as places of their words, and
+    of each text or part of a long one its address, whether it trains, how many of its tokens are those of the part before, and where it ends.
     """
-    names = _names(levels)
-    counted = _grams(docs, head, levels, "_train").withColumnRenamed("_train", "n")
-    entries = []
-    for k in range(levels + 1):
-        counted = counted.groupBy(*names[k:], "x").agg(F.sum("n").alias("n"))
-        counted = written(counted, f"grams{levels - k}")
-        entries.append(counted)
-    known = entries.pop()
-    made = known.select("x", F.col("n").alias("c"), ((F.col("n") + UNIGRAM) / F.lit(tokens + UNIGRAM * (distinct + 1))).alias("p"))
-    for k in range(levels - 1, -1, -1):
-        own, context, suffix = entries.pop(), names[k:], made.withColumnRenamed("p", "q")
-        # Both uses of the exchange read the same files.
-        found = own.join(suffix, [*names[k + 1 :], "x"]).repartition(*context)
-        said = F.col("n") + F.lit(SMOOTHING) * F.col("q")
-        total = F.sum("n")
-        gain = F.sum(F.col("n") * F.log(said / F.col("q"))) - total * F.log(total + F.lit(SMOOTHING))
-        nodes = (
-            found.filter((F.col("n") > 0) & (F.col(names[k]) != 0))
-            .groupBy(*context)
-            .agg(total.alias("total"), (gain > 0.5 * F.log(total) * F.count(F.lit(1))).alias("kept"))
-            .filter("kept")
-            .drop("kept")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        known, tokens, texts = Numbers(), array("i"), []
+        for batch in pieces(batches):
+            keys = zip(*[batch.column(c).to_pylist() for c in ("_file", "_at", "_train")], strict=True)
+            for key, text in zip(keys, batch.column("text").cast(pa.binary()), strict=True):
+                words = (text.as_py() or b"").lower().split()
+                words.append(END)
+                for a in range(0, len(words), size):
+                    before = min(a, lead)
+                    tokens.extend(map(known.__getitem__, words[a - before : a + size]))
+                    texts.append((*key, before, len(tokens)))
+                    if len(tokens) >= size:
+                        yield made(number, known, tokens, texts)
+                        number += 1
+                        known, tokens, texts = Numbers(), array("i"), []
+        if texts:
+            yield made(number, known, tokens, texts)
+
+    def made(number: int, known: Numbers, tokens: array, texts: list) -> pa.RecordBatch:
+        crc = np.fromiter(map(crc32, known), np.int64, len(known))
+        order = np.argsort(crc, kind="stable")
+        symbols = np.argsort(order).astype(np.int32)[np.array(tokens, np.int32)]
+        file, at, train, before, ends = np.array(texts, np.int64).T
+        text, place = _places(ends, before)
+        counts = np.bincount(symbols[(place >= 0) & (train[text] > 0)], minlength=len(known))
+        words = list(known)
+        return rows_of(
+            piece=pa.array([number]),
+            trained=pa.array([int(counts.sum())]),
+            # No word holds a space.
+            words=pa.array([b" ".join([words[i] for i in order.tolist()])], pa.binary()),
+            counts=pa.array(_packed([counts, np.minimum(np.bincount(symbols), 2)], np.array([0, len(counts)])), pa.binary()),
+            tokens=pa.array(_packed([symbols], np.array([0, len(symbols)])), pa.binary()),
+            texts=pa.array(_packed([file, at, train, before, ends], np.array([0, len(ends)])), pa.binary()),
         )
-        p = F.when(F.col("total").isNull(), F.col("q")).otherwise(said / (F.col("total") + F.lit(SMOOTHING)))
-        result = written(found.join(nodes, context, "left").select(*context, "x", "c", p.alias("p")), f"level{levels - k}")
-        discard(own, made if k < levels - 1 else known)
-        made = result
+
+    schema = "piece long, trained long, words binary, counts binary, tokens binary, texts binary"
+    return docs.select("_file", "_at", "_train", "text").mapInArrow(cut, schema)
+
+
+#: What a bucket answers to a piece, in the order of the question. Rows without a piece hold sums of the bucket by ``key``.
+ANSWER = "level int, bucket int, piece long, data binary, key array<long>, sums array<double>"
+ASKED = "bucket int, piece long, data binary"
+#: The column of a question that is sent as differences.
+ASCENDING = 3
+
+
+def _asked(piece: int, bucket: np.ndarray, parts: int, columns: list[np.ndarray]) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """The questions of a piece, one row for each bucket; ``bucket`` is sorted."""
+    sizes = np.bincount(bucket, minlength=parts)
+    used = np.flatnonzero(sizes)
+    ends = _ends(sizes[used])
+    if len(columns) > ASCENDING:
+        first = columns[ASCENDING]
+        columns[ASCENDING] = np.diff(columns[ASCENDING], prepend=0)
+        columns[ASCENDING][ends[:-1]] = first[ends[:-1]]
+    own = pa.array(np.full(len(used), piece, np.int64))
+    return {"bucket": pa.array(used.astype(np.int32)), "piece": own, "data": pa.array(_packed(columns, ends), pa.binary())}, ends
+
+
+def _answers(level: int, asked: list[pa.RecordBatch], columns: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    data, done = _packed(columns, ends), 0
+    for batch in asked:
+        n = batch.num_rows
+        own = {"level": pa.array(np.full(n, level, np.int32)), "bucket": batch.column("bucket"), "piece": batch.column("piece")}
+        yield rows_of(**own, data=pa.array(data[done : done + n], pa.binary()), key=pa.nulls(n, pa.list_(pa.int64())), sums=pa.nulls(n, pa.list_(pa.float64())))
+        done += n
+
+
+def _sums(level: int, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    n = len(keys)
+    own = {"level": pa.array(np.full(n, level, np.int32)), "bucket": pa.nulls(n, pa.int32()), "piece": pa.nulls(n, pa.int64()), "data": pa.nulls(n, pa.binary())}
+    return rows_of(**own, key=pa.array(keys.tolist(), pa.list_(pa.int64())), sums=pa.array(sums.tolist(), pa.list_(pa.float64())))
+
+
+def _numbered(cut: DataFrame, parts: int) -> DataFrame:
+    """To each word of each piece its number from one, its count in training, and whether it is met again; the sums are distinct words in training, and the highest number."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, words, counts in zip(*[batch.column(c) for c in ("piece", "words", "counts")], strict=True):
+                own = words.as_py().split(b" ")
+                crc = np.fromiter(map(crc32, own), np.int64, len(own))
+                made, ends = _asked(piece.as_py(), crc * parts >> 32, parts, _unpacked(counts.as_py()))
+                blocks = [b" ".join(own[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield rows_of(**made, words=pa.array(blocks, pa.binary()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, Numbers] = defaultdict(Numbers)
+        asked, numbers, packs = [], [], []
+        for batch in batches:
+            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+                own = words.as_py().split(b" ")
+                # No two buckets give the same number.
+                numbers.append(np.fromiter(map(known[bucket].__getitem__, own), np.int64, len(own)) * parts + bucket + 1)
+            packs += [_unpacked(x.as_py()) for x in batch.column("data")]
+            asked.append(batch.select(["bucket", "piece"]))
+        if numbers:
+            ends = _ends([len(x) for x in numbers])
+            all_numbers = np.concatenate(numbers)
+            word, back = np.unique(all_numbers, return_inverse=True)
+            totals, seen = (np.bincount(back, np.concatenate(c), len(word)).astype(np.int64) for c in zip(*packs, strict=True))
+            yield from _answers(0, asked, [all_numbers, totals[back], (seen > 1)[back].astype(np.int8)], ends)
+            yield _sums(0, np.zeros((1, 1), np.int64), np.array([[(totals > 0).sum(), word[-1]]], float))
+
+    asked = cut.select("piece", "words", "counts").mapInArrow(ask, ASKED + ", words binary")
+    return asked.repartitionById(parts, "bucket").mapInArrow(count, ANSWER)
+
+
+@dataclass
+class Shape:
+    """What every piece has to know: numbers, and for each length the kept ones of the contexts that are split (hashes, sorted)."""
+
+    parts: int
+    split: int
+    tokens: int
+    distinct: int
+    top: int
+    kept: list[np.ndarray] = field(default_factory=list)
+
+
+def _mixed(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row of word numbers."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class Grams:
+    """The distinct grams of a piece, from single words to those behind a context of ``level`` words.
+
+    ``place`` has the gram of each token, ``words`` those of each gram (the last one first, then backwards), ``n`` its count in all
+    training texts, ``again`` whether any text has it at another place, ``p`` its probability.
+    """
+
+    def __init__(self, row: pa.Table, answers: pa.Table, shape: Shape):
+        self.shape, self.level = shape, 0
+        self.piece = row.column("piece")[0].as_py()
+        self.tokens = _unpacked(row.column("tokens")[0].as_py())[0].astype(np.int64)
+        self.file, self.at, train, lead, self.ends = (x.astype(np.int64) for x in _unpacked(row.column("texts")[0].as_py()))
+        text, self.within = _places(self.ends, lead)
+        self.within += lead[text]
+        self.own = self.within >= lead[text]
+        self.train = (self.own & (train[text] > 0)).astype(float)
+        self.answers = answers.sort_by([("level", "ascending"), ("bucket", "ascending")])
+        ids, n, again = self.answer()
+        order = np.argsort(ids)
+        self.ids, self.n, self.again = ids[order].astype(np.int64), n[order].astype(np.int64), again[order] > 0
+        self.tokens = np.argsort(order)[self.tokens]
+        self.p = (self.n + UNIGRAM) / (shape.tokens + UNIGRAM * (shape.distinct + 1))
+        self.place, self.words = self.tokens, [self.ids]
+        self.base, self.known = self.p, self.n > 0
+
+    def answer(self) -> list[np.ndarray]:
+        return _columns(self.answers.filter(pc.equal(self.answers.column("level"), self.level)).column("data"))
+
+    def longer(self) -> None:
+        """Goes on to the grams with one word more before them; ``p`` is still that of the suffix."""
+        self.level = k = self.level + 1
+        size = len(self.ids) + 1
+        before = np.zeros(len(self.tokens), np.int64)
+        before[k:] = np.where(self.within[k:] >= k, self.tokens[:-k] + 1, 0)
+        grams, place = np.unique(self.place * size + before, return_inverse=True)
+        suffix, word = grams // size, grams % size
+        # A context is the gram of the token before, so its count is known.
+        token = np.empty(len(grams), np.int64)
+        token[place] = np.arange(len(place))
+        self.there = np.flatnonzero(word)
+        before = self.place[token[self.there] - 1]
+        total, again = self.n[before], self.again[before]
+        self.place, self.p, self.n = place, self.p[suffix], np.zeros(len(grams), np.int64)
+        self.words = [*[w[suffix] for w in self.words], np.concatenate([[0], self.ids])[word]]
+        # A context that is nowhere else is kept if it trains. One that never trains is no node. Both are known here.
+        self.again = np.zeros(len(grams), bool)
+        alone = self.there[~again & (total > 0)]
+        self.n[alone] = 1
+        q = self.p[alone]
+        self.follow(alone[_pays(1, np.log(1 + SMOOTHING * q) - np.log(q), 1)], 1)
+        open_ = again & (total > 0)
+        self.there, self.total = self.there[open_], total[open_]
+        self.mixed = _mixed([w[self.there] for w in self.words[1:]])
+        self.hot = self.total >= self.shape.split
+        key = np.where(self.hot, _mixed([self.mixed, self.words[0][self.there]]), self.mixed)
+        self.bucket = ((key >> np.uint64(20)) % np.uint64(self.shape.parts)).astype(np.int64)
+        self.order = np.argsort(self.bucket, kind="stable")
+
+    def learn(self) -> None:
+        """Takes the answers: ``n`` of each gram, and whether its context is kept."""
+        n, said = np.zeros((2, len(self.there)), np.int64)
+        for own, column in zip((n, said), self.answer(), strict=False):
+            own[self.order] = column
+        self.n[self.there], self.again[self.there] = n, said >= 2
+        kept = said % 2 > 0
+        if self.hot.any():
+            kept[self.hot] = find(self.shape.kept[self.level - 1], self.mixed[self.hot]) >= 0
+        self.follow(self.there[kept], self.total[kept])
+
+    def follow(self, at: np.ndarray, total: np.ndarray | int) -> None:
+        """Grams whose context is kept."""
+        self.p[at] = (self.n[at] + SMOOTHING * self.p[at]) / (total + SMOOTHING)
+
+    def asked(self, turn: int, turns: int) -> pa.Table:
+        """What the buckets of a turn are asked: grams with their count here (``-1 - count`` if the context is split), and what the suffix says."""
+        order = self.order[self.bucket[self.order] % turns == turn]
+        at = self.there[order]
+        n = np.bincount(self.place, self.train, len(self.n)).astype(np.int64)[at]
+        seen = np.minimum(np.bincount(self.place), 2)[at]
+        columns = [self.p[at], np.where(self.hot[order], -1 - n, n), seen, *[w[at] for w in self.words]]
+        return pa.table(_asked(self.piece, self.bucket[order], self.shape.parts, columns)[0])
+
+    def scores(self) -> pa.Table:
+        begin = np.concatenate([[0], self.ends[:-1]])
+        of = lambda x: pa.array(np.add.reduceat(np.where(self.own, x, 0), begin))
+        sums = {"n_tokens": of(1), "n_known": of(self.known[self.tokens].astype(np.int64))}
+        sums |= {"base_score": of(np.log10(self.base)[self.tokens]), "score": of(np.log10(self.p)[self.place])}
+        return pa.table({"_file": pa.array(self.file), "_at": pa.array(self.at), **sums})
+
+
+def _folded(words: list[np.ndarray], top: int) -> np.ndarray:
+    """One number for each row of word numbers up to ``top``, without collisions."""
+    made, most = words[0].astype(np.int64), top + 1
+    for w in words[1:]:
+        if most * (top + 1) >= 1 << 63:
+            made = np.unique(made, return_inverse=True)[1]
+            most = len(made)
+        made, most = made * (top + 1) + w, most * (top + 1)
     return made
 
 
-def _joined(rows: DataFrame, head: list[bytes], tokens: int, distinct: int, levels: int) -> DataFrame:
-    """The scores of ``rows`` by joins with the tables of the tree."""
-    rows = addressed(rows, "texts")
-    training = F.when(~F.col("_held"), 1).otherwise(0).cast("bigint").alias("_train")
-    tree = _levels(rows.select(training, "text"), head, tokens, distinct, levels)
-    base = F.log10((F.col("c") + UNIGRAM) / F.lit(tokens + UNIGRAM * (distinct + 1)))
-    scored = (
-        _grams(rows.select("_file", "_at", "text"), head, levels, "_file", "_at")
-        .join(tree, [*_names(levels), "x"])
-        .groupBy("_file", "_at")
-        .agg(
-            F.count(F.lit(1)).alias("n_tokens"),
-            F.count(F.when(F.col("c") > 0, 1)).alias("n_known"),
-            F.sum(base).alias("base_score"),
-            F.sum(F.log10("p")).alias("score"),
-        )
-    )
+def _solved(asked: DataFrame, level: int, shape: Shape, turns: int) -> DataFrame:
+    """The answers for grams behind ``level`` words: their count, and one if the context is kept, plus two if the gram is met again.
+
+    Contexts that are split over the buckets get sums instead, to be tested when these are added up.
+    """
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, packs = [], []
+        for batch in batches:
+            for x in batch.column("data"):
+                packs.append(_unpacked(x.as_py()))
+                packs[-1][ASCENDING] = np.cumsum(packs[-1][ASCENDING], dtype=np.int64)
+            held.append(batch.select(["bucket", "piece"]))
+        if not packs:
+            return
+        ends = _ends([len(x[0]) for x in packs])
+        q, n, seen, *words = (np.concatenate(c) for c in zip(*packs, strict=True))
+        del packs
+        words, n = [w.astype(np.int64) for w in words], n.astype(np.int64)
+        context = np.unique(_folded(words[1:], shape.top), return_inverse=True)[1]
+        gram, back = np.unique(context * (shape.top + 1) + words[0], return_inverse=True)
+        hot = np.zeros(len(gram), bool)
+        hot[back[n < 0]] = True
+        count = np.bincount(back, np.where(n < 0, -1 - n, n), len(gram))
+        suffix = np.empty(len(gram))
+        suffix[back] = q
+        begin = np.flatnonzero(np.diff(gram // (shape.top + 1), prepend=-1))
+        total = np.add.reduceat(count, begin)
+        gain = np.add.reduceat(count * (np.log(count + SMOOTHING * suffix) - np.log(suffix)), begin)
+        different = np.add.reduceat((count > 0).astype(float), begin)
+        kept = _pays(total, gain, different) & ~hot[begin]
+        again = np.bincount(back, seen, len(gram)) > 1
+        said = np.repeat(kept, np.diff(begin, append=len(gram))) + 2 * again
+        yield from _answers(level, held, [count[back].astype(np.int64), said[back]], ends)
+        split = np.flatnonzero(hot[begin])
+        if len(split):
+            row = np.empty(len(gram), np.int64)
+            row[back] = np.arange(len(back))
+            keys = np.stack([w[row[begin[split]]] for w in words[1:]], 1)
+            yield _sums(level, keys, np.stack([total, gain, different], 1)[split])
+
+    return asked.repartitionById(-(-shape.parts // turns), (F.col("bucket") / turns).cast("int")).mapInArrow(solve, ANSWER)
+
+
+def _pays(total: np.ndarray, gain: np.ndarray, different: np.ndarray) -> np.ndarray:
+    """The divergence test of contexts, ``gain`` without the term of the total."""
+    return (total > 0) & (gain - total * np.log(total + SMOOTHING) > 0.5 * np.log(np.maximum(total, 1)) * different)
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """``written``; the shuffle files of the job go when it has ended."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return written(df, label)
+    finally:
+        conf.set(name, before)
+
+
+def _sent(cut: DataFrame, answers: list[DataFrame], shape: Shape, level: int, act: Callable[[Grams], pa.Table], schema: str) -> DataFrame:
+    """What ``act`` makes of the grams of each piece, with the answers for ``level`` words of context, no more."""
+
+    def make(row: pa.Table, known: pa.Table) -> pa.Table:
+        grams = Grams(row, known, shape)
+        for _ in range(level):
+            grams.longer()
+            grams.learn()
+        return act(grams)
+
+    known = reduce(DataFrame.unionByName, [x.select("level", "bucket", "piece", "data").filter("piece is not null") for x in answers])
+    own = cut.select("piece", "tokens", "texts")
+    return own.groupBy("piece").cogroup(known.groupBy("piece")).applyInArrow(make, schema)
+
+
+def _joined(rows: DataFrame, cut: DataFrame, tokens: int, levels: int, split: int) -> DataFrame:
+    """The scores of addressed ``rows``; their pieces meet the counts of each length in buckets."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET + 1)
+    answers = [_stored(_numbered(cut, parts), "grams0")]
+    sums = answers[0].filter("key is not null").agg(F.sum(F.col("sums")[0]), F.max(F.col("sums")[1])).first()
+    shape = Shape(parts, split, tokens, int(sums[0]), int(sums[1]))
+    # The words of the pieces are read no more.
+    texts = _stored(cut.select("piece", "tokens", "texts"), "pieces")
+    discard(cut)
+    for level in range(1, levels + 1):
+        made = []
+        for turn in range(TURNS):
+
+            def ask(grams: Grams, turn: int = turn) -> pa.Table:
+                grams.longer()
+                return grams.asked(turn, TURNS)
+
+            asked = _sent(texts, answers, shape, level - 1, ask, ASKED)
+            made.append(_stored(_solved(asked, level, shape, TURNS), f"grams{level}"))
+        answers += made
+        # At most as many as training tokens hold contexts with ``split`` of them.
+        hot = reduce(DataFrame.unionByName, made).filter("key is not null").groupBy("key").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(3)])
+        hot = hot.toArrow()
+        keys = np.array(hot["key"].to_pylist(), np.int64).reshape(-1, level)[_pays(*[hot[f"s{i}"].to_numpy() for i in range(3)])]
+        shape.kept.append(np.sort(_mixed(list(keys.T))))
+    scored = _sent(texts, answers, shape, levels, Grams.scores, "_file long, _at long, n_tokens long, n_known long, base_score double, score double")
+    scored = scored.groupBy("_file", "_at").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return rows.drop("text").join(scored, ["_file", "_at"])
 
 
@@ -365,6 +678,8 @@ def scores(
     levels: int = LEVELS,
     keep: tuple[str, ...] | None = None,
     tree_tokens: int = TREE_TOKENS,
+    piece: int = PIECE,
+    split: int = SPLIT,
 ) -> DataFrame:
     """``_doc, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row per row.
 
@@ -376,17 +691,15 @@ def scores(
     (there is one unseen symbol). Above ``tree_tokens`` training tokens the tree is joined, not sent to the tasks; it is the same tree.
     """
     out = fold_of(docs["doc_id"], FOLDS) == 0 if held_out is None else held_out
-    training = docs.filter(~out).select("text")
-    vocabulary = written(_word_counts(training), "words")
-    sums = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
-    tokens, distinct = sums[0] or 0, sums[1]
-    rows = packed(docs.withColumn("_held", out), "_held", "text", keep=keep or tuple(docs.columns))
+    rows = addressed(packed(docs.withColumn("_held", out), "_held", "text", keep=keep or tuple(docs.columns)), "texts")
+    train = F.when(~F.col("_held"), 1).otherwise(0).alias("_train")
+    cut = _stored(_cut(rows.select("_file", "_at", train, "text"), piece, levels), "pieces")
+    tokens = cut.agg(F.sum("trained")).first()[0] or 0
     if tokens <= tree_tokens:
-        made = _by_tree(rows, grow(training, vocabulary, levels))
+        training = docs.filter(~out).select("text")
+        made = _by_tree(rows, grow(training, written(_word_counts(training), "words"), levels))
     else:
-        # At most 1 / HEAD_SHARE rows.
-        head = vocabulary.filter(F.col("c") >= HEAD_SHARE * tokens).orderBy(F.desc("c"), "word").toArrow()
-        made = _joined(rows, head["word"].to_pylist(), tokens, distinct, levels)
+        made = _joined(rows, cut, tokens, levels, split)
     return made.select(
         "_doc",
         F.col("_held").alias("held_out"),

@@ -139,3 +139,30 @@ def test_rare_contexts_are_nodes(spark):
         for k in (1, 2, 3):
             p = [x if j < k else (times + 4 * x) / (times + 4) for j, x in enumerate(p)]
         assert abs(got[doc].score - sum(math.log10(x) for x in p)) < 1e-6
+
+
+def test_pieces_and_split_contexts(spark):
+    rows = [*corpus(), (None, None, "x"), (7, "", "x"), (7, "", "x"), (3, "w " * 3000, "x"), (20, "the unseen Ä cat sat", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (str(r._doc.doc_id), r._doc.text or "")
+    sent = sorted(T.scores(docs).collect(), key=key)
+    # Texts go over several pieces, and contexts over several buckets.
+    cut = sorted(T.scores(docs, tree_tokens=0, piece=50, split=3).collect(), key=key)
+    assert len(sent) == len(cut) == len(rows)
+    for a, b in zip(sent, cut, strict=True):
+        assert a[:5] == b[:5]
+        assert abs(a.base_score - b.base_score) < 1e-6 and abs(a.score - b.score) < 1e-6
+
+
+def test_questions_are_small(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"f{(i * 40 + j) * 7919 % 90_001}" for j in range(400)), "x") for i in range(300)], SCHEMA)
+    asked, solved = [], T._solved
+
+    def seen(questions, *more):
+        asked.append(questions.selectExpr("sum(length(data))").first()[0] or 0)
+        return solved(questions, *more)
+
+    monkeypatch.setattr(T, "_solved", seen)
+    got = T.scores(docs, tree_tokens=0, piece=20_000).collect()
+    # A token has a gram of four 8-byte numbers and a count; that took 24 bytes of shuffle at the longest contexts alone.
+    assert len(got) == 300 and 0 < sum(asked) < 24 * sum(r.n_tokens for r in got)
