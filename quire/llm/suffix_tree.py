@@ -43,7 +43,7 @@ PIECE = 1 << 20
 BUCKET = 3 << 19
 #: Contexts with so many training tokens behind them are split over the buckets.
 SPLIT = 1 << 19
-#: The contexts of a length are asked for in so many turns, each with its share of the buckets: only one turn's questions are on disk.
+#: Contexts of more than one word are asked for in so many turns for each length, each with its share of the buckets: only one turn's questions are on disk.
 TURNS = 2
 #: Rows from which a pack is compressed.
 PACKED = 256
@@ -439,6 +439,19 @@ def _mixed(words: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def _distinct(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below ``most``, sorted, and the place of each key among them; one sort of keys with their rows, if both fit a number."""
+    bits = len(keys).bit_length()
+    if int(most).bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    ordered = both >> bits
+    first = np.diff(ordered, prepend=-1) != 0
+    place = np.empty(len(keys), np.int64)
+    place[both & ((1 << bits) - 1)] = np.cumsum(first) - 1
+    return ordered[first], place
+
+
 class Grams:
     """The distinct grams of a piece, from single words to those behind a context of ``level`` words.
 
@@ -473,7 +486,7 @@ class Grams:
         size = len(self.ids) + 1
         before = np.zeros(len(self.tokens), np.int64)
         before[k:] = np.where(self.within[k:] >= k, self.tokens[:-k] + 1, 0)
-        grams, place = np.unique(self.place * size + before, return_inverse=True)
+        grams, place = _distinct(self.place * size + before, len(self.n) * size)
         suffix, word = grams // size, grams % size
         # A context is the gram of the token before, so its count is known.
         token = np.empty(len(grams), np.int64)
@@ -495,7 +508,8 @@ class Grams:
         self.hot = self.total >= self.shape.split
         key = np.where(self.hot, _mixed([self.mixed, self.words[0][self.there]]), self.mixed)
         self.bucket = ((key >> np.uint64(20)) % np.uint64(self.shape.parts)).astype(np.int64)
-        self.order = np.argsort(self.bucket, kind="stable")
+        # Sorted by radix as long as the buckets are numbers of two bytes.
+        self.order = np.argsort(self.bucket.astype(np.min_scalar_type(self.shape.parts)), kind="stable")
 
     def learn(self) -> None:
         """Takes the answers: ``n`` of each gram, and whether its context is kept."""
@@ -626,14 +640,15 @@ def _joined(rows: DataFrame, cut: DataFrame, tokens: int, levels: int, split: in
     discard(cut)
     for level in range(1, levels + 1):
         made = []
-        for turn in range(TURNS):
+        turns = TURNS if level > 1 else 1
+        for turn in range(turns):
 
-            def ask(grams: Grams, turn: int = turn) -> pa.Table:
+            def ask(grams: Grams, turn: int = turn, turns: int = turns) -> pa.Table:
                 grams.longer()
-                return grams.asked(turn, TURNS)
+                return grams.asked(turn, turns)
 
             asked = _sent(texts, answers, shape, level - 1, ask, ASKED)
-            made.append(_stored(_solved(asked, level, shape, TURNS), f"grams{level}"))
+            made.append(_stored(_solved(asked, level, shape, turns), f"grams{level}"))
         answers += made
         # At most as many as training tokens hold contexts with ``split`` of them.
         hot = reduce(DataFrame.unionByName, made).filter("key is not null").groupBy("key").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(3)])
