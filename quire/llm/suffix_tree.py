@@ -573,8 +573,9 @@ def _solved(asked: DataFrame, level: int, shape: Shape, turns: int) -> DataFrame
         q, n, seen, *words = (np.concatenate(c) for c in zip(*packs, strict=True))
         del packs
         words, n = [w.astype(np.int64) for w in words], n.astype(np.int64)
-        context = np.unique(_folded(words[1:], shape.top), return_inverse=True)[1]
-        gram, back = np.unique(context * (shape.top + 1) + words[0], return_inverse=True)
+        folded = _folded(words[1:], shape.top)
+        distinct, context = _distinct(folded, int(folded.max()) + 1)
+        gram, back = _distinct(context * (shape.top + 1) + words[0], len(distinct) * (shape.top + 1))
         hot = np.zeros(len(gram), bool)
         hot[back[n < 0]] = True
         count = np.bincount(back, np.where(n < 0, -1 - n, n), len(gram))
