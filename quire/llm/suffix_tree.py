@@ -17,7 +17,6 @@ the tree is broadcast or collected but the contexts frequent enough to be split
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -53,6 +52,8 @@ UNIGRAM = 0.1
 FOLDS = 10
 #: A word holds no white space, so this is none.
 END = b"\n"
+#: Which bytes are of words.
+WORD = np.array([not bytes([i]).isspace() for i in range(256)])
 FLUSH = 400_000
 
 
@@ -257,16 +258,22 @@ def _narrow(numbers: np.ndarray) -> type:
     return next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
 
 
+def _planes(column: np.ndarray) -> list[np.ndarray]:
+    """The first bytes of all numbers, the second ones, and so on."""
+    bits = column.view(f"u{column.itemsize}")
+    return [(bits >> np.array(8 * i, bits.dtype)).astype(np.uint8) for i in range(column.itemsize)]
+
+
 def _packed(columns: list[np.ndarray], ends: np.ndarray) -> list[bytes]:
     """Consecutive rows of number columns as bytes: the narrowest type; longer ones by byte planes and compressed. ``ends`` starts with zero."""
     columns = [c if c.dtype.kind == "f" else c.astype(_narrow(c)) for c in columns]
     head, made = "".join(c.dtype.str[1:] for c in columns).encode(), []
+    planes = [p for c in columns for p in _planes(c)] if np.diff(ends).max(initial=0) >= PACKED else []
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         if b - a < PACKED:
             raw = b"".join([c[a:b].tobytes() for c in columns])
         else:
-            planes = b"".join([np.ascontiguousarray(c[a:b]).view(np.uint8).reshape(b - a, -1).T.tobytes() for c in columns])
-            raw = pa.compress(planes, "zstd", asbytes=True)
+            raw = pa.compress(b"".join([p[a:b] for p in planes]), "zstd", asbytes=True)
         made.append(pack(HEAD, len(columns), b - a) + head + raw)
     return made
 
@@ -279,8 +286,13 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
         data, start = pa.decompress(data[start:], rows * sum(k.itemsize for k in kinds), "zstd", asbytes=True), 0
     columns = []
     for k in kinds:
-        own = np.frombuffer(data, np.uint8 if rows >= PACKED else k, rows * (k.itemsize if rows >= PACKED else 1), start)
-        columns.append(own.reshape(k.itemsize, rows).T.copy().view(k).ravel() if rows >= PACKED else own)
+        if rows >= PACKED:
+            own = np.empty(rows, k)
+            for i in range(k.itemsize):
+                own.view(np.uint8)[i :: k.itemsize] = np.frombuffer(data, np.uint8, rows, start + i * rows)
+        else:
+            own = np.frombuffer(data, k, rows, start)
+        columns.append(own)
         start += rows * k.itemsize
     return columns
 
@@ -290,6 +302,12 @@ def _columns(packs: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*[_unpacked(x.as_py()) for x in packs], strict=True)]
 
 
+def _inverse(order: np.ndarray) -> np.ndarray:
+    made = np.empty(len(order), np.int64)
+    made[order] = np.arange(len(order))
+    return made
+
+
 def _ends(sizes: list[int] | np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
@@ -301,6 +319,30 @@ def _places(ends: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return text, np.arange(len(text)) - (ends - lengths + lead)[text]
 
 
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Tokens of a batch in one array, and where each text ends; ``tokens_of`` by array operations."""
+    kind = pa.large_binary()
+    closed = pc.binary_join_element_wise(column.cast(kind), pa.scalar(END, kind), pa.scalar(b"", kind), null_handling="replace", null_replacement=b"")
+    offsets = np.frombuffer(closed.buffers()[1], np.int64)[closed.offset :][: len(closed) + 1]
+    data = np.frombuffer(closed.buffers()[2][offsets[0] : offsets[-1]].to_pybytes().lower(), np.uint8)
+    ends = offsets[1:] - offsets[0] - 1
+    kept = WORD[data]
+    kept[ends] = True
+    first = kept.copy()
+    first[1:] &= ~kept[:-1]
+    first[ends] = True
+    # What follows an end begins a text.
+    first[ends[:-1] + 1] = kept[ends[:-1] + 1]
+    last = np.searchsorted(np.flatnonzero(first), ends) + 1
+    data, starts = data[kept], np.flatnonzero(first[kept])
+    return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]), last
+
+
+def _lines(words: pa.Array) -> bytes:
+    """All words with a space between two."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), pa.scalar(b" ", words.type))[0].as_py()
+
+
 def _cut(docs: DataFrame, size: int, lead: int) -> DataFrame:
     """``docs`` (``_file, _at, _train, text``) as pieces of at least ``size`` tokens, if there are so many, and less than twice as many.
 
@@ -310,35 +352,40 @@ def _cut(docs: DataFrame, size: int, lead: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        known, tokens, texts = Numbers(), array("i"), []
+        held, texts, room = [], [], 0
         for batch in pieces(batches):
+            if not batch.num_rows:
+                continue
+            words, ends = _words(batch.column("text"))
             keys = zip(*[batch.column(c).to_pylist() for c in ("_file", "_at", "_train")], strict=True)
-            for key, text in zip(keys, batch.column("text").cast(pa.binary()), strict=True):
-                words = (text.as_py() or b"").lower().split()
-                words.append(END)
-                for a in range(0, len(words), size):
-                    before = min(a, lead)
-                    tokens.extend(map(known.__getitem__, words[a - before : a + size]))
-                    texts.append((*key, before, len(tokens)))
-                    if len(tokens) >= size:
-                        yield made(number, known, tokens, texts)
+            begin = 0
+            for key, end in zip(keys, ends.tolist(), strict=True):
+                for a in range(begin, end, size):
+                    before = min(a - begin, lead)
+                    held.append(words.slice(a - before, min(size, end - a) + before))
+                    room += len(held[-1])
+                    texts.append((*key, before, room))
+                    if room >= size:
+                        yield made(number, held, texts)
                         number += 1
-                        known, tokens, texts = Numbers(), array("i"), []
+                        held, texts, room = [], [], 0
+                begin = end
         if texts:
-            yield made(number, known, tokens, texts)
+            yield made(number, held, texts)
 
-    def made(number: int, known: Numbers, tokens: array, texts: list) -> pa.RecordBatch:
-        crc = np.fromiter(map(crc32, known), np.int64, len(known))
+    def made(number: int, held: list[pa.Array], texts: list) -> pa.RecordBatch:
+        tokens = pa.concat_arrays(held).dictionary_encode()
+        # No word holds a space.
+        words = _lines(tokens.dictionary).split(b" ")
+        crc = np.fromiter(map(crc32, words), np.int64, len(words))
         order = np.argsort(crc, kind="stable")
-        symbols = np.argsort(order).astype(np.int32)[np.array(tokens, np.int32)]
+        symbols = _inverse(order).astype(np.int32)[tokens.indices.to_numpy()]
         file, at, train, before, ends = np.array(texts, np.int64).T
         text, place = _places(ends, before)
-        counts = np.bincount(symbols[(place >= 0) & (train[text] > 0)], minlength=len(known))
-        words = list(known)
+        counts = np.bincount(symbols[(place >= 0) & (train[text] > 0)], minlength=len(words))
         return rows_of(
             piece=pa.array([number]),
             trained=pa.array([int(counts.sum())]),
-            # No word holds a space.
             words=pa.array([b" ".join([words[i] for i in order.tolist()])], pa.binary()),
             counts=pa.array(_packed([counts, np.minimum(np.bincount(symbols), 2)], np.array([0, len(counts)])), pa.binary()),
             tokens=pa.array(_packed([symbols], np.array([0, len(symbols)])), pa.binary()),
@@ -439,107 +486,124 @@ def _mixed(words: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _distinct(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys below ``most``, sorted, and the place of each key among them; one sort of keys with their rows, if both fit a number."""
+def _sorted(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys below ``most`` in order, the row of each, and where distinct ones begin; one sort of keys with their rows, if both fit a number."""
     bits = len(keys).bit_length()
     if int(most).bit_length() + bits > 63:
-        return np.unique(keys, return_inverse=True)
-    both = np.sort(keys << bits | np.arange(len(keys)))
-    ordered = both >> bits
-    first = np.diff(ordered, prepend=-1) != 0
+        rows = np.argsort(keys, kind="stable")
+        ordered = keys[rows]
+    else:
+        both = keys << bits
+        both |= np.arange(len(keys))
+        both.sort()
+        ordered = both >> bits
+        both &= (1 << bits) - 1
+        rows = both
+    first = np.empty(len(keys), bool)
+    first[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return ordered, rows, first
+
+
+def _distinct(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below ``most``, sorted, and the place of each key among them."""
+    ordered, rows, first = _sorted(keys, most)
     place = np.empty(len(keys), np.int64)
-    place[both & ((1 << bits) - 1)] = np.cumsum(first) - 1
+    place[rows] = np.cumsum(first) - 1
     return ordered[first], place
 
 
 class Grams:
-    """The distinct grams of a piece, from single words to those behind a context of ``level`` words.
+    """The grams of a piece, from single words to those behind a context of ``level`` words.
 
-    ``place`` has the gram of each token, ``words`` those of each gram (the last one first, then backwards), ``n`` its count in all
-    training texts, ``again`` whether any text has it at another place, ``p`` its probability.
+    Of each token: ``n`` is the count of its gram in all training texts, ``again`` whether any text has it at another place, ``p`` its
+    probability. Only tokens whose context trains and is met again are asked for; those of a longer context are some of them,
+    so each length sorts fewer. Of these, ``place`` has the gram. ``row`` has a token of each gram.
     """
 
     def __init__(self, row: pa.Table, answers: pa.Table, shape: Shape):
         self.shape, self.level = shape, 0
         self.piece = row.column("piece")[0].as_py()
-        self.tokens = _unpacked(row.column("tokens")[0].as_py())[0].astype(np.int64)
+        tokens = _unpacked(row.column("tokens")[0].as_py())[0]
         self.file, self.at, train, lead, self.ends = (x.astype(np.int64) for x in _unpacked(row.column("texts")[0].as_py()))
-        text, self.within = _places(self.ends, lead)
-        self.within += lead[text]
-        self.own = self.within >= lead[text]
-        self.train = (self.own & (train[text] > 0)).astype(float)
+        lengths = np.diff(self.ends, prepend=0)
+        self.within = np.arange(len(tokens), dtype=np.int32) - np.repeat((self.ends - lengths).astype(np.int32), lengths)
+        self.own = self.within >= np.repeat(lead.astype(np.int32), lengths)
+        self.train = self.own & np.repeat(train > 0, lengths)
         self.answers = answers.sort_by([("level", "ascending"), ("bucket", "ascending")])
         ids, n, again = self.answer()
         order = np.argsort(ids)
-        self.ids, self.n, self.again = ids[order].astype(np.int64), n[order].astype(np.int64), again[order] > 0
-        self.tokens = np.argsort(order)[self.tokens]
-        self.p = (self.n + UNIGRAM) / (shape.tokens + UNIGRAM * (shape.distinct + 1))
-        self.place, self.words = self.tokens, [self.ids]
-        self.base, self.known = self.p, self.n > 0
+        self.ids = ids[order].astype(np.int64)
+        self.tokens = _inverse(order).astype(np.int32)[tokens]
+        n = n[order].astype(np.int64)
+        self.known, self.base = n > 0, (n + UNIGRAM) / (shape.tokens + UNIGRAM * (shape.distinct + 1))
+        self.n, self.again, self.p = n[self.tokens], (again[order] > 0)[self.tokens], self.base[self.tokens]
+        self.place, self.most = self.tokens.astype(np.int64), len(n)
 
     def answer(self) -> list[np.ndarray]:
         return _columns(self.answers.filter(pc.equal(self.answers.column("level"), self.level)).column("data"))
 
     def longer(self) -> None:
-        """Goes on to the grams with one word more before them; ``p`` is still that of the suffix."""
+        """Goes on to the grams with one word more before them; ``p`` of those that are asked for is still that of the suffix."""
         self.level = k = self.level + 1
-        size = len(self.ids) + 1
-        before = np.zeros(len(self.tokens), np.int64)
-        before[k:] = np.where(self.within[k:] >= k, self.tokens[:-k] + 1, 0)
-        grams, place = _distinct(self.place * size + before, len(self.n) * size)
-        suffix, word = grams // size, grams % size
         # A context is the gram of the token before, so its count is known.
-        token = np.empty(len(grams), np.int64)
-        token[place] = np.arange(len(place))
-        self.there = np.flatnonzero(word)
-        before = self.place[token[self.there] - 1]
-        total, again = self.n[before], self.again[before]
-        self.place, self.p, self.n = place, self.p[suffix], np.zeros(len(grams), np.int64)
-        self.words = [*[w[suffix] for w in self.words], np.concatenate([[0], self.ids])[word]]
-        # A context that is nowhere else is kept if it trains. One that never trains is no node. Both are known here.
-        self.again = np.zeros(len(grams), bool)
-        alone = self.there[~again & (total > 0)]
-        self.n[alone] = 1
-        q = self.p[alone]
-        self.follow(alone[_pays(1, np.log(1 + SMOOTHING * q) - np.log(q), 1)], 1)
-        open_ = again & (total > 0)
-        self.there, self.total = self.there[open_], total[open_]
-        self.mixed = _mixed([w[self.there] for w in self.words[1:]])
+        node = self.within >= k
+        node[1:] &= self.n[:-1] > 0
+        open_ = node.copy()
+        open_[1:] &= self.again[:-1]
+        self.live = np.flatnonzero(open_)
+        # A context that is nowhere else is kept if it trains, as that pays if its suffix is not sure. One that never trains is no node. Both are known here.
+        alone = node & ~open_
+        before = self.n
+        self.n, self.again = alone.astype(np.int64), np.zeros(len(alone), bool)
+        self.p = np.where(alone & (self.p < 1), self.followed(1, self.p, 1), self.p)
+        size = len(self.ids)
+        keys = self.place[self.live] * size
+        keys += self.tokens[self.live - k]
+        _, self.rows, self.first = _sorted(keys, self.most * size)
+        self.begin = np.flatnonzero(self.first)
+        self.most = len(self.begin)
+        self.row = self.live[self.rows[self.begin]]
+        self.total = before[self.row - 1]
+        self.words = [self.ids[self.tokens[self.row - j]] for j in range(k + 1)]
+        self.mixed = _mixed(self.words[1:])
         self.hot = self.total >= self.shape.split
-        key = np.where(self.hot, _mixed([self.mixed, self.words[0][self.there]]), self.mixed)
-        self.bucket = ((key >> np.uint64(20)) % np.uint64(self.shape.parts)).astype(np.int64)
+        key = np.where(self.hot, _mixed([self.mixed, self.words[0]]), self.mixed) if self.hot.any() else self.mixed
         # Sorted by radix as long as the buckets are numbers of two bytes.
-        self.order = np.argsort(self.bucket.astype(np.min_scalar_type(self.shape.parts)), kind="stable")
+        self.bucket = ((key >> np.uint64(20)) % np.uint64(self.shape.parts)).astype(np.min_scalar_type(self.shape.parts))
+        self.order = np.argsort(self.bucket, kind="stable")
 
     def learn(self) -> None:
         """Takes the answers: ``n`` of each gram, and whether its context is kept."""
-        n, said = np.zeros((2, len(self.there)), np.int64)
+        n, said = np.zeros((2, len(self.row)), np.int64)
         for own, column in zip((n, said), self.answer(), strict=False):
             own[self.order] = column
-        self.n[self.there], self.again[self.there] = n, said >= 2
         kept = said % 2 > 0
         if self.hot.any():
             kept[self.hot] = find(self.shape.kept[self.level - 1], self.mixed[self.hot]) >= 0
-        self.follow(self.there[kept], self.total[kept])
+        place, p = np.empty(len(self.live), np.int64), self.p[self.row]
+        place[self.rows] = np.cumsum(self.first) - 1
+        self.place[self.live] = place
+        self.n[self.live], self.again[self.live] = n[place], (said >= 2)[place]
+        self.p[self.live] = np.where(kept, self.followed(n, p, self.total), p)[place]
 
-    def follow(self, at: np.ndarray, total: np.ndarray | int) -> None:
-        """Grams whose context is kept."""
-        self.p[at] = (self.n[at] + SMOOTHING * self.p[at]) / (total + SMOOTHING)
+    def followed(self, n: np.ndarray | int, p: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+        """Probabilities of grams whose context is kept."""
+        return (n + SMOOTHING * p) / (total + SMOOTHING)
 
     def asked(self, turn: int, turns: int) -> pa.Table:
         """What the buckets of a turn are asked: grams with their count here (``-1 - count`` if the context is split), and what the suffix says."""
-        order = self.order[self.bucket[self.order] % turns == turn]
-        at = self.there[order]
-        n = np.bincount(self.place, self.train, len(self.n)).astype(np.int64)[at]
-        seen = np.minimum(np.bincount(self.place), 2)[at]
-        columns = [self.p[at], np.where(self.hot[order], -1 - n, n), seen, *[w[at] for w in self.words]]
-        return pa.table(_asked(self.piece, self.bucket[order], self.shape.parts, columns)[0])
+        order = self.order if turns == 1 else self.order[self.bucket[self.order] % turns == turn]
+        n = np.add.reduceat(self.train[self.live[self.rows]], self.begin, dtype=np.int64) if len(self.row) else self.begin
+        seen = np.minimum(np.diff(self.begin, append=len(self.rows)), 2)
+        columns = [self.p[self.row], np.where(self.hot, -1 - n, n), seen, *self.words]
+        return pa.table(_asked(self.piece, self.bucket[order], self.shape.parts, [c[order] for c in columns])[0])
 
     def scores(self) -> pa.Table:
         begin = np.concatenate([[0], self.ends[:-1]])
         of = lambda x: pa.array(np.add.reduceat(np.where(self.own, x, 0), begin))
         sums = {"n_tokens": of(1), "n_known": of(self.known[self.tokens].astype(np.int64))}
-        sums |= {"base_score": of(np.log10(self.base)[self.tokens]), "score": of(np.log10(self.p)[self.place])}
+        sums |= {"base_score": of(np.log10(self.base)[self.tokens]), "score": of(np.log10(self.p))}
         return pa.table({"_file": pa.array(self.file), "_at": pa.array(self.at), **sums})
 
 

@@ -166,3 +166,48 @@ def test_questions_are_small(spark, monkeypatch):
     got = T.scores(docs, tree_tokens=0, piece=20_000).collect()
     # A token has a gram of four 8-byte numbers and a count; that took 24 bytes of shuffle at the longest contexts alone.
     assert len(got) == 300 and 0 < sum(asked) < 24 * sum(r.n_tokens for r in got)
+
+
+def test_settled_contexts_are_not_sorted(spark, monkeypatch):
+    # Each word occurs often, a pair of words hardly ever; so contexts of two words are known to their piece.
+    some = np.random.default_rng(1)
+    rows = [(i, " ".join(f"f{j}" for j in some.integers(0, 1000, 40)), "x") for i in range(1000)]
+    docs = T.addressed(spark.createDataFrame(rows, SCHEMA).selectExpr("text", "1 as _train"))
+    cut = T._stored(T._cut(docs, 1 << 20, 3), "pieces")
+    answers = [T._numbered(cut, 4)]
+    sums = answers[0].filter("key is not null").selectExpr("sum(sums[0])", "max(sums[1])").first()
+    shape = T.Shape(4, 1 << 30, cut.selectExpr("sum(trained)").first()[0], int(sums[0]), int(sums[1]))
+
+    def ask(grams):
+        grams.longer()
+        return grams.asked(0, 1)
+
+    answers.append(T._solved(T._sent(cut, answers, shape, 0, ask, T.ASKED), 1, shape, 1))
+    known = answers[0].unionByName(answers[1]).filter("piece is not null").select("level", "bucket", "piece", "data").toArrow()
+    keys = []
+    for name in ("_distinct", "_sorted"):
+        own = getattr(T, name, None)
+        if own:
+            monkeypatch.setattr(T, name, lambda x, most, own=own: keys.append(len(x)) or own(x, most))
+    tokens = again = 0
+    pieces = cut.toArrow()
+    for i in range(len(pieces)):
+        row = pieces.slice(i, 1)
+        grams = T.Grams(row, known.filter(T.pc.equal(known.column("piece"), row.column("piece")[0])), shape)
+        tokens += len(grams.tokens)
+        grams.longer()
+        grams.learn()
+        keys.clear()
+        grams.longer()
+        again += sum(keys)
+    # What is sorted for contexts of two words.
+    assert tokens == 41_000 and 0 < again < tokens / 4
+
+
+def test_words_of_a_batch_are_its_tokens():
+    texts = ["", None, " \t", "A b\x0bC\x0c\r\n", "\n\n", "one", " lead", "trail ", "\x1c\x85  Ä Z\x00z", "x" * 3000, "a a"]
+    for column in (T.pa.array(texts), T.pa.array(["cut off", *texts, "too"]).slice(1, len(texts)), T.pa.array([""]), T.pa.array(["a"], T.pa.large_string())):
+        want, ends = T.tokens_of(column)
+        words, got = T._words(column)
+        assert words.to_pylist() == want and got.tolist() == ends.tolist()
+        assert T._lines(words).split(b" ") == want
