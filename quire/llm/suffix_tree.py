@@ -479,10 +479,12 @@ class Shape:
 
 def _mixed(words: list[np.ndarray]) -> np.ndarray:
     """A hash of each row of word numbers."""
-    h = np.zeros(len(words[0]), np.uint64)
-    for w in words:
-        h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    return reduce(_mixed_with, words, np.zeros(len(words[0]), np.uint64))
+
+
+def _mixed_with(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (h ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
     return h
 
 
@@ -518,7 +520,7 @@ class Grams:
 
     Of each token: ``n`` is the count of its gram in all training texts, ``again`` whether any text has it at another place, ``p`` its
     probability. Only tokens whose context trains and is met again are asked for; those of a longer context are some of them,
-    so each length sorts fewer. Of these, ``place`` has the gram. ``row`` has a token of each gram.
+    so each length sorts fewer. Of these, ``place`` has the gram. ``row`` has a token of each gram, ``words`` the word of each token, ``hash`` that of its context.
     """
 
     def __init__(self, row: pa.Table, answers: pa.Table, shape: Shape):
@@ -538,7 +540,8 @@ class Grams:
         n = n[order].astype(np.int64)
         self.known, self.base = n > 0, (n + UNIGRAM) / (shape.tokens + UNIGRAM * (shape.distinct + 1))
         self.n, self.again, self.p = n[self.tokens], (again[order] > 0)[self.tokens], self.base[self.tokens]
-        self.place, self.most = self.tokens.astype(np.int64), len(n)
+        self.place, self.most = self.tokens.copy(), len(n)
+        self.words, self.hash = self.ids[self.tokens], np.zeros(len(self.tokens), np.uint64)
 
     def answer(self) -> list[np.ndarray]:
         return _columns(self.answers.filter(pc.equal(self.answers.column("level"), self.level)).column("data"))
@@ -557,18 +560,19 @@ class Grams:
         before = self.n
         self.n, self.again = alone.astype(np.int64), np.zeros(len(alone), bool)
         self.p = np.where(alone & (self.p < 1), self.followed(1, self.p, 1), self.p)
+        self.hash[k:] = _mixed_with(self.hash[k:], self.words[:-k])
         size = len(self.ids)
-        keys = self.place[self.live] * size
+        keys = self.place[self.live] * np.int64(size)
         keys += self.tokens[self.live - k]
         _, self.rows, self.first = _sorted(keys, self.most * size)
         self.begin = np.flatnonzero(self.first)
         self.most = len(self.begin)
-        self.row = self.live[self.rows[self.begin]]
+        self.row = self.live[self.rows[self.first]]
         self.total = before[self.row - 1]
-        self.words = [self.ids[self.tokens[self.row - j]] for j in range(k + 1)]
-        self.mixed = _mixed(self.words[1:])
+        self.mixed = self.hash[self.row]
         self.hot = self.total >= self.shape.split
-        key = np.where(self.hot, _mixed([self.mixed, self.words[0]]), self.mixed) if self.hot.any() else self.mixed
+        key = self.mixed.copy()
+        key[self.hot] = _mixed([self.mixed[self.hot], self.words[self.row[self.hot]]])
         # Sorted by radix as long as the buckets are numbers of two bytes.
         self.bucket = ((key >> np.uint64(20)) % np.uint64(self.shape.parts)).astype(np.min_scalar_type(self.shape.parts))
         self.order = np.argsort(self.bucket, kind="stable")
@@ -581,8 +585,8 @@ class Grams:
         kept = said % 2 > 0
         if self.hot.any():
             kept[self.hot] = find(self.shape.kept[self.level - 1], self.mixed[self.hot]) >= 0
-        place, p = np.empty(len(self.live), np.int64), self.p[self.row]
-        place[self.rows] = np.cumsum(self.first) - 1
+        place, p = np.empty(len(self.live), np.int32), self.p[self.row]
+        place[self.rows] = np.cumsum(self.first, dtype=np.int32) - 1
         self.place[self.live] = place
         self.n[self.live], self.again[self.live] = n[place], (said >= 2)[place]
         self.p[self.live] = np.where(kept, self.followed(n, p, self.total), p)[place]
@@ -596,8 +600,10 @@ class Grams:
         order = self.order if turns == 1 else self.order[self.bucket[self.order] % turns == turn]
         n = np.add.reduceat(self.train[self.live[self.rows]], self.begin, dtype=np.int64) if len(self.row) else self.begin
         seen = np.minimum(np.diff(self.begin, append=len(self.rows)), 2)
-        columns = [self.p[self.row], np.where(self.hot, -1 - n, n), seen, *self.words]
-        return pa.table(_asked(self.piece, self.bucket[order], self.shape.parts, [c[order] for c in columns])[0])
+        row = self.row[order]
+        words = [self.words[row - j] for j in range(self.level + 1)]
+        columns = [self.p[row], np.where(self.hot, -1 - n, n)[order], seen[order], *words]
+        return pa.table(_asked(self.piece, self.bucket[order], self.shape.parts, columns)[0])
 
     def scores(self) -> pa.Table:
         begin = np.concatenate([[0], self.ends[:-1]])
